@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, mixing, sharding
+from gradeloom.llm import chat, line_dedup, mixing, sharding
 from gradeloom.llm.common import scratch_path, table
 
 
@@ -36,7 +36,12 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op10_line_dedup)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""
@@ -51,4 +56,15 @@ ORACLES: dict[str, str] = {
             sum(length('<|im_start|>') + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g')) + 1
                 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::bigint AS formatted_chars
         FROM rows_in GROUP BY conv_id""",
+    "op10_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        held AS (
+            SELECT k, count(DISTINCT doc_id) AS n, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (h.n IS NOT NULL AND keeper <> doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (h.n IS NULL OR keeper = doc_id), '')) AS kept_sha256
+        FROM keyed LEFT JOIN held h USING (k) GROUP BY doc_id""",
 }

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, line_dedup, mixing, sharding
-from gradeloom.llm.common import scratch_path, table
+from gradeloom.llm import chat, line_dedup, mixing, sharding, warc
+from gradeloom.llm.common import materialize, scratch_path, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,25 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    records = warc.read_warc(files.repartition(max(1, files.count())))
+    # archives are read once; what is kept of them is small but for the payloads
+    responses = warc.payloads(warc.reassemble(records)).filter("ok")
+    responses = materialize(responses.select("page_id", "payload_bytes", "payload_digest"), "warc-responses")
+    revisits = records.filter("record_type = 'revisit'").select("page_id", "payload_digest", F.col("refers_to").alias("refers_to"))
+    sizes = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    found = revisits.join(sizes, ["refers_to", "payload_digest"]).withColumn("record_type", F.lit("revisit"))
+    first = responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
+    return first.unionByName(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op9_warc_segments, op10_line_dedup)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, line_dedup, mixing, sharding, warc
+from gradeloom.llm import chat, line_dedup, mixing, sharding, token_files, warc
 from gradeloom.llm.common import materialize, scratch_path, table
 
 
@@ -36,6 +36,14 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = token_files.read_tokens(files.repartition(max(1, files.count())))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = warc.read_warc(files.repartition(max(1, files.count())))
@@ -54,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op9_warc_segments, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op7_token_files, op9_warc_segments, op10_line_dedup)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, line_dedup, mixing, sharding, token_files, warc
+from gradeloom.llm import chat, line_dedup, mixing, near_dedup, sharding, token_files, warc
 from gradeloom.llm.common import materialize, scratch_path, table
 
 
@@ -16,6 +16,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=85)
+    kept = F.col("component_id") == F.col("id")
+    return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -62,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_virtual_slots, op7_token_files, op9_warc_segments, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_circulant_minhash, op4_chat_format, op6_virtual_slots, op7_token_files, op9_warc_segments, op10_line_dedup)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""

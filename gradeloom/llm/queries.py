@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, line_dedup, mixing, near_dedup, sharding, token_files, warc
+from gradeloom.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality_fm, quality_rules, sharding, token_files, warc
 from gradeloom.llm.common import materialize, scratch_path, table
 
 
@@ -16,6 +16,14 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op2_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality_rules.rule_stats(table(spark, sf_dir, "documents")), "rule-stats")
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    cutoffs = materialize(quality_rules.calibrate(stats, table(spark, sf_dir, "labels"), base=base), "cutoffs")
+    out = quality_rules.apply_rules(stats, cutoffs, base)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=85)
     kept = F.col("component_id") == F.col("id")
@@ -35,6 +43,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it leaks; clean documents have none."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -50,6 +63,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_fm.score(docs, machine)
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return scored.select("doc_id", F.coalesce(quality_fm.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = warc.read_warc(files.repartition(max(1, files.count())))
@@ -68,7 +89,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_circulant_minhash, op4_chat_format, op6_virtual_slots, op7_token_files, op9_warc_segments, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""

@@ -1,11 +1,58 @@
-"""The corpus pipeline: stages over documents, each an operator of gradeloom.llm."""
+"""The corpus pipeline: from raw documents to sharded training data, each stage one operator of gradeloom.llm.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeloom.llm import decontaminate, mixing, near_dedup, quality_fm, sharding
+from gradeloom.llm.common import materialize, scratch_path, table
+
+MIN_SCORE = 0.7
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+WEIGHTS, BUDGET_RATIO, MAX_EPOCHS = (3, 1, 2), 1.5, 2.0
+N_SHARDS = 8
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores 0.7 or more."""
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, machine).filter(F.col("score") >= MIN_SCORE).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.keep_one(docs, near_dedup.near_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.drop_leaks(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as its source's target wants it."""
+    return mixing.expand(mixing.mix_sources(docs, WEIGHTS, BUDGET_RATIO, MAX_EPOCHS))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each record of the mix goes: (doc_id, lang, source, size, text_crc32, virtual_slot, shard, slot)."""
+    text = F.coalesce("text", F.lit(""))
+    records = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shard_records(records, scratch_path(spark, "slot-map"), N_SHARDS, key_cols=("doc_id", "text_crc32"), size=F.col("size"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix), ("shards", shards)]
+
+#: SQL has neither the trained classifier nor the seeded hashes; tests compare the stages with plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

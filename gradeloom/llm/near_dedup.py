@@ -159,14 +159,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_shingles`` and ``component_id``, the smallest id reachable over links.
+    """(id, n_shingles, component_id), a row a document: the smallest id reachable over links.
 
     Two rows are linked if their sets of ``n``-word shingles have 100 |A and B| >= percent |A or B|. Rows without words
     have no shingles and are alone in their component. Rows that share an id share a component. Rows with a null id are not compared;
-    their component_id is null. Columns of ``docs`` with one of the two names are replaced. An empty table gives an
-    empty result.
+    their component_id is null. Other columns of ``docs`` are not looked at. An empty table gives an empty result.
     """
-    docs = docs.drop("n_shingles", "component_id")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(signatures(rows, n, percent / 100), "signatures")
     usable = signed.filter("n_shingles > 0 and id is not null")
@@ -224,6 +222,22 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
     return found
 
 
+def keep_one(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (from near_groups): that with the smallest id.
+
+    Of rows that repeat that id one stays, whichever. Rows with a null id all stay.
+    """
+    found = materialize(found.filter("id is not null"), "components")
+    gone = broadcast_if_small(materialize(found.filter("component_id <> id").select(F.col("id").alias("_gone")).distinct(), "gone"))
+    left = docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    repeated = materialize(found.filter("component_id = id").groupBy(F.col("id").alias("_again")).count().filter("count > 1").select("_again"), "repeated")
+    if repeated.isEmpty():
+        return left
+    again = broadcast_if_small(repeated)
+    once = left.join(again, left[key] == F.col("_again"), "left_anti")
+    return once.unionByName(left.join(again, left[key] == F.col("_again"), "left_semi").dropDuplicates([key]))
+
+
 def _by_prefix(large: DataFrame, texts: DataFrame, n: int, percent: int, fits) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles, so many that no pair at the
     threshold is missed."""

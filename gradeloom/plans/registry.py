@@ -1,6 +1,33 @@
-"""All queries of the engine and their SQL, by name."""
+"""All queries of the engine and their SQL, by name. Modules of this package add theirs with ``query``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("ranking", "groups", "preparation", "rubrics", "scores", "tokens", "monitoring", "sources")
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"gradeloom.plans.{name}")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

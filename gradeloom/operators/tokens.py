@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAFETY_BOUND = 20.0
-SAMPLE = Window.partitionBy("sample_id")
+
+
+def by_sample():
+    return Window.partitionBy("sample_id")
 
 
 def masked_sum(x: Column, mask: str = "mask") -> Column:
@@ -96,9 +99,9 @@ def _level_log_ratio(level: str) -> Column:
     if level == "token":
         return log_ratio()
     if level == "sequence":
-        return F.sum(counted).over(SAMPLE)
+        return F.sum(counted).over(by_sample())
     if level == "geometric":
-        return F.sum(counted).over(SAMPLE) / (F.sum("mask").over(SAMPLE) + 1e-8)
+        return F.sum(counted).over(by_sample()) / (F.sum("mask").over(by_sample()) + 1e-8)
     raise ValueError(f"unknown level {level}")
 
 
@@ -144,7 +147,7 @@ def weight_diagnostics(df: DataFrame, cap: float = 2.0) -> DataFrame:
 def veto(df: DataFrame, threshold: float) -> DataFrame:
     """``new_mask`` 0 for whole samples that have a counted token with a ratio under ``threshold``."""
     bad = (log_ratio() < F.log(F.lit(threshold))) & (F.col("mask") != 0)
-    return df.withColumn("vetoed", F.coalesce(F.bool_or(bad).over(SAMPLE), F.lit(False))).withColumn("new_mask", F.when(F.col("vetoed"), 0).otherwise(F.col("mask")))
+    return df.withColumn("vetoed", F.coalesce(F.bool_or(bad).over(by_sample()), F.lit(False))).withColumn("new_mask", F.when(F.col("vetoed"), 0).otherwise(F.col("mask")))
 
 
 def off_policy(df: DataFrame) -> DataFrame:
@@ -208,7 +211,7 @@ def discounted_returns(df: DataFrame, gamma: float = 1.0) -> DataFrame:
 
 def remax(df: DataFrame, baseline: str = "baseline") -> DataFrame:
     """``returns`` (masked rewards summed from the token to the end) and ``advantage`` = (returns - baseline) x mask."""
-    back = SAMPLE.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = by_sample().orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     returns = F.sum(F.col("reward") * F.col("mask")).over(back)
     return df.withColumn("returns", returns).withColumn("advantage", (returns - F.col(baseline)) * F.col("mask"))
 
@@ -234,13 +237,13 @@ def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
 def response_mask(df: DataFrame, token: str, end: Column) -> DataFrame:
     """``response_mask`` 1 up to and with the first end token of each sample."""
     is_end = (F.col(token) == end).cast("int")
-    upto = F.sum(is_end).over(SAMPLE.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum(is_end).over(by_sample().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("response_mask", (upto - is_end == 0).cast("int"))
 
 
 def position_ids(df: DataFrame) -> DataFrame:
     """``position_id``: running count of counted tokens, from 0."""
-    running = F.sum("mask").over(SAMPLE.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = F.sum("mask").over(by_sample().orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("position_id", F.greatest(running - 1, F.lit(0)))
 
 
@@ -253,7 +256,7 @@ def place_score(df: DataFrame, score: str, where: str = "last") -> DataFrame:
     """``token_score``: the sample's score on its last counted token, or on all of them."""
     if where == "all":
         return df.withColumn("token_score", F.when(F.col("mask") != 0, F.col(score)).otherwise(0.0))
-    last = F.max(F.when(F.col("mask") != 0, F.col("pos"))).over(SAMPLE)
+    last = F.max(F.when(F.col("mask") != 0, F.col("pos"))).over(by_sample())
     return df.withColumn("token_score", F.when(F.col("pos") == last, F.col(score)).otherwise(0.0))
 
 

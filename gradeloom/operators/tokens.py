@@ -62,7 +62,7 @@ def aggregate_loss(df: DataFrame, column: str, mode: str, scale: float | None =
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(hi)), F.lit(lo)))
 
 
 def kl_estimate(logp: Column, ref: Column, kind: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("ranking", "groups", "tokens")
+MODULES = ("ranking", "groups", "preparation", "rubrics", "tokens")
 
 
 def query(sql: str | None = None):

@@ -8,10 +8,11 @@ Documents with equal shingle sets form one class, and classes meet in buckets, o
 bands are chosen so that a pair at the threshold shares no bucket with probability 2e-6 at most. No bucket's pairs are
 all emitted:
  1. every class of a bucket is compared with the bucket's smallest class; links give components;
- 2. buckets that hold classes of several components get further pivots, for two rounds;
- 3. in buckets that still do, classes of different components are compared directly where the bucket is small; in large
-    ones a prefix filter finds the pairs: sets of size n that reach the threshold t share one of their n - ceil(t n) + 1
-    rarest shingles, so a passage that thousands of otherwise different documents share brings none of them together.
+ 2. in buckets that still hold several components, classes of different components are compared pair by pair where the
+    bucket is small;
+ 3. the classes of large ones fall into families (connected through those buckets), and a family is cut into blocks of a
+    fixed size; each task compares two blocks by products of their set matrices and returns a link for each two components
+    that it finds connected, never the pairs themselves.
 A pair within one component needs no comparison, since it can't change the result. Every comparison is exact, on the
 whole word sequences.
 """
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import broadcast_if_small, materialize
@@ -32,7 +33,10 @@ from gradeloom.llm.textops import LOWER, chunks, gram_ids, hash_words, places, u
 
 COORDINATES = 120
 SMALL_BUCKET = 32
-_BLOCK = 1 << 16
+#: Classes in a block, and columns of the matrices that a cell holds at a time.
+BLOCK = 1024
+COLUMNS = 2048
+_CHUNK = 1 << 16
 
 
 def banding(threshold: float, coordinates: int = COORDINATES, miss: float = 2e-6) -> tuple[int, int]:
@@ -63,7 +67,7 @@ def circulant_signatures(places_: np.ndarray, first: np.ndarray, coordinates: in
     bounds = np.append(first, len(places_))
     lo = 0
     while lo < len(first):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + _BLOCK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + _CHUNK, "right")) - 1)
         block, cuts = places_[bounds[lo] : bounds[hi]], first[lo:hi] - bounds[lo]
         for k in range(coordinates):
             out[lo:hi, k] = np.minimum.reduceat(_permute(block + np.uint32(k)), cuts)
@@ -200,19 +204,12 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
         links = materialize(links.unionByName(_verified(fresh, texts, n, percent)), "links")
 
     left = open_buckets()
-    for turn in range(2):
-        pick = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")
-        pivots = left.groupBy("bucket").agg(F.min(pick).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
-        compare(left.join(pivots, "bucket").filter((F.col("component") != F.col("pivot_component")) & fits("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        left = open_buckets()
-
     small = left.filter(F.col("members") <= SMALL_BUCKET).select("bucket", "node", "n", "component")
     other = small.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     compare(small.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits("n", "n_b")).select(F.col("node").alias("a"), "b"))
-    large = left.filter(F.col("members") > SMALL_BUCKET).select("node", "n", "component").distinct()
-    large = materialize(large, "large")
+    large = left.filter(F.col("members") > SMALL_BUCKET)
     if not large.isEmpty():
-        compare(_by_prefix(large, texts, n, percent, fits))
+        compare(_in_blocks(large, texts, n, percent))
 
     mapped = classes.join(broadcast_if_small(connected_components(links)), "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component_id"))
     # most documents are alone in their class and component; the others are looked up
@@ -238,9 +235,12 @@ def keep_one(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataF
     return once.unionByName(left.join(again, left[key] == F.col("_again"), "left_semi").dropDuplicates([key]))
 
 
-def _by_prefix(large: DataFrame, texts: DataFrame, n: int, percent: int, fits) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles, so many that no pair at the
-    threshold is missed."""
+def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b), one at most for each two components of a cell, of classes of different components that reach the threshold.
+
+    From (bucket, node, component). A family of m classes makes ceil(m / BLOCK) blocks and a cell for each two of them, so no
+    task grows with a family and no pair is skipped.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -248,15 +248,37 @@ def _by_prefix(large: DataFrame, texts: DataFrame, n: int, percent: int, fits) -
             listed = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["node", "shingles"])
 
-    sets = texts.join(large.select(F.col("node").alias("id")), "id").mapInArrow(emit, "node long, shingles array<long>")
-    each = materialize(sets.select("node", F.explode("shingles").alias("shingle")), "shingles")
-    # a shingle that one class alone has can't bring a pair together, but it takes a place in the prefix
-    counted = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))).join(large, "node")
-    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = materialize(ranked.filter((F.col("rank") <= need) & (F.col("df") > 1)).select("shingle", "node", "n", "component"), "prefix")
-    other = prefix.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    met = prefix.join(other, "shingle").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) & fits("n", "n_b"))
-    return met.select(F.col("node").alias("a"), "b").distinct()
-
-
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, component, sets = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["shingles"].tolist()
+        size = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(pdf["block"] == pdf["i"]), np.flatnonzero(pdf["block"] == pdf["j"])
+        code = pd.factorize(np.concatenate(sets))[0]
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = np.flatnonzero(np.bincount(code) > 1)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        common = np.zeros((len(a), len(b)), np.float32)
+        for lo in range(0, len(shared), COLUMNS):
+            columns = shared[lo : lo + COLUMNS]
+            here = slice(np.searchsorted(code, columns[0]), np.searchsorted(code, columns[-1], "right"))
+            at = np.minimum(np.searchsorted(columns, code[here]), len(columns) - 1)
+            hit = columns[at] == code[here]
+            ones = np.zeros((len(sets), len(columns)), np.float32)
+            ones[row[here][hit], at[hit]] = 1
+            common += ones[a] @ ones[b].T
+        union = size[a][:, None] + size[b][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * union) & (component[a][:, None] != component[b][None, :]))
+        found = pd.DataFrame({"a": node[a[x]], "b": node[b[y]], "ca": component[a[x]], "cb": component[b[y]]})
+        return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    least = large.groupBy("bucket").agg(F.min("node").alias("least"))
+    edges = large.join(broadcast_if_small(materialize(least, "least")), "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    families = connected_components(edges).withColumnRenamed("component", "family")
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    marked = blocks.join(large.select("node", "component").distinct(), "node")
+    sets = texts.join(broadcast_if_small(materialize(marked, "blocks")), F.col("id") == F.col("node"))
+    sets = sets.select("id", "text").distinct().mapInArrow(emit, "node long, shingles array<long>").join(marked, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = sets.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return cells.groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")

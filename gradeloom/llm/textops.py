@@ -1,6 +1,6 @@
 """Vectorised text work inside tasks: exact word and n-gram ids for the documents of an Arrow batch.
 
-A chunk is a few MB of consecutive documents, so memory stays bounded however long a batch or a text is
+A chunk is about 2 MB of consecutive documents, so memory stays bounded however long a batch or a text is
 (one text is always whole).
 """
 
@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that begin a code point.
 IS_POINT = (np.arange(256) & 0xC0) != 0x80
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,8 @@ from gradeloom.llm.textops import chunks, utf8, word_ids, word_spans
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
 _CACHE = 300_000
+#: Text that is encoded at a time; larger blocks repeat fewer distinct words.
+BLOCK_BYTES = 8 << 20
 # The tokenizer's pre-tokenizer pattern, for ASCII words after lower-casing.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[!-~]+")
@@ -45,6 +47,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         got = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
@@ -54,15 +57,17 @@ class WordEncoder:
         return got
 
     def word(self, word: bytes) -> bytes:
+        """The ids of one word; words seen before come from a bounded cache."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= _CACHE:
+                self.words.clear()
+            got = self.words[word] = self._encode(word)
+        return got
+
+    def _encode(self, word: bytes) -> bytes:
         if b"<|" in word or not _PLAIN.fullmatch(word):
-            key = "\0" + word.decode()
-            got = self.pieces.get(key)
-            if got is None:
-                got = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-                if len(self.pieces) >= _CACHE:
-                    self.pieces.clear()
-                self.pieces[key] = got
-            return got
+            return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
         lower = word.lower().decode()
         if lower.isalpha():
             return self.pieces.get(lower) or self._piece(lower)
@@ -154,7 +159,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, *, seq
         total = 0
         with system.open_output_stream(f"{at}/{name}") as out, system.open_output_stream(f"{at}/{name}.index") as index_out, ipc.new_file(index_out, index) as docs_out:
             ids_out = SequenceFile(out, encoder.dtype, sequence)
-            for batch in chunks(batches, "text"):
+            for batch in chunks(batches, "text", BLOCK_BYTES):
                 ids, n = encoder.texts(batch.column("text"), end_id)
                 ids_out.add(ids)
                 docs_out.write_batch(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total + np.cumsum(n) - n), pa.array(n)], schema=index))

@@ -6,8 +6,8 @@ ids together and writes them as record batches with two fixed-size-list columns,
 any sequence of any batch without a copy. A second file beside it says where each document begins.
 
 Encoding: the tokenizer splits at white space before anything else that reaches across words, so a text's ids are those of
-its words one after another. Each distinct word of a block is encoded once; words of ASCII letters, digits and signs
-are split by the pre-tokenizer's own pattern and their pieces go to the tokenizer's model through a bounded cache, all
+its words one after another. Each distinct word of a block is encoded once; words of ASCII and Latin-1
+letters, digits and signs are split by the pre-tokenizer's own pattern and their pieces go to the tokenizer's model through a bounded cache, all
 other words through the whole tokenizer.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,15 @@ from gradeloom.llm.textops import chunks, utf8, word_ids, word_spans
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 256
-_CACHE = 300_000
+_CACHE = 600_000
 #: Text that is encoded at a time; larger blocks repeat fewer distinct words.
 BLOCK_BYTES = 8 << 20
-# The tokenizer's pre-tokenizer pattern, for ASCII words after lower-casing.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(rb"[!-~]+")
+# The tokenizer's pre-tokenizer pattern, for words of ASCII and Latin-1 letters after lower-casing.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# Byte-level alphabet: a printable Latin-1 byte stands for itself, the others for the characters from U+0100 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_OTHERS)}
 
 
 class WordEncoder:
@@ -47,28 +51,20 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        got = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        got = np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
         if len(self.pieces) >= _CACHE:
             self.pieces.clear()
         self.pieces[piece] = got
         return got
 
     def word(self, word: bytes) -> bytes:
-        """The ids of one word; words seen before come from a bounded cache."""
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= _CACHE:
-                self.words.clear()
-            got = self.words[word] = self._encode(word)
-        return got
-
-    def _encode(self, word: bytes) -> bytes:
-        if b"<|" in word or not _PLAIN.fullmatch(word):
-            return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-        lower = word.lower().decode()
+        text = word.decode()
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        lower = text.lower()
         if lower.isalpha():
             return self.pieces.get(lower) or self._piece(lower)
         return b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECES.findall(lower)])
@@ -89,6 +85,12 @@ class WordEncoder:
         return np.insert(ids, ends_at, end_id), np.diff(upto[doc]) + 1
 
 
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker, so its cache serves all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 class SequenceFile:
     """Writes a stream of ids as one Arrow file of equal-length sequences, padded at the end."""
 
@@ -151,7 +153,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, *, seq
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         system, at = makedirs(root)
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex[:12]}.arrow"

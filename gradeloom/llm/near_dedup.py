@@ -215,7 +215,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
     # most documents are alone in their class and component; the others are looked up
     alone = usable.groupBy("set_hi", "set_lo").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("only"))
     moved = materialize(mapped.join(alone, ["set_hi", "set_lo"]).filter("copies > 1 or component_id <> only").select("set_hi", "set_lo", "component_id"), "moved")
-    found = signed.join(broadcast_if_small(moved), ["set_hi", "set_lo"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    found = signed.join(broadcast_if_small(moved), ["set_hi", "set_lo"], "left").select("id", "n_shingles", F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
     return found
 
 

@@ -52,7 +52,7 @@ def statistics(column: pa.Array) -> list[np.ndarray]:
     # lines: all bytes but the line feeds, cut at line feeds and at the ends of texts
     feed = np.flatnonzero(data == 10)
     line_starts = np.sort(np.concatenate([at[:-1], feed + 1]))
-    line_owner = np.searchsorted(at, line_starts, "right") - 1
+    line_owner = np.minimum(np.searchsorted(at, line_starts, "right") - 1, n - 1)
     # an empty text begins where the next one does; its one line is empty, whoever is taken for its owner
     line_ends = np.minimum(np.append(line_starts[1:], len(data)), at[line_owner + 1])
     line_ends = np.where((line_ends > line_starts) & (data[np.maximum(line_ends - 1, 0)] == 10) if len(data) else False, line_ends - 1, line_ends)

@@ -104,6 +104,15 @@ ORACLES: dict[str, str] = {
             sum(length('<|im_start|>') + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g')) + 1
                 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::bigint AS formatted_chars
         FROM rows_in GROUP BY conv_id""",
+    "op9_warc_segments": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages),
+        d AS (
+            SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + 16 * substr(bits, 1 + 5 * i, 1)::int + 8 * substr(bits, 2 + 5 * i, 1)::int + 4 * substr(bits, 3 + 5 * i, 1)::int
+                + 2 * substr(bits, 4 + 5 * i, 1)::int + substr(bits, 5 + 5 * i, 1)::int, 1)), '') AS payload_digest FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+        FROM d WINDOW w AS (PARTITION BY payload_digest)""",
     "op10_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

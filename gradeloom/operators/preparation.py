@@ -388,3 +388,32 @@ def first_gold(df: DataFrame, by: str, gold: str, order: str) -> DataFrame:
     good = F.when(F.trim(F.coalesce(gold, F.lit(""))) != "", F.struct(order, gold))
     found = df.groupBy(by).agg(F.min(good)[gold].alias("_gold"))
     return df.drop(gold).join(found, by).withColumnRenamed("_gold", gold)
+
+
+def question_answer(df: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """``question`` and ``gold_answer`` by the kind of dataset: chats give their last user and assistant turn, others their fields.
+
+    Columns that the union of layouts lacks may be null: messages, instruction, input, output, question, generated_solution,
+    expected_answer. Kinds that have no answers, and unknown ones, give empty texts.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    last = lambda role: F.coalesce(F.try_element_at(F.filter("messages", lambda m: m["role"] == role), F.lit(-1))["content"], F.lit(""))
+    first_filled = lambda a, b: F.when(text(a) != "", text(a)).otherwise(text(b))
+    kind = F.col(dataset)
+    asked = F.when(kind.contains("chat"), last("user")).when(kind.contains("instruct"), first_filled("instruction", "input")).when(kind.contains("math"), text("question")).otherwise("")
+    answer = F.when(kind.contains("chat"), last("assistant")).when(kind.contains("instruct"), text("output")).when(kind.contains("math"), first_filled("generated_solution", "expected_answer")).otherwise("")
+    return df.withColumn("_q", asked).withColumn("gold_answer", answer).drop("question").withColumnRenamed("_q", "question")
+
+
+def showcase(df: DataFrame, best: str, others: Sequence[str], text: str, margin: float = 0.05, least: float = 0.6, lengths: tuple[int, int] = (50, 800), n: int = 10) -> DataFrame:
+    """The ``n`` rows with the largest ``lead`` of one score over the best of the others, among those that lead each by more
+    than ``margin``, score ``least`` or more, and have a text of a length strictly between ``lengths``."""
+    rest = F.greatest(*[F.col(c) for c in others]) if len(others) > 1 else F.col(others[0])
+    size = F.length(text)
+    good = (F.col(best) > rest + margin) & (F.col(best) >= least) & (size > lengths[0]) & (size < lengths[1])
+    return df.filter(good).withColumn("lead", F.col(best) - rest).orderBy(F.desc("lead"), text).limit(n)
+
+
+def since(df: DataFrame, epoch: str, start: float) -> DataFrame:
+    """Rows whose epoch seconds are ``start`` or later."""
+    return df.filter(F.col(epoch) >= start)

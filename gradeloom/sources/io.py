@@ -17,7 +17,7 @@ RUBRICS = "array<struct<criterion:string,points:int>>"
 WEIGHTED_RUBRICS = "array<struct<criterion:string,criteria:string,weight:double,points:double>>"
 # Schemas of the input layouts.
 SYNTHETIC = f"source string, question string, gold_answer string, rubric {RUBRICS}, rubrics {RUBRICS}"
-HEALTH = f"prompt_id string, prompt {MESSAGES}, rubrics {RUBRICS}, ideal_completions_data struct<ideal_completion:string>"
+PROMPTS = f"prompt_id string, prompt {MESSAGES}, rubrics {RUBRICS}, ideal_completions_data struct<ideal_completion:string>"
 META = f"prompt_id string, prompt {MESSAGES}, completion string, binary_labels array<boolean>, category string"
 PER_PROMPT = "prompt_id string, category string, num_completions int, pairwise_acc double, resolution double, pairs_used double, pred_scores array<double>, label_scores array<double>"
 STEP_CSV = "step int, reward double, reward_min double, reward_max double, n_crit double, n_uniq double, unique_ratio double"
@@ -44,14 +44,14 @@ def read_synthetic(spark: SparkSession, path: str, source: str | None = None) ->
 
 def read_prompts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(prompt_id, question, rubrics, ideal_completion, source, ord) from evaluation files; source is the file."""
-    df = read_jsonl(spark, paths, HEALTH)
+    df = read_jsonl(spark, paths, PROMPTS)
     question = x.chat_lines(F.col("prompt"))
     id_ = F.coalesce(F.nullif(F.trim(x.text_of("prompt_id")), F.lit("")), F.md5(question))
     out = df.select(id_.alias("prompt_id"), question.alias("question"), x.normalise_rubrics(F.col("rubrics")).alias("rubrics"), x.text_of("ideal_completions_data.ideal_completion").alias("ideal_completion"), F.col("file").alias("source"), "ord")
     return out.filter((F.col("question") != "") & (F.size("rubrics") > 0))
 
 
-def rubric_hub(prompts: DataFrame, queries: DataFrame) -> DataFrame:
+def rubric_tables(prompts: DataFrame, queries: DataFrame) -> DataFrame:
     """(source, question, rubric) from the two layouts of rubric tables: chats with points, and plain queries with weights."""
     a = prompts.select(F.col("data_source").alias("source"), x.chat_user_text(F.col("prompt")).alias("question"), x.normalise_rubrics(F.col("Rubrics")).alias("rubric"))
     a = a.withColumn("rubric", F.transform("rubric", lambda r: F.struct(r["criterion"], x.clamp_points(r["points"]).alias("points"))))

@@ -127,10 +127,10 @@ def test_readers_accept_both_names(spark, tmp_path):
     assert {r["id"] for r in io.read_cache_document(spark, str(tmp_path / "cache.json")).collect()} == {"p1", "p2"}
 
 
-def test_rubric_hub_layouts(spark):
+def test_rubric_table_layouts(spark):
     a = spark.createDataFrame([([("question", "user")], [("c", 99)], "hub")], "prompt array<struct<content:string,role:string>>, Rubrics array<struct<criterion:string,points:int>>, data_source string")
     b = spark.createDataFrame([("ask", [(None, "d", 0.25, None)], "ft")], "query string, rubrics array<struct<criterion:string,criteria:string,weight:double,points:double>>, source string")
-    got = {r["source"]: (r["question"], [tuple(c) for c in r["rubric"]]) for r in io.rubric_hub(a, b).collect()}
+    got = {r["source"]: (r["question"], [tuple(c) for c in r["rubric"]]) for r in io.rubric_tables(a, b).collect()}
     assert got == {"hub": ("question", [("c", 10)]), "ft": ("ask", [("d", 2)])}
 
 

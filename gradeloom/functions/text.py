@@ -145,16 +145,21 @@ QUALITY = {"lambda_len": 2.0, "min_criteria": 3, "max_criteria": 15, "lambda_zer
 def quality_adjustment(text: Column, token_count: Column, **config: float) -> Column:
     """struct(n_criteria, n_positive, n_negative, length, token_length, malformed, double_tag, total): penalties, 0 or below."""
     c = QUALITY | config
-    criteria = parse_rubric(text)
-    n = F.size(criteria)
-    signs = lambda s: F.size(F.filter(criteria, lambda x: x["sign"] == s))
-    length = F.when(n == 0, -c["lambda_zero"]).when(n > c["max_criteria"], -c["lambda_len"] * (n - c["max_criteria"]) / n).when(n < c["min_criteria"], -c["lambda_len"] * (c["min_criteria"] - n) / max(c["min_criteria"], 1)).otherwise(0.0)
-    over = F.least((token_count - c["soft_max"]) / max(c["hard_max"] - c["soft_max"], 1), F.lit(1.0))
-    tokens = F.when(token_count > c["soft_max"], -c["lambda_token_len"] * over * over).otherwise(0.0)
-    malformed = -c["lambda_malformed"] * F.least(malformed_count(text) / 3.0, F.lit(1.0))
-    double = -c["lambda_double_tag"] * double_tag_count(text) / F.greatest(n, F.lit(1))
-    total = length + tokens + malformed + double
-    return F.struct(n.alias("n_criteria"), signs("+").alias("n_positive"), signs("-").alias("n_negative"), length.alias("length"), tokens.alias("token_length"), malformed.alias("malformed"), double.alias("double_tag"), total.alias("total"))
+    parts = F.struct(F.transform(parse_rubric(text), lambda v: v["sign"]).alias("signs"), malformed_count(text).alias("malformed"), double_tag_count(text).alias("double"))
+
+    def penalties(p: Column) -> Column:
+        n = F.size(p["signs"])
+        signs = lambda s: F.size(F.filter(p["signs"], lambda v: v == s))
+        length = F.when(n == 0, -c["lambda_zero"]).when(n > c["max_criteria"], -c["lambda_len"] * (n - c["max_criteria"]) / n).when(n < c["min_criteria"], -c["lambda_len"] * (c["min_criteria"] - n) / max(c["min_criteria"], 1)).otherwise(0.0)
+        over = F.least((token_count - c["soft_max"]) / max(c["hard_max"] - c["soft_max"], 1), F.lit(1.0))
+        tokens = F.when(token_count > c["soft_max"], -c["lambda_token_len"] * over * over).otherwise(0.0)
+        malformed = -c["lambda_malformed"] * F.least(p["malformed"] / 3.0, F.lit(1.0))
+        double = -c["lambda_double_tag"] * p["double"] / F.greatest(n, F.lit(1))
+        total = length + tokens + malformed + double
+        return F.struct(n.alias("n_criteria"), signs("+").alias("n_positive"), signs("-").alias("n_negative"), length.alias("length"), tokens.alias("token_length"), malformed.alias("malformed"), double.alias("double_tag"), total.alias("total"))
+
+    # the one-element array binds the parsed rubric to a variable, so it is parsed once
+    return F.get(F.transform(F.array(parts), penalties), F.lit(0))
 
 
 def bold_concepts(text: Column | str) -> Column:

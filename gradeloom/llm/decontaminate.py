@@ -6,7 +6,7 @@ template. Documents are cut into tiles of w words, benchmark items into windows
 2 w - 1 words that a document shares with an item holds a whole tile, which a hash join then finds, at one tile instead
 of w windows for each w words of the corpus. The tile's place gives the alignment, along which document and item are compared
 word by word; there a word may also match as it stands (a sentence's first word looks like a name where a document
-puts it inside a sentence). A run of matching words counts if it is long enough, has enough words that aren't placeholders, and
+puts it inside a sentence). A run of matching words counts if it is long enough, has enough words that are the item's own, and
 fills the slots consistently: one value of the item goes to one value of the document and back.
 """
 
@@ -46,11 +46,13 @@ def _tile_hashes(tokens: Column, w: int, step: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(tokens, i * step + 1, w)))
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_id", text: str = "text", cut: bool = False) -> DataFrame:
     """(doc_id, item_id, run, literal, n_words): documents and the benchmark items that they leak.
 
-    ``run`` is the longest consistent run of matching words, ``literal`` how many of them are no placeholders,
-    ``n_words`` the item's length. A leak has min(run, n_words) words in a row, at least half of them literal. Null texts and
+    ``run`` is the longest consistent run of matching words that is a leak, ``literal`` how many of them are no placeholders
+    or have the item's own value, ``n_words`` the item's length. A leak has min(run, n_words) words in a row, at least half of
+    them literal. Every run of each alignment is tried. With ``cut`` a run is cut where slots conflict and each consistent part
+    counts for itself; without it, a conflict anywhere between two words that don't match rejects the run. Null texts and
     items without words leak nothing. Rows that share an id (null too) are reported together, as are items that share
     an item_id. An empty table on either side gives an empty result.
     """
@@ -79,32 +81,42 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_
     def at(array: str, i: Column) -> Column:
         return F.get(F.col(array), i + F.col("shift"))
 
-    # (place in the item, matches) for each word of the item, then the runs of matches
+    # for each word of the item: does the document's word match, is it a slot, and both words
     same = lambda t, i: at("template", i).eqNullSafe(t) | F.lower(at("seen", i)).eqNullSafe(F.lower(F.get(F.col("values"), i)))
-    equal = F.transform("item_template", lambda t, i: F.when(i + F.col("shift") >= 0, same(t, i)).otherwise(F.lit(False)))
-    run_type = "struct<first:int,n:int,best_first:int,best_n:int>"
-    start = F.expr(f"cast(named_struct('first', 0, 'n', 0, 'best_first', 0, 'best_n', 0) as {run_type})")
+    place = lambda t, i: F.struct(i.alias("i"), same(t, i).alias("ok"), F.startswith(t, F.lit(MARK)).alias("slot"), F.lower(F.get(F.col("values"), i)).alias("a"), F.lower(at("seen", i)).alias("b"))
+    # materialized, as Catalyst would put the words' expressions into each use inside a lambda
+    best = materialize(aligned.select("doc_id", "item_id", F.transform("item_template", place).alias("p")), "aligned")
+    # the last place before x whose slot can't stand in one run with x; a place without a match bars itself
+    clash = lambda x: F.filter("p", lambda y: y["ok"] & y["slot"] & (y["i"] < x["i"]) & ((y["a"] == x["a"]) != (y["b"] == x["b"])))
+    bar = lambda x: F.when(~x["ok"], x["i"]).when(x["slot"], F.coalesce(F.array_max(F.transform(clash(x), lambda y: y["i"])), F.lit(-1))).otherwise(F.lit(-1))
+    best = materialize(best.withColumn("p", F.transform("p", lambda x: F.struct(x["i"].alias("i"), x["ok"].alias("ok"), bar(x).alias("bar"), (~x["slot"] | (x["a"] == x["b"])).alias("literal")))), "barred")
+    # before each place and at the end: the last bar, the last place without a match, and literal less other words
+    start = F.expr("array(named_struct('bar', -1, 'miss', -1, 'sum', 0))")
 
     def step(acc: Column, x: Column) -> Column:
-        n = F.when(x["ok"], acc["n"] + 1).otherwise(0)
-        first = F.when(x["ok"] & (acc["n"] > 0), acc["first"]).otherwise(x["i"])
-        better = n > acc["best_n"]
-        return F.struct(first.alias("first"), n.alias("n"), F.when(better, first).otherwise(acc["best_first"]).alias("best_first"), F.when(better, n).otherwise(acc["best_n"]).alias("best_n"))
-
-    marked = aligned.withColumn("ok", F.transform(equal, lambda m, i: F.struct(m.alias("ok"), i.alias("i"))))
-    best = marked.withColumn("best", F.aggregate("ok", start, step)).withColumn("inside", F.expr("sequence(best.best_first, best.best_first + best.best_n - 1)"))
-    best = best.filter("best.best_n > 0")
-    slots = F.filter("inside", lambda i: F.startswith(F.get(F.col("item_template"), i), F.lit(MARK)))
-    best = best.withColumn("slots", slots)
-    mine = F.transform("slots", lambda i: F.lower(F.get(F.col("values"), i)))
-    theirs = F.transform("slots", lambda i: F.lower(at("seen", i)))
-    both = F.transform("slots", lambda i: F.struct(F.lower(F.get(F.col("values"), i)).alias("a"), F.lower(at("seen", i)).alias("b")))
-    kinds = F.size(F.array_distinct(both))
-    consistent = (kinds == F.size(F.array_distinct(mine))) & (kinds == F.size(F.array_distinct(theirs)))
-    n = F.col("best.best_n")
-    literal = n - F.size("slots")
-    found = best.filter(consistent & (n >= F.least(F.size("item_template"), F.lit(run))) & (2 * literal >= n))
-    longest = F.max(F.struct(n.alias("run"), literal.alias("literal"), F.size("item_template").alias("n_words"))).alias("m")
+        last = F.element_at(acc, -1)
+        now = F.struct(F.greatest(last["bar"], x["bar"]).alias("bar"), F.when(x["ok"], last["miss"]).otherwise(x["i"]).alias("miss"), (last["sum"] + F.when(x["literal"], 1).otherwise(-1)).alias("sum"))
+        return F.concat(acc, F.array(now))
+
+    best = best.select("doc_id", "item_id", F.size("p").alias("n_words"), F.aggregate("p", start, step).alias("acc"))
+    least = F.least(F.col("n_words"), F.lit(run))
+
+    def ending(x: Column, end: Column) -> Column:
+        """The longest run up to word ``end`` (not in it) that counts, or null."""
+        first = x["bar"] + 1
+        follows = F.get(F.col("acc"), end + 1)
+        counts = end - first >= least
+        if not cut:
+            counts &= (x["bar"] == x["miss"]) & (follows.isNull() | (follows["miss"] == end))
+        enough = lambda k: F.get(F.col("acc"), k)["sum"] <= x["sum"]
+        begin = F.when(enough(first), first).otherwise(F.get(F.filter(F.sequence(first, end - least), enough), F.lit(0)))
+        n = F.when(counts, end - begin)
+        return F.when(n.isNotNull(), F.struct(n.alias("run"), ((n + x["sum"] - F.get(F.col("acc"), end - n)["sum"]) / 2).cast("int").alias("literal")))
+
+    best = best.withColumn("best", F.array_max(F.transform("acc", ending)))
+    found = best.filter(F.col("best").isNotNull())
+    n, literal = F.col("best.run"), F.col("best.literal")
+    longest = F.max(F.struct(n.alias("run"), literal.alias("literal"), F.col("n_words"))).alias("m")
     return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "m.run", "m.literal", "m.n_words")
 
 

@@ -45,7 +45,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it leaks; clean documents have none."""
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), cut=True)
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,19 @@ def test_every_offset_of_a_passage_is_found(spark, vocabulary):
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(1, 25))
 
 
+def test_leaks_beside_a_conflict_and_verbatim_slots(spark, vocabulary):
+    random.seed(9)
+    item = "If the train leaves at 5 km from Paris with Anna and 12 bags then how many bags and people does the train with Anna carry past Paris after 5 hours"
+    filler = prose(vocabulary, 40)
+    numbers = " ".join(f"{k} {w} {k + 1} {k + 2}" for k, w in zip(range(100, 190, 9), vocabulary))
+    rows = [(1, f"{filler}. {item.replace('Anna and 12', 'Bob and 12')}"), (2, f"{filler} {numbers}"), (3, f"{filler} {numbers.translate(str.maketrans('123456789', '234567891'))}"), (4, filler)]
+    rows.append((5, " ".join([*item.split()[:12], "word", *item.split()[13:]]).replace("people does the train with Anna", "people does the train with Bob")))
+    items = spark.createDataFrame([(10, item), (11, numbers)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["run"], r["literal"]) for r in decontaminate.leaks(make_docs(spark, rows), items, cut=True).collect()}
+    # 1: up to the second Anna, one slot is not literal; 2: all slots are the item's; 5: after the place that differs
+    assert got == {(1, 10): (24, 23), (2, 11): (40, 40), (5, 10): (18, 17)}
+
+
 # ---- op6
 
 

@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations alone.
 
-Words are runs of letters and digits. Numbers, units behind numbers and names (capitalised words inside a sentence)
-become typed placeholders, all else is lower-cased, so a question whose numbers and names were changed keeps its
-template. Documents are cut into tiles of w words, benchmark items into windows of w words at every place; any run of
-2 w - 1 words that a document shares with an item holds a whole tile, which a hash join then finds, at one tile instead
-of w windows for each w words of the corpus. The tile's place gives the alignment, along which document and item are compared
-word by word; there a word may also match as it stands (a sentence's first word looks like a name where a document
-puts it inside a sentence). A run of matching words counts if it is long enough, has enough words that are the item's own, and
-fills the slots consistently: one value of the item goes to one value of the document and back.
+Words are runs of letters and digits; a number is one word with its decimals and thousands marks, a unit behind it another.
+Numbers, units behind numbers and names become typed placeholders, all else is lower-cased, so a question whose numbers
+and names were changed keeps its template. A capitalised word may be a name or start a sentence, so there are three readings:
+all of them are names, only those inside a sentence are, or none is. Documents are cut into tiles of w words, benchmark
+items into windows of w words at every place; any run of 2 w - 1 words that a document shares with an item holds a whole
+tile, which a hash join then finds in any reading, at one tile instead of w windows for each w words of the corpus. The
+tile's place gives the alignment, along which document and item are compared word by word, with all capitalised words as
+names; there a word may also match as it stands (the document may have it in another case). A run of matching words counts
+if it is long enough, has enough words that are the item's own, and fills the slots consistently: one value of the item
+goes to one value of the document and back.
 """
 
 from __future__ import annotations
@@ -20,18 +22,36 @@ from gradeloom.llm.common import broadcast_if_small, materialize
 #: Placeholders are single words that begin with a letter that no text is expected to have.
 MARK = "ꙮ"
 NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "x"
+#: A letter in place of the marks inside a number.
+POINT = "ꙭ"
+READINGS = ("all_names", "inside_names", "no_names")
 # Units of measure that are replaced when they follow a number.
 UNITS = "km|m|cm|mm|kg|g|mg|t|l|ml|s|sec|min|h|hr|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|meters?|metres?|feet|foot|inch|inches|yards?|pounds?|lbs?|oz|ounces?|liters?|litres?|gallons?|percent|dollars?|cents?|euros?|usd|eur|degrees?|watts?|volts?|mph|kmh|gb|mb|kb|tb"
 #: Words in a row that make a leak; shorter items must be there whole.
 RUN = 13
 _SPLIT = r"[^\p{L}\p{N}]+"
+_CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]*"
+_INSIDE = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+
+
+def separated(text: Column) -> Column:
+    """The text with marks inside numbers made letters and a space between a number and its unit; null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    whole = F.regexp_replace(t, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+    apart = F.regexp_replace(whole, rf"(?i)(?<![\p{{L}}\p{{N}}])(\p{{N}}[\p{{N}}{POINT}]*)(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1 ")
+    return F.when(t.rlike(r"\p{N}[.,\p{L}]"), apart).otherwise(t)
+
+
+def numbered(text: Column) -> Column:
+    """A separated text with placeholders in place of numbers (words that begin with a digit) and units; word for word."""
+    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}[\p{L}\p{N}]*", NUMBER)
+    t = F.regexp_replace(t, rf"(?i)(?<={NUMBER}[^\p{{L}}\p{{N}}])(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    return F.when(text.rlike(r"\p{N}"), t).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
-    """The text with placeholders in place of its names, numbers and units, in lower case; word for word."""
-    t = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    t = F.when(t.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", NUMBER), rf"(?i)(?<={NUMBER} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(t)
-    return F.lower(t)
+    """A separated text with placeholders for numbers, units and all capitalised words, in lower case; word for word."""
+    return F.lower(F.regexp_replace(numbered(text), _CAPITALISED, NAME))
 
 
 def words(text: Column) -> Column:
@@ -39,11 +59,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPLIT), lambda w: w != "")
 
 
-def _tile_hashes(tokens: Column, w: int, step: int) -> Column:
-    """xxhash64 of the ``w`` words from every ``step``-th place; empty where there are fewer than ``w`` words."""
-    last = F.floor((F.size(tokens) - w) / step).cast("int")
-    places = F.when(F.size(tokens) >= w, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(tokens, i * step + 1, w)))
+def _readings(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the words of its text in the three readings, in place of the text."""
+    df = df.withColumn(text, numbered(separated(F.col(text))))
+    readings = (F.regexp_replace(text, _CAPITALISED, NAME), F.regexp_replace(text, _INSIDE, NAME), F.col(text))
+    return df.select(*[c for c in df.columns if c != text], *[words(F.lower(r)).alias(c) for r, c in zip(readings, READINGS)])
+
+
+def _tiles(df: DataFrame, place: str, w: int, step: int) -> DataFrame:
+    """Rows (..., ``place``, hash): xxhash64 of the ``w`` words from every ``step``-th place, once for readings that are equal there."""
+    # each reading is named twice, or Catalyst would put its expression into the lambda
+    n = F.least(*[F.size(c) for c in READINGS])
+    places = F.when(n >= w, F.sequence(F.lit(0), F.floor((n - w) / step).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    hashes = F.transform(places, lambda i: F.array_distinct(F.array(*[F.xxhash64(F.slice(F.col(c), i * step + 1, w)) for c in READINGS])))
+    left = [c for c in df.columns if c not in READINGS]
+    return df.select(*left, F.posexplode(hashes).alias(place, "hash")).withColumn("hash", F.explode("hash"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_id", text: str = "text", cut: bool = False) -> DataFrame:
@@ -56,17 +86,19 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_
     items without words leak nothing. Rows that share an id (null too) are reported together, as are items that share
     an item_id. An empty table on either side gives an empty result.
     """
-    bench = items.select("item_id", words(canonical(F.col("text"))).alias("template"), words(F.col("text")).alias("values")).filter(F.size("template") > 0)
+    plain = separated(F.col("text"))
+    bench = items.select("item_id", "text", words(canonical(plain)).alias("template"), words(plain).alias("values")).filter(F.size("template") > 0)
     width = F.greatest(F.floor(F.least(F.size("template"), F.lit(run)) / 2), F.lit(1)).cast("int")
     bench = materialize(bench.withColumn("width", width), "benchmark")
     # at most run / 2 widths, one for all items of run words and more
     widths = sorted(r["width"] for r in bench.select("width").distinct().collect())
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("template", words(canonical(F.col("text"))))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    read = _readings(rows, "text")
     pairs = None
     for w in widths:
-        windows = bench.filter(F.col("width") == w).select("item_id", F.posexplode(_tile_hashes(F.col("template"), w, 1)).alias("item_at", "hash"))
+        windows = _tiles(_readings(bench.filter(F.col("width") == w).select("item_id", "text"), "text"), "item_at", w, 1)
         windows = broadcast_if_small(materialize(windows, "windows"))
-        tiles = rows.select("doc_id", F.posexplode(_tile_hashes(F.col("template"), w, w)).alias("tile", "hash"))
+        tiles = _tiles(read, "tile", w, w)
         met = tiles.join(windows, "hash").select("doc_id", "item_id", (F.col("tile") * w - F.col("item_at")).alias("shift"))
         pairs = met if pairs is None else pairs.unionByName(met)
     if pairs is None:
@@ -74,7 +106,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, *, key: str = "doc_
     pairs = materialize(pairs.distinct(), "tile-pairs")
     near = broadcast_if_small(pairs)
     near = near.withColumnRenamed("doc_id", "_id")
-    with_doc = rows.withColumn("seen", words(F.col("text"))).join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "text")
+    with_doc = rows.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").withColumn("text", separated(F.col("text")))
+    with_doc = with_doc.select("doc_id", "item_id", "shift", words(canonical(F.col("text"))).alias("template"), words(F.col("text")).alias("seen"))
     small = broadcast_if_small(bench).select(F.col("item_id").alias("_item"), F.col("template").alias("item_template"), "values")
     aligned = with_doc.join(small, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 

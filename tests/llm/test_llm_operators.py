@@ -261,6 +261,22 @@ def test_leaks_beside_a_conflict_and_verbatim_slots(spark, vocabulary):
     assert got == {(1, 10): (24, 23), (2, 11): (40, 40), (5, 10): (18, 17)}
 
 
+def test_leaks_of_every_form_of_numbers_and_names(spark, vocabulary):
+    random.seed(10)
+    filler = prose(vocabulary, 40)
+    pairs = [
+        ("a tank holds 3.5 litres and gains 1,200 drops in each hour so how full is it", "a tank holds 4 litres and gains 900 drops in each hour so how full is it"),
+        ("a van drove 5km on the 3rd trip and carried 20kg of sand for each of its owners", "a van drove 7 km on the 14th trip and carried 30kg of sand for each of its owners"),
+        ("Natalia sold nine clips in spring. Natalia sold eight more.\nWeng gave \"Ann\" (Lee) some", "Maria sold nine clips in spring. Maria sold eight more.\nJose gave \"Eve\" (Kim) some"),
+        ("MARTHA picks ten apples. JOHN picks six pears. MARTHA eats two pears. JOHN eats one", "ESTHER picks ten apples. PETER picks six pears. ESTHER eats two pears. PETER eats one"),
+        ("The boat With Sails Left port at nine and came Back Home when rain fell on us", "the boat with sails left port at nine and came back home when rain fell on us"),
+    ]
+    items = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(pairs)], "item_id long, text string")
+    rows = [(i, f"{prose(vocabulary, i)} {filler}. {other}. {filler}") for i, (_, other) in enumerate(pairs)] + [(9, filler)]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make_docs(spark, rows), items, cut=True).collect())
+    assert got == [(i, i) for i in range(len(pairs))]
+
+
 # ---- op6
 
 

@@ -36,9 +36,9 @@ def monitor_top_values(spark, sf_dir):
 
 @query()
 def monitor_collapse_rate(spark, sf_dir):
-    words = F.slice(F.array_distinct(F.split(F.lower("text"), r"\s+")), 1, 40)
+    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
     df = steps(spark, sf_dir).select("step", F.col("lang").alias("q"), F.col("doc_id").alias("rollout"), words.alias("words"))
-    return rounded(m.collapse_rate(df, 0.1))
+    return rounded(m.collapse_rate(df))
 
 
 @query("""WITH r AS (SELECT doc_id // 50 AS step, n_chars, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY n_chars) - 1 AS r, count(*) OVER (PARTITION BY doc_id // 50) AS n FROM documents)
@@ -54,7 +54,7 @@ def monitor_text_lengths(spark, sf_dir):
 
 @query()
 def monitor_topic_specificity(spark, sf_dir):
-    return rounded(m.topic_specificity(rubrics(spark, sf_dir).withColumn("question", F.substring("text", 1, 60)), "question", "rubric"))
+    return rounded(m.topic_specificity(rubrics(spark, sf_dir).withColumn("question", F.regexp_extract("text", r"\S[^\r\n]*", 0)), "question", "rubric"))
 
 
 @query("SELECT step, total, template, generic, total - greatest(template, generic) AS clean FROM (SELECT doc_id // 50 AS step, count(*) AS total, count(*) FILTER (contains(text, '|')) AS template, count(*) FILTER (contains(text, '!!')) AS generic FROM documents GROUP BY 1)")

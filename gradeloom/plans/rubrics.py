@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import answers as a
 from gradeloom.functions import text as x
+from gradeloom.operators.order import number_rows
 from gradeloom.plans.ranking import rounded
 from gradeloom.plans.registry import query, table
 
@@ -48,6 +49,13 @@ def rubric_quality(spark, sf_dir):
     return rounded(q.withColumns({c: F.col(c).cast("long") for c in ("n_criteria", "n_positive", "n_negative")}))
 
 
+def with_gold(spark, sf_dir):
+    """Rubrics with the benchmark text ``gold``, dealt in turn: item number doc_id modulo the number of items. The SQL below has 40 for it, as at sf0.01."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
+    gold = number_rows(items, ["item_id"], F.floor(F.col("item_id") / 10_000), "g").select("g", "gold")
+    return rubrics(spark, sf_dir).join(gold, F.pmod(F.col("doc_id"), F.lit(max(items.count(), 1))) == F.col("g"))
+
+
 WORDS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z]{{4,}}')), lambda w: NOT list_contains([{}], w))"
 STOP = ", ".join(f"'{w}'" for w in x.STOP_WORDS)
 A, G = WORDS.format("d.text", STOP), WORDS.format("b.text", STOP)
@@ -56,8 +64,7 @@ A, G = WORDS.format("d.text", STOP), WORDS.format("b.text", STOP)
 @query(f"""WITH k AS (SELECT doc_id, {A} AS a, {G} AS g FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), n AS (SELECT doc_id, len(a) AS na, len(g) AS ng, len(list_intersect(a, g)) AS o FROM k)
     SELECT doc_id, round(CASE WHEN na > 0 AND ng > 0 THEN o / ng ELSE 0 END, 4) AS recall, round(CASE WHEN na > 0 AND ng > 0 THEN o / na ELSE 0 END, 4) AS precision, round(CASE WHEN o > 0 THEN 2.0 * o / (na + ng) ELSE 0 END, 4) AS f1 FROM n""")
 def rubric_keyword_scores(spark, sf_dir):
-    gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("g"), F.col("text").alias("gold"))
-    both = rubrics(spark, sf_dir).join(gold, F.col("doc_id") % 40 == F.col("g"))
+    both = with_gold(spark, sf_dir)
     return rounded(both.select("doc_id", x.keyword_scores("text", "gold").alias("k")).select("doc_id", "k.*"))
 
 
@@ -68,8 +75,7 @@ def rubric_compliance(spark, sf_dir):
 
 @query()
 def rubric_composite(spark, sf_dir):
-    gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("g"), F.col("text").alias("gold"))
-    both = rubrics(spark, sf_dir).join(gold, F.col("doc_id") % 40 == F.col("g"))
+    both = with_gold(spark, sf_dir)
     return rounded(both.select("doc_id", x.composite_score(F.col("rubric"), F.col("gold")).alias("score")))
 
 

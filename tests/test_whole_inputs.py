@@ -18,3 +18,10 @@ def test_monitors_read_whole_texts_and_lines(spark, tmp_path):
     text = f"{'x ' * 45} zebra\na zebra ran off."  # lines of 95 and 16 letters: only the second is a criterion
     d = put(spark, tmp_path / "b", "documents", [(0, text, "en", "s", len(text))], DOC)
     assert entry.queries()["monitor_topic_specificity"](spark, d).first()["criteria"] == 1.0
+
+
+def test_every_benchmark_item_is_a_gold_side(spark, tmp_path):
+    put(spark, tmp_path, "documents", [(i, f"apple pear{i}", "en", "s", 9) for i in range(120)], DOC)
+    d = put(spark, tmp_path, "benchmark", [(3 * i, f"apple pear{i} item{i}") for i in range(60)], "item_id long, text string")
+    for name in ("rubric_keyword_scores", "rubric_composite"):
+        assert sorted(r["doc_id"] for r in entry.queries()[name](spark, d).collect()) == list(range(120))

@@ -50,10 +50,11 @@ def prep_since(spark, sf_dir):
 @query("SELECT item_id, (item_id * 7 + 3) % (SELECT count(*) FROM benchmark) AS ord FROM benchmark WHERE (SELECT count(*) FROM benchmark) % 7 <> 0")
 def prep_reorder(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    n = b.count()
+    n = max(b.count(), 1)
+    step = 7 if n % 7 else 1  # a factor that n shares gives no permutation; the SQL has no rows there
     rows = b.select("item_id", F.col("item_id").alias("ord"))
-    permutation = rows.select(F.col("ord").alias("old"), ((F.col("ord") * 7 + 3) % n).alias("new"))
-    return p.reorder(rows, permutation) if n % 7 else p.reorder(rows, permutation).limit(0)
+    permutation = rows.select(F.col("ord").alias("old"), ((F.col("ord") * step + 3) % n).alias("new"))
+    return p.reorder(rows, permutation)
 
 
 @query("SELECT d.doc_id, d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0")

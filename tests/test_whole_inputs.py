@@ -25,3 +25,9 @@ def test_every_benchmark_item_is_a_gold_side(spark, tmp_path):
     d = put(spark, tmp_path, "benchmark", [(3 * i, f"apple pear{i} item{i}") for i in range(60)], "item_id long, text string")
     for name in ("rubric_keyword_scores", "rubric_composite"):
         assert sorted(r["doc_id"] for r in entry.queries()[name](spark, d).collect()) == list(range(120))
+
+
+def test_reorder_of_a_multiple_of_seven(spark, tmp_path):
+    d = put(spark, tmp_path, "benchmark", [(i, "x") for i in range(14)], "item_id long, text string")
+    got = {r["item_id"]: r["ord"] for r in entry.queries()["prep_reorder"](spark, d).collect()}
+    assert got == {i: (i + 3) % 14 for i in range(14)}

@@ -40,18 +40,20 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Events of a turn count in the order of seq, then kind, role and text. A null kind is a message, a null text is
     empty, the role is the last that isn't null (else empty). Null conv_id, turn and seq are values like others and
-    sort first. Turns that a later regeneration of an earlier turn discarded are left out.
+    sort first. A regeneration of an earlier turn discards the events up to it; turns with no event left are left out.
     """
     kind = F.coalesce("kind", F.lit("message"))
     e = events.select("conv_id", "turn", F.struct(F.col("seq"), kind.alias("kind"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
-    turns = e.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("log"), F.max("e.seq").alias("last"), F.max(F.when(F.col("e.kind") == "regenerate", F.col("e.seq"))).alias("again"))
+    again = e.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("e.kind") == "regenerate", F.col("e.seq"))).alias("again"), F.max("e.seq").alias("last"), F.sort_array(F.collect_list("e")).alias("log"))
+    cut = F.max("again").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.filter("log", lambda x: F.col("_cut").isNull() | F.col("last").isNull() | (x["seq"] > F.col("_cut")))
+    turns = again.withColumn("_cut", cut).withColumn("log", left).filter(F.size("log") > 0)
     reset = F.array_max(F.transform("log", lambda x, i: F.when(x["kind"] != "delta", i).otherwise(0)))
     parts = F.filter("log", lambda x, i: i >= F.col("reset"))
     text = F.array_join(F.transform(parts, lambda x: F.when(x["kind"] == "regenerate", F.lit("")).otherwise(x["text"])), "")
     roles = F.filter(F.transform("log", lambda x: x["role"]), lambda x: x.isNotNull())
-    turns = turns.withColumn("reset", reset).select("conv_id", "turn", "last", "again", text.alias("text"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"))
-    cut = F.max("again").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumn("_cut", cut).filter(F.col("_cut").isNull() | F.col("last").isNull() | (F.col("last") > F.col("_cut"))).select("conv_id", "turn", "role", "text")
+    turns = turns.withColumn("reset", reset).select("conv_id", "turn", text.alias("text"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"))
+    return turns.select("conv_id", "turn", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:

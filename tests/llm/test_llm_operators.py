@@ -220,6 +220,12 @@ def test_fold_events(spark):
     assert got == {(1, 0): ("user", "hey"), (1, 1): ("assistant", "bye"), (2, 0): ("", ""), (3, 0): ("user", "x"), (3, 1): ("assistant", "y")}
 
 
+def test_fold_events_after_a_regeneration_of_an_earlier_turn(spark):
+    e = [(1, 1, 4, "delta", "assistant", "old"), (1, 2, 5, "delta", "user", "foo"), (1, 1, 6, "regenerate", None, None), (1, 1, 7, "delta", None, "new"), (1, 2, 8, "delta", None, "bar"), (1, 3, 3, "message", "user", "gone")]
+    got = {r["turn"]: (r["role"], r["text"]) for r in chat.fold_events(spark.createDataFrame(e, "conv_id int, turn int, seq int, kind string, role string, text string")).collect()}
+    assert got == {1: ("assistant", "new"), 2: ("", "bar")}
+
+
 # ---- op5
 
 

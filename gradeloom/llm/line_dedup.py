@@ -1,10 +1,14 @@
 """Line dedup through a sharded minimal perfect hash.
 
-Every distinct line key has a 128-bit hash. Keys that enough documents hold go, by hash, to shards of bounded size;
-each shard is a file with a minimal perfect hash (levels of bit sets: a key sits in the first level where no other key
-of the shard falls on its bit, and the rank of that bit is its place), an array of 64-bit fingerprints, one of
-document counts and one of keepers. Documents probe these arrays, in blocks and shard by shard, instead of joining
+Every distinct line key has a 128-bit hash. All of them go, by hash, to shards of bounded size; each shard is a folder with a
+minimal perfect hash (levels of bit sets: a key sits in the first level where no other key of the shard falls on its bit,
+and the rank of that bit is its place), an array of 32-bit fingerprints and one of document counts, both in the order of
+the places. Keepers are stored for the keys that enough documents hold alone; a bit set beside the counts marks these, and the
+rank of a key's bit is its keeper's place. Documents probe the arrays, in blocks and shard by shard, instead of joining
 their lines to a table of lines, so texts are never shuffled and a very common line costs no more than a rare one.
+
+Keys that are probed come from the documents that were indexed, so each is in the index and its count is exact; fingerprints
+guard the probing of other documents, of whose keys one in 2^32 may be taken for another.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import types as T
 from gradeloom.llm.common import WS, makedirs, materialize, scratch_path
 from gradeloom.llm.textops import chunks
 
-KEYS_PER_SHARD = 200_000
+KEYS_PER_SHARD = 500_000
 _CACHE_BYTES = 128 << 20
+#: Text whose lines are looked up at a time; larger blocks go through the shards less often.
+BLOCK_BYTES = 8 << 20
 _WS_BYTES = WS.encode()
 
 
@@ -82,17 +88,42 @@ class PerfectHash:
         return out
 
 
-def _write_shard(root: str, pdf: pd.DataFrame) -> pd.DataFrame:
+class RankedBits:
+    """A bit set that says how many bits are set before a place."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        counts = np.bitwise_count(words).astype(np.int64)
+        self.before = np.cumsum(counts) - counts
+
+    @staticmethod
+    def pack(flags: np.ndarray) -> np.ndarray:
+        padded = np.zeros(-(-len(flags) // 64) * 64, bool)
+        padded[: len(flags)] = flags
+        return np.packbits(padded, bitorder="little").view("<u8")
+
+    def look(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each bit is set, and how many are before it."""
+        word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+        return (word >> bit) & np.uint64(1) == 1, self.before[at >> 6] + below
+
+
+def _write_shard(root: str, min_docs: int, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["hi", "lo"])
     hi, lo = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo"))
     index = PerfectHash.build(hi, lo)
     order = np.argsort(index.place(hi, lo))
+    # a key that only rows with null ids hold has no keeper and counts as one that nobody holds
+    counts = np.where(pdf["keeper"].isna(), 0, pdf["n"]).astype(np.int64)[order]
+    shared = counts >= max(min_docs, 1)
     arrays = {
         "bits": np.concatenate([np.zeros(0, "<u8"), *index.levels]),
         "ends": np.cumsum([len(b) for b in index.levels], dtype=np.int64),
-        "fingerprints": lo[order],
-        "counts": pdf["n"].to_numpy(np.uint32)[order],
-        "keepers": pdf["keeper"].to_numpy(np.int64)[order],
+        "fingerprints": (lo[order] >> np.uint64(32)).astype(np.uint32),
+        "counts": np.minimum(counts, 0xFFFFFFFF).astype(np.uint32),
+        "shared": RankedBits.pack(shared),
+        "keepers": pdf["keeper"].to_numpy()[order][shared].astype(np.int64),
     }
     shard = int(pdf["shard"].iloc[0])
     system, at = makedirs(f"{root}/{shard:06d}")
@@ -113,7 +144,7 @@ class LineIndex:
     number of bytes."""
 
     def __init__(self, root: str, n_shards: int):
-        self.root, self.n_shards, self.kept = root, n_shards, OrderedDict()
+        self.root, self.n_shards, self.kept, self.held = root, n_shards, OrderedDict(), 0
         self.system, self.at = makedirs(root)
 
     def _array(self, k: int, name: str) -> np.ndarray:
@@ -127,26 +158,35 @@ class LineIndex:
         if k not in self.kept:
             levels = np.split(np.asarray(self._array(k, "bits")), self._array(k, "ends")[:-1])
             arrays = [self._array(k, name) for name in ("fingerprints", "counts", "keepers")]
-            self.kept[k] = (PerfectHash(levels, len(arrays[0])), *arrays)
-            while len(self.kept) > 1 and sum(21 * v[0].n for v in self.kept.values()) > _CACHE_BYTES:
-                self.kept.popitem(last=False)
+            shared = RankedBits(np.asarray(self._array(k, "shared")))
+            size = sum(a.nbytes for a in (*levels, *arrays, shared.words)) + 8 * sum(map(len, (*levels, shared.words)))
+            self.kept[k] = (PerfectHash(levels, len(arrays[0])), shared, *arrays, size)
+            self.held += size
+            while len(self.kept) > 1 and self.held > _CACHE_BYTES:
+                self.held -= self.kept.popitem(last=False)[1][-1]
         self.kept.move_to_end(k)
         return self.kept[k]
 
     def look_up(self, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0: not in the index) and keepers for keys of 16 bytes each, one after another."""
+        """Counts (0: not in the index, or of null ids alone) and keepers (where the key is shared) for keys of 16 bytes each, one after another."""
         pairs = np.frombuffer(keys, "<u8").reshape(-1, 2)
         hi, lo = pairs[:, 0].copy(), pairs[:, 1].copy()
         counts, keepers = np.zeros(len(hi), np.int64), np.zeros(len(hi), np.int64)
         if not self.n_shards:
             return counts, keepers
         shard = (hi % np.uint64(self.n_shards)).astype(np.int64)
-        for k in np.unique(shard):
-            mine = np.flatnonzero(shard == k)
-            index, fingerprints, n, keeper = self.shard(int(k))
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            mine = order[ends[k] : ends[k + 1]]
+            index, shared, fingerprints, n, keeper, _ = self.shard(int(k))
             at = index.place(hi[mine], lo[mine])
-            hit = (at >= 0) & (fingerprints[at] == lo[mine])
-            counts[mine[hit]], keepers[mine[hit]] = n[at[hit]], keeper[at[hit]]
+            hit = at >= 0
+            hit[hit] = fingerprints[at[hit]] == (lo[mine[hit]] >> np.uint64(32)).astype(np.uint32)
+            mine, at = mine[hit], at[hit]
+            counts[mine] = n[at]
+            is_shared, place = shared.look(at)
+            keepers[mine[is_shared]] = keeper[place[is_shared]]
         return counts, keepers
 
 
@@ -155,7 +195,7 @@ def _keys_of(text: bytes | None, min_chars: int) -> list[bytes | None]:
 
 
 def build_index(docs: DataFrame, root: str, min_chars: int, min_docs: int, key: str, text: str, keys_per_shard: int) -> int:
-    """Write the index of all line keys that ``min_docs`` rows or more hold; returns the number of shards."""
+    """Write the index of all line keys; returns the number of shards."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -168,14 +208,13 @@ def build_index(docs: DataFrame, root: str, min_chars: int, min_docs: int, key:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "id"])
 
     held = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(emit, "hi long, lo long, id long")
-    common = held.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-    common = materialize(common, "lines")
-    n_shards = -(-common.count() // keys_per_shard)
+    lines = materialize(held.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")), "lines")
+    n_shards = -(-lines.count() // keys_per_shard)
     if n_shards:
         # the unsigned remainder of hi, as LineIndex takes it
         high = F.shiftrightunsigned("hi", 1)
         shard = ((high % n_shards) * 2 + F.col("hi").bitwiseAND(1)) % n_shards
-        built = common.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(lambda pdf: _write_shard(root, pdf), "shard int, n_keys long")
+        built = lines.withColumn("shard", shard.cast("int")).groupBy("shard").applyInPandas(lambda pdf: _write_shard(root, min_docs, pdf), "shard int, n_keys long")
         built.agg(F.sum("n_keys")).collect()
     return n_shards
 
@@ -195,7 +234,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, *, key:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LineIndex(root, n_shards)
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, BLOCK_BYTES):
             ids = batch.column(key).to_pylist()
             lines = [(t or b"").split(b"\n") for t in batch.column(text).cast(pa.large_binary()).to_pylist()]
             keys = [[line_key(x, min_chars) for x in own] for own in lines]
@@ -206,7 +245,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, *, key:
                 kept = []
                 for line, k in zip(own, own_keys, strict=True):
                     n, keeper = next(found) if k else (0, 0)
-                    if not n or keeper == i:
+                    if n < max(min_docs, 1) or keeper == i:
                         kept.append(line)
                 kept_texts.append(b"\n".join(kept))
                 dropped.append(len(own) - len(kept))

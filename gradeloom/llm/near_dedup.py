@@ -14,7 +14,7 @@ all emitted:
     fixed size; each task compares two blocks by products of their set matrices and returns a link for each two components
     that it finds connected, never the pairs themselves.
 A pair within one component needs no comparison, since it can't change the result. Every comparison is exact, on the
-whole word sequences.
+whole word sequences; that the sets of a class are equal is told by two 64-bit sums over hashes of all their shingles.
 """
 
 from __future__ import annotations
@@ -24,17 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import broadcast_if_small, materialize
+from gradeloom.llm.common import broadcast_if_small, materialize, unused_name
 from gradeloom.llm.graph import connected_components
 from gradeloom.llm.textops import LOWER, chunks, gram_ids, hash_words, places, utf8, word_ids, word_spans
 
 COORDINATES = 120
 SMALL_BUCKET = 32
-#: Classes in a block, and columns of the matrices that a cell holds at a time.
+#: Classes and shingles in a block, and columns of the matrices that a cell holds at a time.
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 COLUMNS = 2048
 _CHUNK = 1 << 16
 
@@ -174,6 +175,14 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
     usable = signed.filter("n_shingles > 0 and id is not null")
     classes = usable.groupBy("set_hi", "set_lo").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"), F.min_by("bands", "id").alias("bands"))
     classes = materialize(classes, "classes")
+    # ids of several rows with different sets connect their classes
+    varied = usable.groupBy("id").agg(F.min(F.struct("set_hi", "set_lo")).alias("a"), F.max(F.struct("set_hi", "set_lo")).alias("b")).filter("a <> b").select("id")
+    varied = materialize(varied, "varied-ids")
+    same_id = None
+    if not varied.isEmpty():
+        sets_of = usable.join(broadcast_if_small(varied), "id").select("id", "set_hi", "set_lo").distinct()
+        nodes = materialize(sets_of.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).select("id", "node"), "id-classes")
+        same_id = nodes.join(nodes.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b").filter("a <> b")
     dealt = classes.select("node", "n", F.explode("bands").alias("bucket"))
     crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n")).filter("members > 1")
     met = materialize(dealt.join(crowded, "bucket"), "buckets")
@@ -188,7 +197,8 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
     texts = materialize(rows.join(broadcast_if_small(materialize(members, "members")), "id"), "texts")
 
     pairs = materialize(between(met.filter(fits("n", "pivot_n")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "pairs")
-    tried, links = pairs, materialize(_verified(pairs, texts, n, percent), "links")
+    found = _verified(pairs, texts, n, percent)
+    tried, links = pairs, materialize(found if same_id is None else found.unionByName(same_id), "links")
 
     def open_buckets() -> DataFrame:
         """Rows (bucket, node, n, members, component) of buckets that hold several components."""
@@ -222,24 +232,27 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, *, key: str = "d
 def keep_one(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component of ``found`` (from near_groups): that with the smallest id.
 
-    Of rows that repeat that id one stays, whichever. Rows with a null id all stay.
+    Of rows that repeat that id the first in the order of a hash of all columns stays, so reruns agree. Rows with a null id all stay.
+    Columns and their order stay, whatever their names; an empty table stays empty.
     """
     found = materialize(found.filter("id is not null"), "components")
-    gone = broadcast_if_small(materialize(found.filter("component_id <> id").select(F.col("id").alias("_gone")).distinct(), "gone"))
-    left = docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
-    repeated = materialize(found.filter("component_id = id").groupBy(F.col("id").alias("_again")).count().filter("count > 1").select("_again"), "repeated")
+    gone_id, again_id, place = (unused_name(docs, c) for c in ("gone", "again", "place"))
+    gone = broadcast_if_small(materialize(found.filter("component_id <> id").select(F.col("id").alias(gone_id)).distinct(), "gone"))
+    left = docs.join(gone, F.col(key) == F.col(gone_id), "left_anti")
+    repeated = materialize(found.filter("component_id = id").groupBy(F.col("id").alias(again_id)).count().filter("count > 1").select(again_id), "repeated")
     if repeated.isEmpty():
         return left
     again = broadcast_if_small(repeated)
-    once = left.join(again, left[key] == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(again, left[key] == F.col("_again"), "left_semi").dropDuplicates([key]))
+    once = left.join(again, F.col(key) == F.col(again_id), "left_anti")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+    return once.unionByName(left.join(again, F.col(key) == F.col(again_id), "left_semi").withColumn(place, first).filter(F.col(place) == 1).drop(place))
 
 
 def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b), one at most for each two components of a cell, of classes of different components that reach the threshold.
 
-    From (bucket, node, component). A family of m classes makes ceil(m / BLOCK) blocks and a cell for each two of them, so no
-    task grows with a family and no pair is skipped.
+    From (bucket, node, n, component). A family is cut into blocks of about BLOCK classes and BLOCK_SHINGLES shingles at most, with a cell for each
+    two of them, so no task grows with a family (a single text is always whole) and no pair is skipped.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +287,9 @@ def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     least = large.groupBy("bucket").agg(F.min("node").alias("least"))
     edges = large.join(broadcast_if_small(materialize(least, "least")), "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))
     families = connected_components(edges).withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    marked = blocks.join(large.select("node", "component").distinct(), "node")
+    members = families.join(large.select("node", "n", "component").distinct(), "node")
+    wanted = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    marked = members.join(members.groupBy("family").agg(wanted.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n")
     sets = texts.join(broadcast_if_small(materialize(marked, "blocks")), F.col("id") == F.col("node"))
     sets = sets.select("id", "text").distinct().mapInArrow(emit, "node long, shingles array<long>").join(marked, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

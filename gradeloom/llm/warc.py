@@ -10,6 +10,7 @@ segment numbers, checked against the total length and joined, before the chunked
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import uuid
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import broadcast_if_small, makedirs, materialize
@@ -27,7 +28,7 @@ SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4096
 _CRLF = b"\r\n"
 _HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-RECORDS = "file string, page_id long, record_id string, record_type string, refers_to long, payload_digest string, segment_number int, segment_origin string, segment_total long, block binary"
+RECORDS = "file string, page_id long, record_id string, record_type string, date string, refers_to string, payload_digest string, segment_number int, segment_origin string, segment_total long, block binary, error string"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -74,21 +75,41 @@ def _clean(url: str | None) -> str:
 
 
 def first_holders(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(digest, first): the smallest page_id for each payload digest that several pages have."""
-    held = pages.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    return held.filter("n > 1 and first is not null").select("digest", "first")
+    """(digest, first, repeats): the smallest page_id for each payload digest that several rows have, and how many rows have that id."""
+    held = pages.filter(F.octet_length("html") >= min_bytes).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("n", "page_id").alias("repeats"), F.sum("n").alias("n"))
+    return held.filter("n > 1 and first is not null").select("digest", "first", "repeats")
 
 
-def write_warc(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES, min_revisit_bytes: int = 0) -> DataFrame:
+def _urn(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _first_urn(page_id: int, digest: str) -> str:
+    """The record id of the response that revisits of a payload refer to."""
+    return _urn(f"response/{page_id}/{digest}")
+
+
+def write_warc(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES, min_revisit_bytes: int = 0, date: datetime.datetime | None = None) -> DataFrame:
     """Write a record for each row of (page_id, url, html) and return the table (file, n_records) of the archives.
 
     A null html is an empty payload, a null url is about:blank, a null page_id counts as the largest. Rows that repeat
-    the smallest page_id of a payload are all responses. Each attempt of a task writes files of its own, and only those
+    the smallest page_id of a payload are all responses, and revisits refer to the record of one of them. ``date`` (now, by default) is the WARC-Date of all
+    records, to the second and in UTC. Other columns are not looked at; an empty table gives no archives. Each attempt of a task writes files of its own, and only those
     of attempts that ended well are in the returned table, so a lost executor leaves no half archive in it.
     """
+    stamp = (date or datetime.datetime.now(datetime.UTC)).astimezone(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     firsts = broadcast_if_small(materialize(first_holders(pages, min_revisit_bytes), "warc-firsts"))
-    dealt = pages.join(firsts, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
+    dealt = pages.join(firsts, "digest", "left").withColumn("again", F.lit(0))
+    again = is_first & (F.col("repeats") > 1)
+    if not firsts.filter("repeats > 1").isEmpty():
+        # one of the rows that repeat an id owns the record that revisits name
+        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
+        dealt = dealt.filter(~F.coalesce(again, F.lit(False))).unionByName(dealt.filter(again).withColumn("again", number))
+    role = F.when(is_first & (F.col("again") == 0), "first").when(F.col("first").isNotNull() & ~is_first, "revisit")
+    dealt = dealt.select("page_id", "url", "html", "digest", "first", role.alias("role"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = makedirs(root)
@@ -96,27 +117,27 @@ def write_warc(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES,
         counts = {f"{name}.warc.gz": 0, f"{name}-continued.warc.gz": 0}
         main, more = (system.open_output_stream(f, compression=None) for f in counts)
 
-        def put(out, path: str, fields: list[tuple[str, object]], block: bytes) -> None:
-            out.write(_record(fields, block))
+        def put(out, path: str, kind: str, record_id: str, fields: list[tuple[str, object]], block: bytes) -> None:
+            out.write(_record([("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", stamp), *fields], block))
             counts[path] += 1
 
         first_path, more_path = counts
         row = 0
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page_id, url, html, digest, first, role in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first", "role")), strict=True):
                 payload = html.encode()
-                record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{row}')}>"
+                record_id = _first_urn(page_id, digest) if role == "first" else _urn(f"{name}/{row}")
                 row += 1
-                shared = [("WARC-Record-ID", record_id), ("WARC-Page-ID", page_id), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
-                if refers_to is not None:
-                    put(main, first_path, [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", refers_to), *shared], b"")
+                shared = [("WARC-Page-ID", page_id), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+                if role == "revisit":
+                    put(main, first_path, "revisit", record_id, [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _first_urn(first, digest)), ("WARC-Refers-To-Date", stamp), *shared], b"")
                     continue
                 block = _HTTP_HEAD + chunked(payload)
                 parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-                put(main, first_path, [("WARC-Type", "response"), *shared, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])
+                put(main, first_path, "response", record_id, [*shared, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])
                 for i, part in enumerate(parts[1:], 2):
                     total = len(block) if i == len(parts) else None
-                    put(more, more_path, [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}/{i}')}>"), ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", i), ("WARC-Segment-Total-Length", total)], part)
+                    put(more, more_path, "continuation", _urn(f"{record_id}/{i}"), [("WARC-Target-URI", _clean(url)), ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", i), ("WARC-Segment-Total-Length", total)], part)
         main.close()
         more.close()
         yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{f.rpartition('/')[2]}" for f in counts]), pa.array(list(counts.values()), pa.int64())], ["file", "n_records"])
@@ -124,24 +145,50 @@ def write_warc(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES,
     return materialize(dealt.mapInArrow(write, "file string, n_records long"), "warc-files").filter("n_records > 0")
 
 
-def _members(stream, block: int = 1 << 20) -> Iterator[bytes]:
-    """The gzip members of a stream, each unpacked."""
+def _members(stream, block: int = 1 << 20) -> Iterator[tuple[bytes, str | None]]:
+    """The gzip members of a stream, each unpacked; for one that is broken or cut short, what could be read and why it ends there."""
     data = b""
     unpack, out = zlib.decompressobj(31), []
     while True:
         if not data:
             data = stream.read(block)
             if not data:
+                if out:
+                    yield b"".join(out), "truncated gzip member"
                 return
-        out.append(unpack.decompress(data))
+        try:
+            out.append(unpack.decompress(data))
+        except zlib.error as e:
+            yield b"".join(out), f"broken gzip member: {e}"
+            return
         data = b""
         if unpack.eof:
-            yield b"".join(out)
+            yield b"".join(out), None
             data, unpack, out = unpack.unused_data, zlib.decompressobj(31), []
 
 
-def read_warc(files: DataFrame) -> DataFrame:
-    """A row for each record of the archives in column ``file``, with its block as it stands; each file is one task's."""
+def _parsed(file: str, member: bytes, error: str | None) -> tuple:
+    """A row of RECORDS; ``error`` says what keeps the record from being whole."""
+    head, found, rest = member.partition(b"\r\n\r\n")
+    h = {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    number = lambda k: int(h[k]) if h.get(k, "").strip().lstrip("-").isdigit() else None
+    size = number("content-length")
+    lacking = [k for k in ("warc-record-id", "warc-type", "warc-date", "content-length") if k not in h]
+    if error is None and (not found or lacking):
+        error = f"header lacks {', '.join(lacking)}" if lacking else "header without end"
+    content = rest[: max(size or 0, 0)]
+    if error is None and (size is None or len(content) < size):
+        error = "block shorter than its stated length"
+    digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    return file, number("warc-page-id"), h.get("warc-record-id"), h.get("warc-type"), h.get("warc-date"), h.get("warc-refers-to"), digest, number("warc-segment-number"), h.get("warc-segment-origin-id"), number("warc-segment-total-length"), content, error
+
+
+def read_warc(files: DataFrame, strict: bool = True) -> DataFrame:
+    """A row for each record of the archives in column ``file``, with its block as it stands; each file is one task's.
+
+    A record that is cut short, broken or without one of the headers that every record has is an error, or, where ``strict`` is false, a
+    row whose ``error`` says what is wrong with it. Repeated files are read as often as they are named; no files give no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,14 +196,11 @@ def read_warc(files: DataFrame) -> DataFrame:
                 system, at = makedirs(file.rpartition("/")[0])
                 rows, held = [], 0
                 with system.open_input_stream(f"{at}/{file.rpartition('/')[2]}", compression=None) as stream:
-                    for member in _members(stream):
-                        head, _, rest = member.partition(b"\r\n\r\n")
-                        h = {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
-                        number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                        content = rest[: int(h["content-length"])]
-                        rows.append((file, number("warc-page-id"), h["warc-record-id"], h["warc-type"], number("warc-refers-to-page"), digest, number("warc-segment-number"), h.get("warc-segment-origin-id"), number("warc-segment-total-length"), content))
-                        held += len(content)
+                    for member, error in _members(stream):
+                        rows.append(_parsed(file, member, error))
+                        if strict and rows[-1][-1]:
+                            raise ValueError(f"{file}, record {rows[-1][2]}: {rows[-1][-1]}")
+                        held += len(rows[-1][-2])
                         if held > 4 << 20:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -166,7 +210,7 @@ def read_warc(files: DataFrame) -> DataFrame:
     return files.select("file").mapInArrow(read, RECORDS)
 
 
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
+_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.string()]
 _NAMES = [field.split()[0] for field in RECORDS.split(", ")]
 
 
@@ -178,8 +222,11 @@ def reassemble(records: DataFrame) -> DataFrame:
     """Whole response records: (page_id, record_id, payload_digest, blocks array<binary>, complete).
 
     Only segmented records are shuffled, by the identifier of their first segment; a group is the parts of one record.
-    ``complete`` is false where a segment is missing or repeated or the lengths don't add up to the stated total.
+    ``complete`` is false where a segment is missing or repeated or the lengths don't add up to the stated total; segments
+    without a first one give a row with a null page_id. Records with an ``error`` take no part, so what they belong to isn't complete.
+    An empty table gives an empty result.
     """
+    records = records.filter("error is null")
     whole = records.filter("record_type = 'response' and segment_number is null").select("page_id", "record_id", "payload_digest", F.array("block").alias("blocks"), F.lit(True).alias("complete"))
     origin = F.when(F.col("record_type") == "response", F.col("record_id")).otherwise(F.col("segment_origin"))
     parts = records.filter("segment_number is not null").groupBy(origin.alias("record_id")).agg(
@@ -195,7 +242,7 @@ def payloads(responses: DataFrame) -> DataFrame:
     """(page_id, record_id, payload binary, payload_bytes, payload_digest, ok) of reassembled responses.
 
     ``ok`` says that all segments were there, the framing was whole and the digest is the one the record states; the
-    payload is null where the framing is broken.
+    payload is null where the framing is broken. Every row stays, repeated ones too.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import materialize, unused_name
+
 N_SLOTS = 4096
 
 
@@ -84,16 +86,18 @@ def shard_records(records: DataFrame, map_path: str, n_shards: int = 8, n_slots:
 
     Stores versions 1 (equal runs of slots) and 2 (rebalanced by the bytes in each slot) under ``map_path`` and
     deals by version 2. Null keys hash like other values; rows that agree in all key columns share a slot. Columns of
-    ``records`` with one of the three names are replaced. An empty table gives an empty result and a map of equal runs.
+    ``records`` with one of the three names are replaced; others may have any name. An empty table gives an empty result and a
+    map of equal runs.
     """
     spark = records.sparkSession
     records = records.drop("virtual_slot", "shard", "slot").withColumn("virtual_slot", slot_of(key_cols, n_slots))
-    loads = slot_loads(records, size).cache()
+    loads = materialize(slot_loads(records, size), "slot-loads")  # n_slots rows at most
     save_map(first_map(spark, n_shards, n_slots), map_path)
     save_map(rebalance(load_map(spark, map_path), loads, n_shards), map_path)
     counted = load_map(spark, map_path).join(F.broadcast(loads), "slot", "left")
     before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    places = counted.select(F.col("slot").alias("_slot"), "shard", F.coalesce(before, F.lit(0)).alias("_before"))
+    own_slot, before_, inside_ = (unused_name(records, c) for c in ("own_slot", "before", "inside"))
+    places = counted.select(F.col("slot").alias(own_slot), "shard", F.coalesce(before, F.lit(0)).alias(before_))
     inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*key_cols)) - 1
-    placed = records.withColumn("_inside", inside).join(F.broadcast(places), F.col("virtual_slot") == F.col("_slot"))
-    return placed.withColumn("slot", (F.col("_before") + F.col("_inside")).cast("long")).drop("_slot", "_before", "_inside")
+    placed = records.withColumn(inside_, inside).join(F.broadcast(places), F.col("virtual_slot") == F.col(own_slot))
+    return placed.withColumn("slot", (F.col(before_) + F.col(inside_)).cast("long")).drop(own_slot, before_, inside_)

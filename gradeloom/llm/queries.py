@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gradeloom.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality_fm, quality_rules, sharding, token_files, warc
-from gradeloom.llm.common import materialize, scratch_path, table
+from gradeloom.llm.common import materialize, n_words, scratch_path, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget_ratio=1.5, max_epochs=2.0)
+    # texts are read once: their sizes and hashes are all that the mix looks at
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = materialize(sized, "sizes")
+    mixed = mixing.mix_sources(sized, weights=(3, 1, 2), budget_ratio=1.5, max_epochs=2.0, text="text_hash", size=F.col("size"))
     taken = (F.col("mix_copies") * F.col("mix_size")).cast("long")
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
@@ -30,13 +33,35 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+#: Characters of a streamed delta, and places in the log for the events of one turn.
+DELTA_CHARS, EVENTS_PER_TURN = 400, 1 << 32
+
+
+def chat_log(rows: DataFrame) -> DataFrame:
+    """The event log of a chat client whose final messages are ``rows`` (conv_id, turn from 1 without gaps, role, text).
+
+    Each turn has a stale draft in the log before the turn ahead of it is done. An assistant's turn is then streamed, regenerated and streamed
+    again in deltas; any other is sent as a message without its second half and edited.
+    """
+    text = F.coalesce("text", F.lit(""))
+    at = lambda n: F.col("turn") * EVENTS_PER_TURN + n
+    event = lambda seq, kind, t: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    half = F.substring("_text", F.lit(1), F.floor(F.length("_text") / 2).cast("int"))
+    n_deltas = F.ceil(F.length("_text") / DELTA_CHARS).cast("int")
+    deltas = F.transform(F.sequence(F.lit(0), F.greatest(n_deltas - 1, F.lit(0))), lambda i: event(at(4 + i), "delta", F.substring(F.col("_text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS))))
+    stale = event(at(2 - EVENTS_PER_TURN), "delta", F.lit("a draft that is thrown away"))
+    streamed = F.concat(F.array(stale, event(at(1), "delta", half), event(at(3), "regenerate", F.lit(""))), deltas)
+    sent = F.array(stale, event(at(1), "message", half), event(at(4), "edit", F.col("_text")))
+    log = rows.withColumn("_text", text).select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == chat.LOSS_ROLE, streamed).otherwise(sent)).alias("e"))
+    return log.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = rows.withColumn("turn", place).withColumn("seq", place).withColumn("kind", F.lit("message"))
-    out = chat.render(chat.fold_events(events))
+    out = chat.render(chat.fold_events(chat_log(rows.withColumn("turn", place.cast("long")))))
     turns, loss = chat.parse(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
     read = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -75,11 +100,14 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = warc.read_warc(files.repartition(max(1, files.count())))
     # archives are read once; what is kept of them is small but for the payloads
-    responses = warc.payloads(warc.reassemble(records)).filter("ok")
-    responses = materialize(responses.select("page_id", "payload_bytes", "payload_digest"), "warc-responses")
-    revisits = records.filter("record_type = 'revisit'").select("page_id", "payload_digest", F.col("refers_to").alias("refers_to"))
-    sizes = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
-    found = revisits.join(sizes, ["refers_to", "payload_digest"]).withColumn("record_type", F.lit("revisit"))
+    read = warc.payloads(warc.reassemble(records))
+    # what was just written must come back whole
+    whole = F.when(F.coalesce("ok", F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("not whole: "), F.coalesce("record_id", F.lit("")))))
+    responses = materialize(read.select("page_id", "record_id", whole.cast("long").alias("payload_bytes"), "payload_digest"), "warc-responses")
+    revisits = records.filter("record_type = 'revisit'").select("page_id", "payload_digest", F.col("refers_to").alias("record_id"))
+    named = responses.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes")
+    # left, so that a revisit of a record that isn't there shows as a row without a size
+    found = revisits.join(named, "record_id", "left").withColumn("record_type", F.lit("revisit"))
     first = responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
     return first.unionByName(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -1,5 +1,7 @@
 """Each dealt operator against plain Python on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import datetime
+import gzip
 import hashlib
 import random
 import re
@@ -60,7 +62,8 @@ def fill(sizes, weights, ratio, most):
 
 def test_mix_targets_and_sampling(spark, vocabulary):
     rows = [(i, prose(vocabulary, random.randint(0, 60)), random.choice(["a", "b", "c", "d", "hot", "hot", "hot", None])) for i in range(900)]
-    rows += [(None, None, "a"), (5, rows[5][1], rows[5][2]), (901, "", "empty")]
+    # "capped" gets twice its size and no further copy, of its empty texts neither
+    rows += [(None, None, "a"), (5, rows[5][1], rows[5][2]), (901, "", "empty"), *[(910 + k, "" if k % 2 else prose(vocabulary, 5), "capped") for k in range(40)]]
     out = mixing.mix_sources(make_docs(spark, rows)).collect()
     assert len(out) == len(rows) and {r["size"] for r in out} == {7}
     sizes = Counter()
@@ -76,6 +79,8 @@ def test_mix_targets_and_sampling(spark, vocabulary):
     again = mixing.mix_sources(make_docs(spark, random.sample(rows, len(rows)))).collect()
     key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["source"] or "", r["mix_copies"])
     assert sorted(map(key, again)) == sorted(map(key, out))
+    clash = make_docs(spark, rows[:9]).selectExpr("*", "1 AS mix", "2 AS mix_key", "3 AS mix_u", "4 AS mix_n", "5 AS mix_size")
+    assert [c for c in mixing.expand(mixing.mix_sources(clash)).columns if c.startswith("mix")] == ["mix", "mix_key", "mix_u", "mix_n"]
     assert mixing.expand(mixing.mix_sources(make_docs(spark, rows))).columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
@@ -180,6 +185,17 @@ def test_near_groups_against_all_pairs(spark, vocabulary, monkeypatch, n, percen
     assert sorted(ids) == sorted(i for i, (_, c) in got.items() if c == i)
 
 
+def test_rows_that_share_an_id_share_a_component(spark, vocabulary):
+    a, b, c = (prose(vocabulary, 50) for _ in range(3))
+    docs = make_docs(spark, [(3, a), (5, a), (5, b), (9, b), (7, c), (8, "")])
+    found = near_dedup.near_groups(docs)
+    assert {r["id"]: r["component_id"] for r in found.collect()} == {3: 3, 5: 3, 9: 3, 7: 7, 8: 8}
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs, found).collect()) == [3, 7, 8]
+    twice = make_docs(spark, [(1, a), (1, b), (2, c)]).selectExpr("*", "1 AS gone", "2 AS again", "3 AS place")
+    one = [[tuple(r) for r in near_dedup.keep_one(t, near_dedup.near_groups(t)).orderBy("doc_id").collect()] for t in (twice, twice.repartition(3))]
+    assert one[0] == one[1] and [r[0] for r in one[0]] == [1, 2]
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.near_groups(make_docs(spark, []), 3, 85).count() == 0
 
@@ -361,19 +377,53 @@ def test_classifier_learns_and_holds_out(spark, vocabulary):
 def test_warc_round_trip(spark, tmp_path):
     big = "".join(random.choice("abc\r\né") for _ in range(90_000))
     pages = [(1, "http://a/é b", "<p>x</p>"), (2, None, big), (3, "u", "<p>x</p>"), (4, "u", None), (5, "u", ""), (6, "u\r\nWARC-Type: bad", big), (None, "u", "lost"), (8, "u", "0\r\n\r\n")]
-    files = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    date = datetime.datetime(2024, 2, 3, 4, 5, 6, tzinfo=datetime.UTC)
+    files = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w", date=date)
     records = warc.read_warc(files).cache()
-    assert records.filter("record_type = 'continuation'").count() >= 5
+    assert records.filter("record_type = 'continuation'").count() >= 5 and {r["date"] for r in records.collect()} == {"2024-02-03T04:05:06Z"}
     got = {r["page_id"]: r for r in warc.payloads(warc.reassemble(records)).collect()}
     assert set(got) == {1, 2, 4, None, 8} and all(r["ok"] for r in got.values())
     assert {i: bytes(r["payload"]).decode() for i, r in got.items()} == {1: "<p>x</p>", 2: big, 4: "", None: "lost", 8: "0\r\n\r\n"}
-    assert {r["page_id"]: r["refers_to"] for r in records.filter("record_type = 'revisit'").collect()} == {3: 1, 5: 4, 6: 2}
+    pages_of = {r["record_id"]: i for i, r in got.items()}
+    assert {r["page_id"]: pages_of[r["refers_to"]] for r in records.filter("record_type = 'revisit'").collect()} == {3: 1, 5: 4, 6: 2}
     cut = records.filter("not (segment_number <=> 3)")
     assert [r["page_id"] for r in warc.payloads(warc.reassemble(cut)).filter("not ok").collect()] == [2]
     empty = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_warc(empty).count() == 0
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    pages = [(1, "b", "same"), (1, "a", "same"), (1, "a", "same"), (2, "u", "same"), (None, "u", "same"), (1, "u", "other"), (3, None, "other")]
+    records = warc.read_warc(warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/r")).cache()
+    ids = [r["record_id"] for r in records.collect()]
+    assert len(ids) == len(set(ids)) == len(pages)
+    responses = {r["record_id"]: r["page_id"] for r in warc.payloads(warc.reassemble(records)).filter("ok").collect()}
+    assert sorted(responses.values()) == [1, 1, 1, 1]
+    assert sorted((r["page_id"] or 0, responses[r["refers_to"]]) for r in records.filter("record_type = 'revisit'").collect()) == [(0, 1), (2, 1), (3, 1)]
+
+
+def test_broken_archives_are_reported(spark, tmp_path):
+    files = warc.write_warc(spark.createDataFrame([(k, "u", f"page {k}" * 9000) for k in range(3)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    path = next(r["file"] for r in files.collect() if "continued" not in r["file"]).removeprefix("file://")
+    whole = open(path, "rb").read()
+
+    def read(content, strict=False):
+        with open(path, "wb") as f:
+            f.write(content)
+        return warc.read_warc(files, strict).collect()
+
+    assert [r["error"] for r in read(whole)] == [None] * len(read(whole))
+    assert [r["error"] for r in read(whole[:-7])].count("truncated gzip member") == 1
+    assert any("broken gzip member" in (r["error"] or "") for r in read(whole[:40] + b"\0" * 40 + whole[80:]))
+    bare = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")
+    assert "header lacks warc-record-id, warc-date" in {r["error"] for r in read(bare + whole)}
+    short = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: x\r\nWARC-Date: d\r\nContent-Length: 99\r\n\r\nabc")
+    assert "block shorter than its stated length" in {r["error"] for r in read(short)}
+    for content in (whole[:-7], bare):
+        with pytest.raises(Exception, match="truncated|lacks"):
+            read(content, strict=True)
+
+
 def test_chunked_framing():
     for n in (0, 1, 4096, 4097, 20_000):
         body = random.Random(n).randbytes(n)
@@ -402,6 +452,18 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(make_docs(spark, [])).count() == 0
 
 
+def test_index_holds_all_lines_and_their_counts(spark, tmp_path):
+    texts = ["\n".join(f"line number {k} of the whole corpus" for k in range(300) if k % (i + 1) == 0) for i in range(9)]
+    root = f"file://{tmp_path}/index"
+    n_shards = line_dedup.build_index(make_docs(spark, list(enumerate(texts))), root, 20, 3, "doc_id", "text", 50)
+    assert n_shards == 6
+    keys = [f"line number {k} of the whole corpus".encode() for k in range(300)] + [b"a line that no document has at all"]
+    counts, keepers = line_dedup.LineIndex(root, n_shards).look_up(b"".join(line_dedup.line_key(k, 20) for k in keys))
+    held = [[i for i in range(9) if k % (i + 1) == 0] for k in range(300)]
+    assert counts.tolist() == [*map(len, held), 0]
+    assert [x for x, h in zip(keepers.tolist(), held) if len(h) >= 3] == [h[-1] for h in held if len(h) >= 3]
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(2)
     for n in (0, 1, 63, 5000):

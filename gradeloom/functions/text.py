@@ -105,37 +105,60 @@ def is_criterion(line: Column) -> Column:
     return line.rlike(CRITERION)
 
 
-def sign_of(line: Column) -> Column:
-    """'+' or '-' from the bracket of a criterion line; dashes of any width are minus, a plus anywhere wins."""
-    bracket = F.translate(F.regexp_extract(line, CRITERION, 1), "\u2013\u2014", "--")
-    return F.when(F.contains(bracket, F.lit("-")) & ~F.contains(bracket, F.lit("+")), "-").otherwise("+")
+#: Stands before the bracket of a criterion line, and behind it, once lines are marked.
+_HEAD, _END = "\u0001\u0002", "\u0002\u0001"
+
+
+def marked_lines(text: Column | str) -> Column:
+    """The lines of a text; a criterion's is its bracket between marks and its text without tags. One match a line."""
+    return F.transform(lines(text), lambda v: F.regexp_replace(v, CRITERION, f"{_HEAD}$1{_END}$2"))
+
+
+def _is_marked(line: Column) -> Column:
+    return F.startswith(line, F.lit(_HEAD))
+
+
+def _sign(bracket: Column) -> Column:
+    plain = F.translate(bracket, "\u2013\u2014", "--")
+    return F.when(F.contains(plain, F.lit("-")) & ~F.contains(plain, F.lit("+")), "-").otherwise("+")
+
+
+def _signs(marked: Column) -> Column:
+    return F.transform(F.filter(marked, _is_marked), lambda v: _sign(F.substring_index(v, _END, 1)))
 
 
 def parse_rubric(text: Column | str) -> Column:
-    """array<struct<sign, text>> in order; other lines that aren't blank continue the criterion above them."""
-    zero = F.expr("cast(array() as array<struct<sign:string,text:string>>)")
+    """array<struct<sign, text>> in order; other lines that aren't blank continue the criterion above them.
 
-    def step(acc: Column, line: Column) -> Column:
-        new = F.struct(sign_of(line).alias("sign"), F.trim(F.regexp_extract(line, CRITERION, 2)).alias("text"))
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["sign"].alias("sign"), F.concat(last["text"], F.lit("\n"), F.trim(line)).alias("text"))
-        goes_on = (F.size(acc) > 0) & (F.trim(line) != "")
-        return F.when(is_criterion(line), F.array_append(acc, new)).when(goes_on, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(acc)
+    Marked lines are joined and cut at the marks, so the work is linear in the text.
+    """
+    kept = F.filter(F.transform(marked_lines(text), lambda v: F.when(_is_marked(v), v).otherwise(F.trim(v))), lambda v: v != "")
+    pieces = F.split(F.concat(F.lit("\n"), F.array_join(kept, "\n")), f"\n{_HEAD}")
 
-    return F.aggregate(lines(text), zero, step)
+    def criterion(piece: Column) -> Column:
+        body = piece.substr(F.locate(_END, piece) + len(_END), F.length(piece))
+        # the criterion's own line is trimmed, as the others are
+        head, rest = F.substring_index(body, "\n", 1), body.substr(F.locate("\n", F.concat(body, F.lit("\n"))), F.length(body))
+        return F.struct(_sign(F.substring_index(piece, _END, 1)).alias("sign"), F.concat(F.trim(head), rest).alias("text"))
+
+    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), criterion)
 
 
 def count_lines(text: Column | str, condition) -> Column:
     return F.size(F.filter(lines(text), condition))
 
 
+def _malformed(marked: Column) -> Column:
+    """Number of lines with a bracket that look like criteria but don't parse as one."""
+    return F.size(F.filter(marked, lambda v: ~_is_marked(v) & F.contains(v, F.lit("[")) & v.rlike(BRACKETED)))
+
+
 def malformed_count(text: Column | str) -> Column:
-    """Lines with a bracket that look like criteria but don't parse as one."""
-    return count_lines(text, lambda x: x.rlike(BRACKETED) & ~is_criterion(x))
+    return _malformed(marked_lines(text))
 
 
 def double_tag_count(text: Column | str) -> Column:
-    return count_lines(text, lambda x: x.rlike(DOUBLE_TAG))
+    return count_lines(text, lambda x: F.contains(x, F.lit("[")) & x.rlike(DOUBLE_TAG))
 
 
 # Weights and bounds of the quality score.
@@ -145,7 +168,7 @@ QUALITY = {"lambda_len": 2.0, "min_criteria": 3, "max_criteria": 15, "lambda_zer
 def quality_adjustment(text: Column, token_count: Column, **config: float) -> Column:
     """struct(n_criteria, n_positive, n_negative, length, token_length, malformed, double_tag, total): penalties, 0 or below."""
     c = QUALITY | config
-    parts = F.struct(F.transform(parse_rubric(text), lambda v: v["sign"]).alias("signs"), malformed_count(text).alias("malformed"), double_tag_count(text).alias("double"))
+    counted = lambda m: F.struct(_signs(m).alias("signs"), _malformed(m).alias("malformed"))
 
     def penalties(p: Column) -> Column:
         n = F.size(p["signs"])
@@ -154,12 +177,12 @@ def quality_adjustment(text: Column, token_count: Column, **config: float) -> Co
         over = F.least((token_count - c["soft_max"]) / max(c["hard_max"] - c["soft_max"], 1), F.lit(1.0))
         tokens = F.when(token_count > c["soft_max"], -c["lambda_token_len"] * over * over).otherwise(0.0)
         malformed = -c["lambda_malformed"] * F.least(p["malformed"] / 3.0, F.lit(1.0))
-        double = -c["lambda_double_tag"] * p["double"] / F.greatest(n, F.lit(1))
+        double = -c["lambda_double_tag"] * double_tag_count(text) / F.greatest(n, F.lit(1))
         total = length + tokens + malformed + double
         return F.struct(n.alias("n_criteria"), signs("+").alias("n_positive"), signs("-").alias("n_negative"), length.alias("length"), tokens.alias("token_length"), malformed.alias("malformed"), double.alias("double_tag"), total.alias("total"))
 
-    # the one-element array binds the parsed rubric to a variable, so it is parsed once
-    return F.get(F.transform(F.array(parts), penalties), F.lit(0))
+    # the one-element arrays bind the marked lines and their counts to variables, so each is made once
+    return F.get(F.transform(F.transform(F.array(marked_lines(text)), counted), penalties), F.lit(0))
 
 
 def bold_concepts(text: Column | str) -> Column:
@@ -184,16 +207,24 @@ def keyword_scores(text: Column | str, gold: Column | str) -> Column:
     return F.struct(recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
 
 
+def _compliance(marked: Column) -> Column:
+    return F.size(F.filter(marked, _is_marked)) / F.greatest(F.size(F.filter(marked, lambda v: F.trim(v) != "")), F.lit(1))
+
+
 def format_compliance(text: Column | str) -> Column:
     """Share of lines that aren't blank and parse as criteria."""
-    return count_lines(text, is_criterion) / F.greatest(count_lines(text, lambda x: F.trim(x) != ""), F.lit(1))
+    return F.get(F.transform(F.array(marked_lines(text)), _compliance), F.lit(0))
 
 
 def composite_score(text: Column, gold: Column) -> Column:
     """5 f1 + compliance + (3 to 15 criteria) + (both signs)."""
-    criteria = parse_rubric(text)
-    has = lambda s: F.exists(criteria, lambda x: x["sign"] == s)
-    return 5 * keyword_scores(text, gold)["f1"] + format_compliance(text) + F.size(criteria).between(3, 15).cast("double") + (has("+") & has("-")).cast("double")
+
+    def form(marked: Column) -> Column:
+        signs = _signs(marked)
+        both = F.array_contains(signs, "+") & F.array_contains(signs, "-")
+        return _compliance(marked) + F.size(signs).between(3, 15).cast("double") + both.cast("double")
+
+    return 5 * keyword_scores(text, gold)["f1"] + F.get(F.transform(F.array(marked_lines(text)), form), F.lit(0))
 
 
 def char_grams(text: Column | str, n: int = 3) -> Column:

@@ -1,6 +1,9 @@
 """Ranking evaluation over labelled rows (prompt, ord, score, label): how well scores order what labels order.
 
-Prompts are groups; pairs are formed only inside a prompt. Rows with a null score or label take no part in pairs.
+Prompts are groups; pairs are compared only inside a prompt, and counted without being formed: rows are added up by (prompt,
+label, score), and for each two labels of a prompt cumulative counts over the scores give how many pairs agree, tie and
+disagree. The work grows with a prompt's distinct scores times its distinct labels, and a hot prompt is split over ranges of its
+scores. Rows with a null score or label take no part in pairs.
 """
 
 from __future__ import annotations
@@ -22,27 +25,61 @@ def label_share(labels: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(labels, lambda x: x)) / n).otherwise(F.lit(0.0))
 
 
-def label_pairs(df: DataFrame, min_gap: float | None = None, strict: bool = True) -> DataFrame:
-    """(prompt, score_a, score_b, label_a, label_b) for a before b in one prompt.
+def _slice(value: Column) -> Column:
+    """A number that rises with the value: 64 slices for each doubling of its distance from 0."""
+    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 64)
 
-    Without ``min_gap`` the labels of a pair differ; with it they differ by more than that (``strict``) or at least that.
-    The self-join grows with the square of a prompt's rows; cap those with ``first_rows`` beforehand.
+
+def cumulate(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """For each of ``values`` a column ``before_v``, its sum over the rows of the group with a smaller ``order``.
+
+    Sums are made within slices of the order and carried over a table with a row a slice, so a large group isn't one task's. Rows of equal
+    order share their sums.
     """
-    rows = df.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
-    a = rows.select("prompt", F.col("ord").alias("ord_a"), F.col("score").alias("score_a"), F.col("label").alias("label_a"))
-    b = rows.select("prompt", F.col("ord").alias("ord_b"), F.col("score").alias("score_b"), F.col("label").alias("label_b"))
-    gap = F.abs(F.col("label_a") - F.col("label_b"))
-    wanted = (F.col("label_a") != F.col("label_b")) if min_gap is None else (gap > min_gap if strict else gap >= min_gap)
-    return a.join(b, "prompt").filter((F.col("ord_a") < F.col("ord_b")) & wanted)
+    sliced = df.withColumn("_slice", _slice(F.col(order)))
+    sums = sliced.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    ahead = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*by, "_slice", *[F.coalesce(F.sum(f"_sum_{v}").over(ahead), F.lit(0)).alias(f"_carry_{v}") for v in values])
+    inside = Window.partitionBy(*by, "_slice").orderBy(order)
+    peers = Window.partitionBy(*by, "_slice", order)
+    placed = sliced.select("*", *[(F.sum(v).over(inside) - F.sum(v).over(peers)).alias(f"_inside_{v}") for v in values]).join(carried, [*by, "_slice"])
+    return placed.withColumns({f"before_{v}": F.col(f"_carry_{v}") + F.col(f"_inside_{v}") for v in values}).drop("_slice", *[f"_{k}_{v}" for k in ("carry", "inside") for v in values])
 
 
-def pair_credit(legacy_ties: bool = False) -> Column:
-    """1 for a pair in label order, 0.5 for tied scores, else 0. ``legacy_ties`` looks at the order before the tie."""
-    agree = (F.col("label_a") > F.col("label_b")) == (F.col("score_a") > F.col("score_b"))
-    tie = F.col("score_a") == F.col("score_b")
-    if legacy_ties:
-        return F.when(agree, 1.0).when(tie, 0.5).otherwise(0.0)
-    return F.when(tie, 0.5).when(agree, 1.0).otherwise(0.0)
+def pair_counts(df: DataFrame, legacy_ties: bool = False) -> DataFrame:
+    """(prompt, low, high, pairs, agree, tied, gap): for each two labels of a prompt, low < high, the number of pairs of one row of
+    each, of those whose scores are in the order of the labels or equal, and the sum of the gaps between their scores.
+
+    With ``legacy_ties`` a tied pair in which the lower label comes first (by ord) agrees.
+    """
+    rows = df.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
+    counts = rows.groupBy("prompt", "label", "score").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    labels = counts.select("prompt", F.col("label").alias("other")).distinct()
+    of_pair = [F.least("label", "other").alias("low"), F.greatest("label", "other").alias("high")]
+    is_low, is_high = F.col("label") == F.col("low"), F.col("label") == F.col("high")
+    dealt = counts.join(labels, "prompt").filter("label <> other").select("prompt", *of_pair, "label", "score", "n")
+    keys = ["prompt", "low", "high"]
+    met = dealt.groupBy(*keys, "score").agg(F.sum(F.when(is_low, F.col("n")).otherwise(0)).alias("n_low"), F.sum(F.when(is_high, F.col("n")).otherwise(0)).alias("n_high"))
+    met = met.withColumn("s_low", F.col("n_low") * F.col("score"))
+    totals = met.groupBy(*keys).agg(F.sum("n_low").alias("all_low"), F.sum("s_low").alias("all_s"))
+    placed = cumulate(met, keys, "score", ["n_low", "s_low"]).join(totals, keys)
+    under = F.col("score") * F.col("before_n_low") - F.col("before_s_low")
+    above = F.col("all_s") - F.col("before_s_low") - F.col("s_low") - F.col("score") * (F.col("all_low") - F.col("before_n_low") - F.col("n_low"))
+    high = F.col("n_high")
+    out = placed.groupBy(*keys).agg(F.sum(high * F.col("all_low")).alias("pairs"), F.sum(high * F.col("before_n_low")).alias("agree"), F.sum(high * F.col("n_low")).alias("tied"), F.sum(high * (under + above)).alias("gap"))
+    if not legacy_ties:
+        return out
+    # rows of equal score, in input order
+    same = rows.select("prompt", "score", "label", "ord").join(labels, "prompt").filter("label <> other").select("prompt", *of_pair, "label", "score", "ord")
+    w = Window.partitionBy(*keys, "score").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = same.withColumn("ahead", F.sum(is_low.cast("double")).over(w)).filter(is_high).groupBy(*keys).agg(F.coalesce(F.sum("ahead"), F.lit(0.0)).alias("first"))
+    out = out.join(ahead, keys, "left")
+    return out.select(*keys, "pairs", (F.col("agree") + F.coalesce("first", F.lit(0.0))).alias("agree"), (F.col("tied") - F.coalesce("first", F.lit(0.0))).alias("tied"), "gap")
+
+
+def _accuracy() -> Column:
+    """Aggregate of pair counts: 1 for a pair in label order, 0.5 for tied scores, else 0."""
+    return F.try_divide(F.sum(F.col("agree") + F.col("tied") / 2), F.sum("pairs"))
 
 
 def pairwise_metrics(df: DataFrame, keep_empty: bool = True) -> DataFrame:
@@ -50,7 +87,7 @@ def pairwise_metrics(df: DataFrame, keep_empty: bool = True) -> DataFrame:
 
     A prompt without a usable pair counts with three zeros, or is left out where ``keep_empty`` is false.
     """
-    used = label_pairs(df).groupBy("prompt").agg(F.avg(pair_credit()).alias("pairwise_acc"), F.avg(F.abs(F.col("score_a") - F.col("score_b"))).alias("resolution"), F.count(F.lit(1)).alias("pairs_used"))
+    used = pair_counts(df).groupBy("prompt").agg(_accuracy().alias("pairwise_acc"), F.try_divide(F.sum("gap"), F.sum("pairs")).alias("resolution"), F.sum("pairs").cast("long").alias("pairs_used"))
     return df.select("prompt").distinct().join(used, "prompt", "left").na.fill(0) if keep_empty else used
 
 
@@ -61,14 +98,13 @@ def macro_mean(per_prompt: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def confident_pairs_pooled(df: DataFrame, thresholds: Sequence[float] = (0.1, 0.2, 0.3), legacy_ties: bool = False) -> DataFrame:
     """(threshold, accuracy, n_pairs) over all pairs whose labels differ by the threshold or more."""
-    pairs = label_pairs(df, min(thresholds), strict=False)
-    each = pairs.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    return each.filter(F.abs(F.col("label_a") - F.col("label_b")) >= F.col("threshold")).groupBy("threshold").agg(F.avg(pair_credit(legacy_ties)).alias("accuracy"), F.count(F.lit(1)).alias("n_pairs"))
+    each = pair_counts(df, legacy_ties).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return each.filter(F.col("high") - F.col("low") >= F.col("threshold")).groupBy("threshold").agg(_accuracy().alias("accuracy"), F.sum("pairs").cast("long").alias("n_pairs"))
 
 
 def confident_pairs_by_prompt(df: DataFrame, threshold: float = 0.2) -> DataFrame:
     """(prompt, accuracy, n_pairs) over pairs whose labels differ by more than the threshold."""
-    return label_pairs(df, threshold).groupBy("prompt").agg(F.avg(pair_credit()).alias("accuracy"), F.count(F.lit(1)).alias("n_pairs"))
+    return pair_counts(df).filter(F.col("high") - F.col("low") > threshold).groupBy("prompt").agg(_accuracy().alias("accuracy"), F.sum("pairs").cast("long").alias("n_pairs"))
 
 
 def top_bottom_gap(df: DataFrame) -> DataFrame:
@@ -99,14 +135,15 @@ def spearman(df: DataFrame, by: Sequence[str] | str = "prompt", x: str = "score"
 
 
 def kendall_tau_b(df: DataFrame) -> DataFrame:
-    """(prompt, tau): (C - D) / sqrt((C + D + ties in score only) (C + D + ties in label only)); null where undefined."""
+    """(prompt, tau): (C - D) / sqrt((C + D + ties in score only) (C + D + ties in label only)); null where undefined or there is one row."""
     rows = df.filter(F.col("score").isNotNull() & F.col("label").isNotNull())
-    a = rows.select("prompt", F.col("ord").alias("oa"), F.col("score").alias("sa"), F.col("label").alias("la"))
-    b = rows.select("prompt", F.col("ord").alias("ob"), F.col("score").alias("sb"), F.col("label").alias("lb"))
-    ds, dl = F.signum(F.col("sa") - F.col("sb")), F.signum(F.col("la") - F.col("lb"))
-    pairs = a.join(b, "prompt").filter("oa < ob").select("prompt", ds.alias("ds"), dl.alias("dl"))
-    counts = pairs.groupBy("prompt").agg(F.sum(F.col("ds") * F.col("dl")).alias("net"), F.sum(F.abs("ds")).alias("by_score"), F.sum(F.abs("dl")).alias("by_label"))
-    return counts.select("prompt", F.try_divide("net", F.sqrt(F.col("by_score") * F.col("by_label"))).alias("tau"))
+    two = lambda n: n * (n - 1) / 2
+    counts = rows.groupBy("prompt", "score", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ties = lambda c: counts.groupBy("prompt", c).agg(F.sum("n").alias("n")).groupBy("prompt").agg(F.sum("n").alias("all"), F.sum(two(F.col("n"))).alias(f"by_{c}"))
+    net = pair_counts(df).groupBy("prompt").agg(F.sum(2 * F.col("agree") + F.col("tied") - F.col("pairs")).alias("net"))
+    both = ties("score").join(ties("label").drop("all"), "prompt").join(net, "prompt", "left").filter("all > 1")
+    free = lambda c: two(F.col("all")) - F.col(f"by_{c}")
+    return both.select("prompt", F.try_divide(F.coalesce("net", F.lit(0.0)), F.sqrt(free("score") * free("label"))).alias("tau"))
 
 
 def ndcg(df: DataFrame, k: int, min_rows: int = 2) -> DataFrame:
@@ -129,10 +166,10 @@ def ndcg_tie_averaged(df: DataFrame, k: int) -> DataFrame:
 
 
 def auroc(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(prompt, auc): the rank-sum form, right under ties; prompts need both a label above the threshold and one not above."""
-    ranked = df.select("prompt", (F.col("label") > threshold).cast("double").alias("pos"), average_rank("prompt", "score").alias("rank"))
-    sums = ranked.groupBy("prompt").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
-    return sums.filter("p > 0 and n > 0").select("prompt", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
+    """(prompt, auc): share of pairs of a label above the threshold and one not above with scores in that order, ties half;
+    prompts need both kinds."""
+    two = df.select("prompt", "ord", "score", (F.col("label") > threshold).cast("double").alias("label"))
+    return pair_counts(two).select("prompt", F.try_divide(F.col("agree") + F.col("tied") / 2, F.col("pairs")).alias("auc"))
 
 
 def auroc_input_order(df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,5 +1,4 @@
-"""Ranking queries: documents joined to labels; prompt = source and block of 400 ids, ord = doc_id, score = n_chars or word
-count, label = quality. The blocks keep the number of rows of a prompt the same at every size of the tables."""
+"""Ranking queries: documents joined to labels; prompt = source, ord = doc_id, score = n_chars or word count, label = quality."""
 
 from __future__ import annotations
 
@@ -12,12 +11,12 @@ from gradeloom.plans.registry import query, table
 
 def labelled(spark: SparkSession, sf_dir: str, score: str = "chars") -> DataFrame:
     value = F.col("n_chars") if score == "chars" else F.size(F.split("text", " "))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.concat_ws("/", "source", F.floor(F.col("doc_id") / 400)).alias("prompt"), value.cast("double").alias("score"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("source").alias("prompt"), value.cast("double").alias("score"))
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").select("prompt", F.col("doc_id").alias("ord"), "score", F.col("quality").cast("double").alias("label"))
 
 
 L = """labelled AS (
-    SELECT source || '/' || (doc_id // 400) AS prompt, doc_id AS ord, n_chars::double AS score, quality::double AS label, len(string_split(text, ' '))::double AS words
+    SELECT source AS prompt, doc_id AS ord, n_chars::double AS score, quality::double AS label, len(string_split(text, ' '))::double AS words
     FROM documents JOIN labels USING (doc_id))"""
 PAIRS = L + """, pairs AS (
     SELECT a.prompt, a.score AS sa, b.score AS sb, a.words AS wa, b.words AS wb, a.label AS la, b.label AS lb
@@ -150,12 +149,12 @@ def hard_easy_means(spark, sf_dir):
     return rounded(r.hard_easy_means(*_two(spark, sf_dir), "pairwise_acc"))
 
 
-@query(f"""WITH {PER_PROMPT} SELECT string_split(prompt, '/')[1] AS category, count(*) AS n, round(avg(acc), 4) AS chars, round(avg(word_acc), 4) AS words, round(avg(word_acc) - avg(acc), 4) AS delta,
+@query(f"""WITH {PER_PROMPT} SELECT right(prompt, 1) AS category, count(*) AS n, round(avg(acc), 4) AS chars, round(avg(word_acc), 4) AS words, round(avg(word_acc) - avg(acc), 4) AS delta,
     CASE WHEN avg(word_acc) - avg(acc) > 0.001 THEN 'words' WHEN avg(word_acc) - avg(acc) < -0.001 THEN 'chars' ELSE 'tie' END AS winner FROM per_prompt GROUP BY 1""")
 def category_breakdown(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     both = a.select("prompt", F.col("pairwise_acc").alias("chars")).join(b.select("prompt", F.col("pairwise_acc").alias("words")), "prompt")
-    return rounded(r.category_breakdown(both.withColumn("category", F.substring_index("prompt", "/", 1)), "category", "chars", "words"))
+    return rounded(r.category_breakdown(both.withColumn("category", F.substring("prompt", -1, 1)), "category", "chars", "words"))
 
 
 @query("""SELECT p_brand AS subset, round(avg(CASE WHEN p_retailprice > 40.0 * p_size THEN 1.0 WHEN p_retailprice = 40.0 * p_size THEN 0.5 ELSE 0.0 END), 4) AS accuracy, count(*) AS n

@@ -48,6 +48,7 @@ def _by_first_letter(all_words: Sequence[str]) -> str:
 
 
 _INITIALS = "".join(sorted({c for w in NUMBER_WORDS for c in (w[0], w[0].upper())}))
+# Groups repeat possessively, as the others take stack for each repetition.
 # Texts are spaced: a single space stands before each word, and nothing else but words is there.
 _DIGITS = r" \p{N}[^ ]*"
 _NUMBER_WORD = rf" (?=[{_INITIALS}])(?i:{_by_first_letter(NUMBER_WORDS)})(?![^ ])"
@@ -79,12 +80,12 @@ def template(text: Column, keep: bool = False) -> Column:
     """The template of a text ``with_numbers`` (made with the same ``keep``), in its own case."""
     t = F.when(F.contains(text, F.lit(NUMBER)), _slots(text, keep)).otherwise(text)
     if not keep:
-        return F.regexp_replace(t, f"(?:{_NAME})+", f" {NAME}")
+        return F.regexp_replace(t, f"(?:{_NAME})++", f" {NAME}")
     return F.regexp_replace(F.regexp_replace(t, r"(?<= )(\p{Lu}[^ ]*) (?=\p{Lu})", "$1" + POINT), r" (?=\p{Lu})", f" {NAME}")
 
 
 def _slots(text: Column, keep: bool) -> Column:
-    joined = F.regexp_replace(text, f"(?<= )({NUMBER}[^ ]*) (?={_WORD})", "$1" + POINT) if keep else F.regexp_replace(text, f" {NUMBER}{POINT}?(?: {_WORD})*", f" {NUMBER}")
+    joined = F.regexp_replace(text, f"(?<= )({NUMBER}[^ ]*) (?={_WORD})", "$1" + POINT) if keep else F.regexp_replace(text, f" {NUMBER}{POINT}?(?: {_WORD})*+", f" {NUMBER}")
     return F.regexp_replace(joined, rf"( {NUMBER}[^ ]*) ((?i:{UNITS}))(?![^ ])", f"$1 {UNIT}" + ("$2" if keep else ""))
 
 
@@ -116,7 +117,7 @@ def _hash(reading: int, w: int, words_: Column, raw: Column) -> Column:
 
 def _tiles(reading: int, w: int) -> Column:
     """Array of (reading, w, at, hash) for each ``w`` words of the texts from ``_readings``, one after another."""
-    cut_up = lambda c: F.regexp_extract_all(c, F.lit(f"(?: [^ ]+){{{w}}}"), F.lit(0))
+    cut_up = lambda c: F.regexp_extract_all(c, F.lit(f"(?: [^ ]++){{{w}}}+"), F.lit(0))
     struct = lambda i, h: F.struct(F.lit(reading).alias("reading"), F.lit(w).alias("w"), (i * w).alias("at"), h.alias("hash"))
     if reading == TEMPLATE:
         return F.transform(cut_up("template"), lambda t, i: struct(i, _hash(reading, w, t, t)))

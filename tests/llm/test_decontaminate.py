@@ -188,3 +188,11 @@ def test_frequent_windows_of_placeholders_meet_nothing(spark):
     docs = spark.createDataFrame([(k, rows(k)) for k in range(2, 30)], DOCS)
     items = spark.createDataFrame([(5, rows(5))], ITEMS)
     assert [tuple(r) for r in d.leaks(docs, items, cut=True).select("doc_id", "item_id").collect()] == [(5, 5)]
+
+
+def test_very_long_texts_of_one_kind(spark):
+    """Names, numbers and number words without end, in one text each, around an item."""
+    item = "a boat leaves port at dawn with 12 crates and Anna counts them twice before noon each day"
+    docs = spark.createDataFrame([(k, f"{w * 200_000}{item} {w * 200_000}") for k, w in enumerate(("WORD ", "12 ", "twelve ", "x", "5km "))], DOCS)
+    got = d.leaks(docs, spark.createDataFrame([(1, item)], ITEMS), cut=True).select("doc_id").collect()
+    assert sorted(r[0] for r in got) == [0, 1, 2, 3, 4]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +81,9 @@ def text_lengths(df: DataFrame, text: str, marker: str, by: str = "step") -> Dat
 def topic_specificity(df: DataFrame, question: str, rubric: str) -> DataFrame:
     """One row (criteria, questions): share of criteria that name a word of their question, and of questions with such a criterion."""
     words = x.keywords(question)
-    each = df.select(F.monotonically_increasing_id().alias("_id"), words.alias("w"), F.explode_outer(x.parse_rubric(rubric)).alias("c"))
+    # numbered before the criteria are exploded, or each criterion would be a question
+    asked = df.select(F.monotonically_increasing_id().alias("_id"), words.alias("w"), F.col(rubric).alias("_rubric"))
+    each = asked.select("_id", "w", F.explode_outer(x.parse_rubric("_rubric")).alias("c"))
     hit = F.exists("w", lambda w: F.contains(F.lower(F.col("c.text")), w))
     by_question = each.groupBy("_id").agg(F.count("c").alias("n"), F.count(F.when(hit, 1)).alias("hits"))
     return by_question.agg(F.try_divide(F.sum("hits"), F.sum("n")).alias("criteria"), share(F.col("hits") > 0).alias("questions"))
@@ -124,20 +128,21 @@ def crossings(df: DataFrame, value: str, threshold: float, order: Sequence[str],
 def smooth_factor(df: DataFrame, value: str, order: str, by: str, keep: float = 0.9, start: float = 1.0, low: float = 0.1) -> DataFrame:
     """(by, order, ema, factor): exponential mean from ``start`` and low + (1 - low) ema, never falling (from ``low``).
 
-    One run's steps are folded in order inside a row; there are as many as training steps.
+    The mean is a weighted prefix sum within blocks of steps, so long that what comes in from two blocks ahead is below the precision of a double;
+    the sums of a block and of the one ahead of it are added up.
     """
-
-    def step(acc: Column, v: Column) -> Column:
-        ema = keep * acc["ema"] + (1 - keep) * v["v"]
-        row = F.struct(v["o"].alias("o"), ema.alias("ema"))
-        return F.struct(ema.alias("ema"), F.array_append(acc["rows"], row).alias("rows"))
-
-    kind = df.schema[order].dataType.simpleString()
-    zero = F.expr(f"cast(named_struct('ema', {start}D, 'rows', array()) as struct<ema:double,rows:array<struct<o:{kind},ema:double>>>)")
-    runs = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    out = runs.select(by, F.explode(F.aggregate("s", zero, step)["rows"]).alias("r")).select(by, F.col("r.o").alias(order), F.col("r.ema").alias("ema"))
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("factor", F.greatest(F.max(low + (1 - low) * F.col("ema")).over(w), F.lit(low)))
+    size = max(1, math.ceil(40 / -math.log(keep)))
+    runs = Window.partitionBy(by).orderBy(order)
+    placed = df.select(by, order, F.col(value).cast("double").alias("_v"), F.row_number().over(runs).alias("_k"))
+    placed = placed.withColumn("_block", F.floor((F.col("_k") - 1) / size)).withColumn("_i", (F.col("_k") - 1) % size)
+    upto = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum((1 - keep) * F.col("_v") * F.pow(F.lit(keep), -F.col("_i"))).over(upto) * F.pow(F.lit(keep), F.col("_i"))
+    placed = placed.withColumn("_own", own)
+    ends = placed.filter(F.col("_i") == size - 1).select(F.col(by).alias("_by"), (F.col("_block") + 1).alias("_next"), F.col("_own").alias("_carry"))
+    placed = placed.join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_next")), "left")
+    ema = F.col("_own") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_i") + 1) + start * F.pow(F.lit(keep), F.col("_k"))
+    out = placed.select(by, order, ema.alias("ema"))
+    return out.withColumn("factor", F.greatest(F.max(low + (1 - low) * F.col("ema")).over(runs.rowsBetween(Window.unboundedPreceding, 0)), F.lit(low)))
 
 
 def adaptive_kl(df: DataFrame, kl: str, order: str, by: str, target: float, horizon: float, n_steps: str, start: float) -> DataFrame:
@@ -206,12 +211,11 @@ def majority_of_n(df: DataFrame, n: int, draws: int = 1000, seed: int = 42) -> D
         pdf = pdf.sort_values("ord")
         codes, values = pd.factorize(pdf["vote"])[0], pdf["value"].to_numpy(float)
         first = {c: values[np.argmax(codes == c)] for c in np.unique(codes)}
-        picks = codes[np.random.default_rng(seed).integers(0, len(codes), (draws, n))]
-        total = 0.0
-        for row in picks:
-            kinds, at, counts = np.unique(row, return_index=True, return_counts=True)
-            top = kinds[counts == counts.max()]
-            total += first[min(top, key=lambda c: at[np.searchsorted(kinds, c)])]
+        # each prompt has draws of its own
+        own = int(hashlib.md5(f"{seed}:{pdf['source'].iloc[0]}:{pdf['prompt'].iloc[0]}".encode()).hexdigest()[:8], 16)
+        picks = codes[np.random.default_rng(own).integers(0, len(codes), (draws, n))]
+        votes = (picks[:, :, None] == picks[:, None, :]).sum(axis=2)  # of the vote at each place; the first of the largest wins
+        total = np.vectorize(first.get, otypes=[float])(picks[np.arange(draws), votes.argmax(axis=1)]).sum()
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "prompt": [pdf["prompt"].iloc[0]], "maj": [total / draws]})
 
     t = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -1,13 +1,15 @@
 """Extension points: scorers and generators that a user gives, run over partitions with ``mapInPandas``.
 
 A scorer is a function Iterator[pandas.DataFrame] -> Iterator[pandas.DataFrame], so it can open a client once a task. Results are
-cached under a key, so a failed run goes on where it stopped.
+cached under a key, so a failed run goes on where it stopped. What a model gave is written to ``path`` before it is used, so
+nothing is asked twice, however often the result is read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import time
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,19 +37,27 @@ def apply_scorer(df: DataFrame, scorer: Callable[[Iterator[pd.DataFrame]], Itera
 
 
 def safe_scorer(score_row: Callable[[dict], float], seconds: float = 10.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A scorer that adds ``score`` row by row; a row that fails, gives null or takes longer than ``seconds`` scores 0."""
+    """A scorer that adds ``score`` row by row; a row that fails, gives null or takes longer than ``seconds`` scores 0.
+
+    Rows run in a worker thread. The task stops waiting for a late one after ``seconds`` and goes on with a new worker; a row that never
+    comes back leaves its idle thread behind until the Python worker ends.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(1)
         for pdf in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                began = time.monotonic()
+            for values in zip(*(pdf[c] for c in pdf.columns), strict=True):
                 try:
-                    value = float(score_row(row))
+                    value = float(pool.submit(score_row, dict(zip(pdf.columns, values, strict=True))).result(seconds))
+                except Late:
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    pool, value = ThreadPoolExecutor(1), 0.0
                 except Exception:
                     value = 0.0
-                out.append(value if value == value and time.monotonic() - began <= seconds else 0.0)
+                out.append(value if value == value else 0.0)
             yield pdf.assign(score=out)
+        pool.shutdown(wait=False)
 
     return run
 
@@ -63,25 +73,32 @@ def hash_scorer(text: str, salt: str = "") -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def cached_scores(work: DataFrame, cache: DataFrame, scorer, *key_columns: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows with ``response``, new cache rows): the scorer sees only rows whose key isn't in the cache (cache_key, response)."""
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cached_scores(work: DataFrame, cache: DataFrame, scorer, *key_columns: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all rows with ``response``, new cache rows): the scorer sees only rows whose key isn't in the cache (cache_key, response), and each once."""
     keyed = work.withColumn("cache_key", cache_key(*[F.col(c) for c in key_columns]))
     hits, misses = split_cached(keyed, cache)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", response string"
-    fresh = apply_scorer(misses, scorer, schema)
+    fresh = _kept(apply_scorer(misses, scorer, schema), path)
     return hits.unionByName(fresh), fresh.select("cache_key", "response").distinct()
 
 
-def generate_with_retry(df: DataFrame, generate: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:
+def generate_with_retry(df: DataFrame, generate: Callable[[DataFrame, int], DataFrame], path: str, rounds: int = 3) -> DataFrame:
     """``generate(rows, round)`` adds ``output``; rows whose output is empty go to the next round, the last round's stay as they are.
 
-    Each round is a stage of one plan; what a round gives must not change when it is run again.
+    Each round is written to ``path/round=k`` and read from there. Rounds end when no row is left.
     """
     out, left = None, df
     for k in range(rounds):
-        got = generate(left, k)
+        got = _kept(generate(left, k), f"{path}/round={k}")
         good = F.trim(F.coalesce("output", F.lit(""))) != ""
         part = got if k == rounds - 1 else got.filter(good)
         out = part if out is None else out.unionByName(part)
         left = got.filter(~good).drop("output")
+        if left.isEmpty():
+            break
     return out

@@ -100,7 +100,7 @@ def sampled_steps(df: DataFrame, step: str = "step") -> DataFrame:
     steps = marked.groupBy(step).agg(F.first("_hit").alias("_hit"))
     last = Window.orderBy(F.desc(step))
     chosen = steps.withColumn("_any", F.max("_hit").over(Window.partitionBy())).withColumn("_r", F.row_number().over(last)).filter(F.col("_hit") | (~F.col("_any") & (F.col("_r") <= 10)))
-    return df.join(F.broadcast(chosen.select(step)), step, "left_semi")
+    return df.join(chosen.select(step), step, "left_semi")
 
 
 # ---- sampling
@@ -111,7 +111,7 @@ def upsample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     order = hash_order(key, seed)
     ranked = number_rows(df, [order, key], F.substring(order, 1, 3), "_rank", "_count")
     copies = F.floor(F.lit(n) / F.col("_count")) + (F.col("_rank") < F.lit(n) % F.col("_count")).cast("int")
-    return ranked.withColumn("_copies", copies.cast("int")).filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rank", "_count", "_copies")
+    return _copied(ranked, copies).drop("_rank", "_count")
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -151,9 +151,11 @@ def resample(df: DataFrame, n: int, score: str, method: str = "pow", power: floa
     Draws are seeded hashes of their number; each falls between two cumulative weights, found by a range join whose sides are
     first put in the same 1024 slices of the total, so that it is a hash join.
     """
-    top, low = F.max(score).over(Window.partitionBy()), F.min(score).over(Window.partitionBy())
+    if method != "pow":  # one row of extremes beside each row
+        df = df.crossJoin(F.broadcast(df.agg(F.max(score).alias("_top"), F.min(score).alias("_low"))))
+    top, low = F.col("_top"), F.col("_low")
     w = {"pow": F.pow(F.abs(F.col(score)), power), "max_min": F.when((F.col(score) == top) | (F.col(score) == low), 1.0).otherwise(0.0), "max_random": F.when(F.col(score) == top, 0.4).otherwise(0.1)}[method]
-    weighted = df.withColumn("_w", F.greatest(w + 1e-8, F.lit(1e-8)))
+    weighted = df.withColumn("_w", F.greatest(w + 1e-8, F.lit(1e-8))).drop("_top", "_low")
     summed = running_sum(weighted, "_w", [key], F.floor(F.col(key) / BUCKET_ROWS), "_upto", "_all")
     ends = summed.withColumn("_hi", F.col("_upto") / F.col("_all")).withColumn("_lo", (F.col("_upto") - F.col("_w")) / F.col("_all")).drop("_upto", "_all")
     slices = F.sequence(F.floor(F.col("_lo") * 1024).cast("int"), F.least(F.floor(F.col("_hi") * 1024), F.lit(1023)).cast("int"))
@@ -180,7 +182,9 @@ def workload(length: Column) -> Column:
 def snake_partitions(df: DataFrame, n: int, length: str, key: str) -> DataFrame:
     """``part`` 0 .. n - 1: rows by falling workload dealt forth and back, so parts have equal counts (within one) and close sums."""
     load = workload(F.col(length))
-    ranked = number_rows(df, [F.desc(load), key], -F.floor(F.log2(load + 1) * 64), "_r")
+    # equal lengths, which may be very many, are split by their keys
+    bucket = F.struct(-F.col(length), F.floor(F.col(key) / BUCKET_ROWS)) if dict(df.dtypes)[key] in ("bigint", "int") else -F.col(length)
+    ranked = number_rows(df, [F.desc(load), key], bucket, "_r")
     lap, place = F.floor(F.col("_r") / n), F.col("_r") % n
     return ranked.withColumn("part", F.when(lap % 2 == 0, place).otherwise(n - 1 - place).cast("int")).drop("_r")
 
@@ -262,10 +266,26 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def equal_mix(parts: Mapping[str, DataFrame], key: str, seed: int = 42) -> DataFrame:
-    """Every part upsampled to the size of the largest, with its name in ``source``."""
-    sizes = {name: df.count() for name, df in parts.items()}
-    return union_all(*[upsample(df, max(sizes.values()), key, seed).withColumn("source", F.lit(name)) for name, df in parts.items() if sizes[name]])
+def equal_mix(df: DataFrame, source: str, key: str, seed: int = 42) -> DataFrame:
+    """Every source upsampled to the rows of the largest: whole copies (``copy`` from 1), then its first rows in hash order.
+
+    One count and one numbering serve all sources; the numbering is split by the hash, so a large source isn't one task's.
+    """
+    order = hash_order(key, seed)
+    marked = df.withColumn("_order", order).withColumn("_slice", F.substring("_order", 1, 3))
+    sums = marked.groupBy(source, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(source).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.select(F.col(source).alias("_s"), F.col("_slice").alias("_c"), F.coalesce(ahead, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(source)).alias("_count"))
+    inside = F.row_number().over(Window.partitionBy(source, "_slice").orderBy("_order", key)) - 1
+    placed = marked.withColumn("_inside", inside).join(carried, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_c")))
+    n = df.groupBy(source).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows").alias("_most"))
+    placed = placed.crossJoin(F.broadcast(n))  # one row
+    copies = F.floor(F.col("_most") / F.col("_count")) + (F.col("_before") + F.col("_inside") < F.col("_most") % F.col("_count")).cast("int")
+    return _copied(placed, copies).drop("_order", "_slice", "_inside", "_s", "_c", "_before", "_count", "_most")
+
+
+def _copied(df: DataFrame, copies: Column) -> DataFrame:
+    return df.withColumn("_copies", copies.cast("int")).filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
 def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -252,16 +252,16 @@ def agreement(scores: DataFrame) -> DataFrame:
 
     From (prompt, rubric, answer, score, label, length): mean population variance per answer across rubrics, mean Spearman of
     rubric pairs, Spearman of the mean score with the label, mean of each rubric's own, the share of rubrics with one
-    distinct score, and the mean rubric length.
+    distinct score, and the mean rubric length. An answer's label and a rubric's length are means over their rows, which share them.
     """
-    per_answer = scores.groupBy("prompt", "answer").agg(F.var_pop("score").alias("v"), F.avg("score").alias("score"), F.first("label").alias("label"))
+    per_answer = scores.groupBy("prompt", "answer").agg(F.var_pop("score").alias("v"), F.avg("score").alias("score"), F.avg("label").alias("label"))
     variance = per_answer.groupBy("prompt").agg(F.avg("v").alias("var_per_answer"))
     ensemble = spearman(per_answer).select("prompt", F.col("rho").alias("ensemble_rho"))
     individual = spearman(scores, ["prompt", "rubric"]).groupBy("prompt").agg(F.avg("rho").alias("individual_rho"))
     left = scores.select("prompt", "answer", F.col("rubric").alias("i"), F.col("score").alias("x"))
     right = scores.select("prompt", "answer", F.col("rubric").alias("j"), F.col("score").alias("y"))
     pairs = spearman(left.join(right, ["prompt", "answer"]).filter("i < j"), ["prompt", "i", "j"], "x", "y").groupBy("prompt").agg(F.avg("rho").alias("mean_pair_rho"))
-    rubrics = scores.groupBy("prompt", "rubric").agg(F.countDistinct("score").alias("n"), F.first("length").alias("length"))
+    rubrics = scores.groupBy("prompt", "rubric").agg(F.countDistinct("score").alias("n"), F.avg("length").alias("length"))
     collapsed = rubrics.groupBy("prompt").agg(F.avg((F.col("n") <= 1).cast("double")).alias("collapsed_rate"), F.avg("length").alias("mean_length"))
     out = variance
     for part in (pairs, ensemble, individual, collapsed):

@@ -47,13 +47,11 @@ def prep_since(spark, sf_dir):
     return p.since(e, "epoch", e.agg(F.avg("epoch")).first()[0]).select("event_id")
 
 
-@query("SELECT item_id, (item_id * 7 + 3) % (SELECT count(*) FROM benchmark) AS ord FROM benchmark WHERE (SELECT count(*) FROM benchmark) % 7 <> 0")
+@query("SELECT item_id, (SELECT max(item_id) FROM benchmark) - item_id AS ord FROM benchmark")
 def prep_reorder(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    n = max(b.count(), 1)
-    step = 7 if n % 7 else 1  # a factor that n shares gives no permutation; the SQL has no rows there
-    rows = b.select("item_id", F.col("item_id").alias("ord"))
-    permutation = rows.select(F.col("ord").alias("old"), ((F.col("ord") * step + 3) % n).alias("new"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").alias("ord"))
+    last = rows.agg(F.max("ord").alias("last"))  # one row
+    permutation = rows.crossJoin(F.broadcast(last)).select(F.col("ord").alias("old"), (F.col("last") - F.col("ord")).alias("new"))
     return p.reorder(rows, permutation)
 
 
@@ -92,10 +90,10 @@ def monitor_entropy_schedule(spark, sf_dir):
     return rounded(steps.select("step", m.entropy_schedule(F.col("step"), 0.01, 0.001, 12).alias("coefficient")), 6)
 
 
-@query("SELECT p_partkey, 2 AS prompt_tokens, round(2 * (1 + 0.1::double * p_size), 4) AS total_weight FROM part WHERE p_size < 20")
+@query("SELECT p_partkey, 2 AS prompt_tokens, round(2 * least(1 + 0.1::double * p_size, 3.0), 4)::double AS total_weight FROM part")
 def sequence_weighted_criteria(spark, sf_dir):
     items = F.array(F.struct(F.lit("first one").alias("text"), x.criterion_weight(F.col("p_size")).alias("weight")))
-    rows = table(spark, sf_dir, "part").filter("p_size < 20").select("p_partkey", F.lit("the prompt").alias("p"), items.alias("c"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("the prompt").alias("p"), items.alias("c"))
     out = q.weighted_criteria(rows, "p", "c", 6)
     total = F.aggregate("weights", F.lit(0.0), lambda a, v: a + v)
     return out.select("p_partkey", F.size(F.filter(F.slice("weights", 1, 2), lambda w: w == 0)).alias("prompt_tokens"), F.round(total, 4).alias("total_weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import monitoring as m
 from gradeloom.plans.ranking import rounded
 from gradeloom.plans.registry import query, table
-from gradeloom.plans.rubrics import rubrics
+from gradeloom.plans.rubrics import RUBRICS, STOP, WORDS, rubrics
 
 
 def events(spark, sf_dir):
@@ -52,7 +52,14 @@ def monitor_text_lengths(spark, sf_dir):
     return rounded(m.text_lengths(steps(spark, sf_dir), "text", r"\."))
 
 
-@query()
+QUESTION_WORDS = WORDS.format(r"regexp_extract(text, '\S[^\r\n]*')", STOP)
+
+
+@query(f"""WITH {RUBRICS}, g AS (SELECT *, sum(crit::int) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM c),
+    t AS (SELECT doc_id, k, string_agg(CASE WHEN crit THEN body ELSE trim(line) END, chr(10) ORDER BY i) AS criterion FROM g WHERE k > 0 GROUP BY ALL),
+    q AS (SELECT doc_id, {QUESTION_WORDS} AS w FROM documents),
+    h AS (SELECT q.doc_id, count(k) AS n, count(*) FILTER (k IS NOT NULL AND len(list_filter(w, lambda v: contains(lower(criterion), v))) > 0) AS hits FROM q LEFT JOIN t USING (doc_id) GROUP BY 1)
+    SELECT round(sum(hits) / sum(n), 4) AS criteria, round(avg((hits > 0)::int), 4) AS questions FROM h""")
 def monitor_topic_specificity(spark, sf_dir):
     return rounded(m.topic_specificity(rubrics(spark, sf_dir).withColumn("question", F.regexp_extract("text", r"\S[^\r\n]*", 0)), "question", "rubric"))
 

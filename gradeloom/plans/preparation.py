@@ -125,9 +125,8 @@ def prep_union_all(spark, sf_dir):
 
 @query("SELECT lang AS source, (SELECT max(c) FROM (SELECT count(*) AS c FROM documents GROUP BY lang)) AS n FROM documents GROUP BY 1")
 def prep_equal_mix(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "lang")
-    langs = [r[0] for r in d.select("lang").distinct().orderBy("lang").collect()]
-    return p.equal_mix({v: d.filter(F.col("lang") == v) for v in langs}, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    d = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("source"))
+    return p.equal_mix(d, "source", "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_mktsegment, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
@@ -165,7 +164,7 @@ def prep_pad_to_multiple(spark, sf_dir):
     return p.pad_to_multiple(table(spark, sf_dir, "benchmark"), 7, "item_id").select("item_id", "is_pad")
 
 
-@query()
+@query("SELECT vec_id, true AS same FROM embeddings")
 def prep_unfold_and_fold(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return p.fold(p.unfold(vectors, "embedding", 4), ["vec_id"], "embedding").join(vectors.withColumnRenamed("embedding", "was"), "vec_id").select("vec_id", (F.col("embedding") == F.col("was")).alias("same"))

@@ -164,7 +164,25 @@ def preference_accuracy(spark, sf_dir):
     return rounded(r.preference_accuracy(rows, "chosen", "rejected", "subset"))
 
 
-@query()
+def _mode_sql(m: str, score: str) -> str:
+    """The eight metrics of one scoring, as a CTE v_m (metric, v)."""
+    return f"""l_{m} AS (SELECT prompt, ord, label, {score} AS score FROM labelled),
+    p_{m} AS (SELECT a.prompt, a.score AS sa, b.score AS sb, a.label AS la, b.label AS lb FROM l_{m} a JOIN l_{m} b ON a.prompt = b.prompt AND a.ord < b.ord),
+    pp_{m} AS (SELECT q.prompt, coalesce(avg({CREDIT}) FILTER (la <> lb), 0) AS acc, coalesce(avg(abs(sa - sb)) FILTER (la <> lb), 0) AS res, avg({CREDIT}) FILTER (abs(la - lb) > 0.2) AS conf,
+        sum(sign(sa - sb) * sign(la - lb))::double AS net, sum(abs(sign(sa - sb)))::double AS x, sum(abs(sign(la - lb)))::double AS y FROM (SELECT DISTINCT prompt FROM l_{m}) q LEFT JOIN p_{m} USING (prompt) GROUP BY q.prompt),
+    r_{m} AS (SELECT *, rank() OVER (PARTITION BY prompt ORDER BY score) + (count(*) OVER (PARTITION BY prompt, score) - 1) / 2 AS rs, rank() OVER (PARTITION BY prompt ORDER BY label) + (count(*) OVER (PARTITION BY prompt, label) - 1) / 2 AS rl,
+        row_number() OVER (PARTITION BY prompt ORDER BY score DESC, ord) AS r, row_number() OVER (PARTITION BY prompt ORDER BY label DESC, ord) AS i, max(label) OVER (PARTITION BY prompt) AS hi, min(label) OVER (PARTITION BY prompt) AS lo,
+        (count(*) FILTER (label > 0.5) OVER (PARTITION BY prompt))::double AS p, count(*) OVER (PARTITION BY prompt) AS c FROM l_{m}),
+    g_{m} AS (SELECT prompt, CASE WHEN count(*) >= 2 AND var_pop(rs) * var_pop(rl) > 0 THEN (avg(rs * rl) - avg(rs) * avg(rl)) / sqrt(var_pop(rs) * var_pop(rl)) END AS rho,
+        CASE WHEN max(hi) > min(lo) THEN avg(score) FILTER (label = hi) - avg(score) FILTER (label = lo) END AS gap,
+        CASE WHEN max(hi) > min(lo) AND count(*) >= 2 THEN CASE WHEN sum(CASE WHEN i <= 4 THEN label / log2(i + 1) ELSE 0 END) > 0 THEN sum(CASE WHEN r <= 4 THEN label / log2(r + 1) ELSE 0 END) / sum(CASE WHEN i <= 4 THEN label / log2(i + 1) ELSE 0 END) ELSE 0 END END AS ndcg,
+        CASE WHEN max(p) > 0 AND max(p) < max(c) THEN (sum(rs) FILTER (label > 0.5) - max(p) * (max(p) + 1) / 2) / (max(p) * (max(c) - max(p))) END AS auc FROM r_{m} GROUP BY prompt),
+    v_{m} AS (SELECT 'pairwise_acc' AS metric, avg(acc) AS v FROM pp_{m} UNION ALL SELECT 'resolution', avg(res) FROM pp_{m} UNION ALL SELECT 'confident_acc', avg(conf) FROM pp_{m}
+        UNION ALL SELECT 'kendall_tau_b', avg(CASE WHEN x * y > 0 THEN net / sqrt(x * y) END) FROM pp_{m} UNION ALL SELECT 'spearman', avg(rho) FROM g_{m} UNION ALL SELECT 'top_bottom_gap', avg(gap) FROM g_{m}
+        UNION ALL SELECT 'ndcg@4', avg(ndcg) FROM g_{m} UNION ALL SELECT 'auroc', avg(auc) FROM g_{m})"""
+
+
+@query(f"WITH {L}, {_mode_sql('c', 'score')}, {_mode_sql('w', 'words')} SELECT metric, round(v_c.v, 4) AS chars, round(v_w.v, 4) AS words FROM v_c JOIN v_w USING (metric)")
 def compare_modes(spark, sf_dir):
     return rounded(r.compare_modes({s: labelled(spark, sf_dir, s) for s in ("chars", "words")}))
 
@@ -176,7 +194,22 @@ def rubric_agreement_variance(spark, sf_dir):
     return rounded(_agreement(spark, sf_dir).select("prompt", "var_per_answer"))
 
 
-@query()
+S_SQL = "s AS (SELECT l_suppkey % 50 AS prompt, l_partkey % 4 AS rubric, l_orderkey % 8 AS answer, avg(l_quantity) AS score, avg(l_extendedprice) AS label, avg(l_linenumber) AS length FROM lineitem GROUP BY ALL)"
+
+
+def _rho_sql(source: str, by: str, a: str, b: str) -> str:
+    """(by, rho) of average ranks of two columns within groups."""
+    rank = lambda c: f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2"
+    return f"SELECT {by}, {RHO.format('x', 'y')} AS rho FROM (SELECT {by}, {rank(a)} AS x, {rank(b)} AS y FROM {source}) GROUP BY {by} HAVING count(*) >= 2"
+
+
+@query(f"""WITH {S_SQL}, pa AS (SELECT prompt, answer, var_pop(score) AS v, avg(score) AS score, avg(label) AS label FROM s GROUP BY ALL),
+    met AS (SELECT a.prompt, a.rubric AS i, b.rubric AS j, a.answer, a.score AS sx, b.score AS sy FROM s a JOIN s b ON a.prompt = b.prompt AND a.answer = b.answer AND a.rubric < b.rubric),
+    e AS ({_rho_sql('pa', 'prompt', 'score', 'label')}), d AS (SELECT prompt, avg(rho) AS rho FROM ({_rho_sql('s', 'prompt, rubric', 'score', 'label')}) GROUP BY prompt),
+    w AS (SELECT prompt, avg(rho) AS rho FROM ({_rho_sql('met', 'prompt, i, j', 'sx', 'sy')}) GROUP BY prompt),
+    c AS (SELECT prompt, avg((n <= 1)::int) AS collapsed, avg(length) AS length FROM (SELECT prompt, rubric, count(DISTINCT score) AS n, avg(length) AS length FROM s GROUP BY ALL) GROUP BY prompt)
+    SELECT v.prompt, round(v.v, 4) AS var_per_answer, round(w.rho, 4) AS mean_pair_rho, round(e.rho, 4) AS ensemble_rho, round(d.rho, 4) AS individual_rho, round(c.collapsed, 4) AS collapsed_rate, round(c.length, 4) AS mean_length
+    FROM (SELECT prompt, avg(v) AS v FROM pa GROUP BY prompt) v LEFT JOIN w USING (prompt) LEFT JOIN e USING (prompt) LEFT JOIN d USING (prompt) LEFT JOIN c USING (prompt)""")
 def rubric_agreement(spark, sf_dir):
     return rounded(_agreement(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("ranking", "groups", "preparation", "rubrics", "scores", "tokens", "monitoring", "sources", "extras")
+MODULES = ("ranking", "groups", "preparation", "rubrics", "scores", "tokens", "monitoring", "sources", "extras", "roundtrips")
 
 
 def query(sql: str | None = None):

@@ -50,7 +50,7 @@ def rubric_quality(spark, sf_dir):
 
 
 def with_gold(spark, sf_dir):
-    """Rubrics with the benchmark text ``gold``, dealt in turn: item number doc_id modulo the number of items. The SQL below has 40 for it, as at sf0.01."""
+    """Rubrics with the benchmark text ``gold``, dealt in turn: item number doc_id modulo the number of items."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
     gold = number_rows(items, ["item_id"], F.floor(F.col("item_id") / 10_000), "g").select("g", "gold")
     return rubrics(spark, sf_dir).join(gold, F.pmod(F.col("doc_id"), F.lit(max(items.count(), 1))) == F.col("g"))
@@ -61,7 +61,7 @@ STOP = ", ".join(f"'{w}'" for w in x.STOP_WORDS)
 A, G = WORDS.format("d.text", STOP), WORDS.format("b.text", STOP)
 
 
-@query(f"""WITH k AS (SELECT doc_id, {A} AS a, {G} AS g FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), n AS (SELECT doc_id, len(a) AS na, len(g) AS ng, len(list_intersect(a, g)) AS o FROM k)
+@query(f"""WITH k AS (SELECT doc_id, {A} AS a, {G} AS g FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS g FROM benchmark) b ON b.g = d.doc_id % (SELECT count(*) FROM benchmark)), n AS (SELECT doc_id, len(a) AS na, len(g) AS ng, len(list_intersect(a, g)) AS o FROM k)
     SELECT doc_id, round(CASE WHEN na > 0 AND ng > 0 THEN o / ng ELSE 0 END, 4) AS recall, round(CASE WHEN na > 0 AND ng > 0 THEN o / na ELSE 0 END, 4) AS precision, round(CASE WHEN o > 0 THEN 2.0 * o / (na + ng) ELSE 0 END, 4) AS f1 FROM n""")
 def rubric_keyword_scores(spark, sf_dir):
     both = with_gold(spark, sf_dir)
@@ -73,7 +73,9 @@ def rubric_compliance(spark, sf_dir):
     return rounded(rubrics(spark, sf_dir).filter("rubric <> ''").select("doc_id", x.format_compliance("rubric").alias("compliance")))
 
 
-@query()
+@query(f"""WITH {COUNTS}, k AS (SELECT doc_id, {A} AS a, {G} AS g FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS g FROM benchmark) b ON b.g = d.doc_id % (SELECT count(*) FROM benchmark)),
+    f AS (SELECT doc_id, CASE WHEN len(list_intersect(a, g)) > 0 THEN 2.0 * len(list_intersect(a, g)) / (len(a) + len(g)) ELSE 0 END AS f1 FROM k)
+    SELECT doc_id, round(5 * f1 + coalesce(n / greatest(lines, 1), 0) + (coalesce(n, 0) BETWEEN 3 AND 15)::int + coalesce((pos > 0 AND n > pos)::int, 0), 4)::double AS score FROM f LEFT JOIN n USING (doc_id)""")
 def rubric_composite(spark, sf_dir):
     both = with_gold(spark, sf_dir)
     return rounded(both.select("doc_id", x.composite_score(F.col("rubric"), F.col("gold")).alias("score")))

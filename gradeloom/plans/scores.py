@@ -34,14 +34,24 @@ def score_redundant_edges(spark, sf_dir):
     return rounded(s.redundant_edges(matrix(spark, sf_dir), 0.8001))
 
 
-@query()
+# A little above 0.8, which rank correlations of few answers often are up to the last bit.
+THRESHOLD = 0.8001
+CLUSTERS = f"""{M}, p AS (SELECT a.q, a.rollout, a.crit AS a, b.crit AS b, rank() OVER w1 + (count(*) OVER (PARTITION BY a.q, a.rollout, a.crit, b.crit, a.score) - 1) / 2 AS x, rank() OVER w2 + (count(*) OVER (PARTITION BY a.q, a.rollout, a.crit, b.crit, b.score) - 1) / 2 AS y
+    FROM s a JOIN s b ON a.q = b.q AND a.rollout = b.rollout AND a.answer = b.answer AND a.crit < b.crit WINDOW w1 AS (PARTITION BY a.q, a.rollout, a.crit, b.crit ORDER BY a.score), w2 AS (PARTITION BY a.q, a.rollout, a.crit, b.crit ORDER BY b.score)),
+    e AS (SELECT q, rollout, a, b FROM p GROUP BY ALL HAVING count(*) >= 3 AND CASE WHEN var_pop(x) * var_pop(y) > 0 THEN (avg(x * y) - avg(x) * avg(y)) / sqrt(var_pop(x) * var_pop(y)) END > {THRESHOLD}),
+    ways AS (SELECT q, rollout, a, b FROM e UNION SELECT q, rollout, b, a FROM e), crits AS (SELECT DISTINCT q, rollout, crit FROM s),
+    reach AS (SELECT q, rollout, crit, crit AS other FROM crits UNION SELECT r.q, r.rollout, r.crit, n.b FROM reach r JOIN ways n ON n.q = r.q AND n.rollout = r.rollout AND n.a = r.other),
+    k AS (SELECT q, rollout, crit, min(other) AS rep FROM reach GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT q, rollout, crit, rep, round(1 / count(*) OVER (PARTITION BY q, rollout, rep), 4) AS weight FROM k")
 def score_duplicate_weights(spark, sf_dir):
-    return rounded(s.duplicate_weights(s.criterion_clusters(matrix(spark, sf_dir))))
+    return rounded(s.duplicate_weights(s.criterion_clusters(matrix(spark, sf_dir), THRESHOLD)).select("q", "rollout", "crit", "rep", "weight"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT round(avg(r), 4) AS unique_rate FROM (SELECT count(DISTINCT rep) / count(*) AS r FROM k GROUP BY q, rollout)")
 def score_unique_rate(spark, sf_dir):
-    return rounded(s.unique_rate(s.criterion_clusters(matrix(spark, sf_dir))))
+    return rounded(s.unique_rate(s.criterion_clusters(matrix(spark, sf_dir), THRESHOLD)))
 
 
 @query(f"WITH {ST}, p AS (SELECT s.q, s.rollout, answer, avg(score) AS v FROM s JOIN d USING (q, rollout, crit) WHERE NOT is_gold AND (disc OR any_disc = 0) GROUP BY ALL) SELECT q, rollout, round(avg(v), 4) AS consensus FROM p GROUP BY ALL")

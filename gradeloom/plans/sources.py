@@ -116,7 +116,7 @@ def sequence_line_weights(spark, sf_dir):
 def plugin_cached_judge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cache = spark.createDataFrame([], "cache_key string, response string")
-    scored, _ = plugins.cached_scores(docs, cache, plugins.hash_scorer("text"), "text")
+    scored, _ = plugins.cached_scores(docs, cache, plugins.hash_scorer("text"), "text", path=work_dir(spark))
     return scored.select("doc_id", F.regexp_extract("response", r"(\d+)", 1).cast("long").alias("score"))
 
 

@@ -5,12 +5,15 @@ Files are read by Spark's readers, so any store that Spark knows will do.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as x
+from gradeloom.operators.preparation import by_winner, preferred_pairs
 
 MESSAGES = "array<struct<role:string,content:string>>"
 RUBRICS = "array<struct<criterion:string,points:int>>"
@@ -77,13 +80,32 @@ def take_valid(df: DataFrame, valid: Column, needed: int) -> DataFrame:
     return df.filter(valid).limit(needed)
 
 
+# Schemas of the preference layouts, by name.
+PREFERENCES = {
+    "chosen": "prompt string, chosen string, rejected string, subset string",
+    "winner": "prompt string, response_1 string, response_2 string, winner string",
+    "conversation": f"conversation {MESSAGES}, responses array<struct<answer:string>>, preferred_index int, category_path string",
+}
+
+
+def read_preferences(spark: SparkSession, path: str, layout: str, a_name: str = "model_a", b_name: str = "model_b") -> DataFrame:
+    """(prompt, chosen, rejected, subset) from one of the layouts; rows without a usable preference go."""
+    df = spark.read.schema(PREFERENCES[layout]).json(path)
+    if layout == "conversation":
+        return preferred_pairs(df)
+    if layout == "winner":
+        df = by_winner(df, "response_1", "response_2", "winner", a_name, b_name).withColumn("subset", F.lit(None).cast("string"))
+    return df.select("prompt", "chosen", "rejected", "subset")
+
+
 def step_of(file: Column) -> Column:
-    return F.regexp_extract(file, r"step_(\d+)", 1).try_cast("int")
+    """The number behind ``step_`` or ``step=`` in a path."""
+    return F.regexp_extract(file, r"step[_=](\d+)", 1).try_cast("int")
 
 
 def read_steps(spark: SparkSession, path: str, schema: str, steps: Sequence[int] | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """Step logs with ``step`` from the file name; only files of the wanted steps give rows."""
-    df = spark.read.schema(schema).json(path).withColumn("step", step_of(F.col("_metadata.file_name")))
+    """Step logs with ``step`` from the name of the file or its folder; only files of the wanted steps give rows."""
+    df = spark.read.schema(schema).json(path).withColumn("step", step_of(F.col("_metadata.file_path")))
     if steps is not None:
         df = df.filter(F.col("step").isin(list(steps)))
     if lo is not None:
@@ -181,12 +203,14 @@ def split_cached(work: DataFrame, cache: DataFrame, key: str = "cache_key") -> t
     return work.join(hits, key), work.join(hits, key, "left_anti")
 
 
-def load_or_compute(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The table saved at ``path``, or else the computed one, saved there."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # Spark's AnalysisException for a path that isn't there
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    compute().write.parquet(path)
-    return spark.read.parquet(path)
+def load_or_compute(spark: SparkSession, path: str, compute, **parameters: object) -> DataFrame:
+    """The table saved at ``path`` for these parameters, or else the computed one, saved there.
+
+    A folder that a crash left without its success mark is computed again.
+    """
+    key = hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
+    at = f"{path}/{key}" if parameters else path
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        compute().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)

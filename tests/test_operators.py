@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +43,15 @@ def test_chunk_pad_and_repeat(rows):
     assert [r["ord"] for r in p.repeat_rows(rows, 2, False).orderBy("new_ord").limit(3).collect()] == [0, 1, 2]
 
 
+def test_resample_weights(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(10)], "ord long, score double")
+    drawn = lambda method: [r["ord"] for r in p.resample(df, 3000, "score", method).collect()]
+    ends = drawn("max_min")
+    assert len(ends) == 3000 and set(ends) == {0, 9} and abs(ends.count(0) - 1500) < 200
+    top = drawn("max_random")
+    assert len(top) == 3000 and abs(top.count(9) - 3000 * 0.4 / 1.3) < 150 and set(top) == set(range(10))
+
+
 def test_resample_draws_all(rows):
     out = p.resample(rows.withColumn("score", F.col("ord").cast("double")), 200, "score")
     assert out.count() == 200 and out.filter("ord = 0").count() == 0
@@ -142,15 +152,15 @@ def test_load_or_compute_runs_once(spark, tmp_path):
     assert len(calls) == 1
 
 
-def test_scorers(spark):
+def test_scorers(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     bad = plugins.safe_scorer(lambda row: 1.0 if row["t"] == "a" else 1 / 0)
     assert {r["t"]: r["score"] for r in plugins.apply_scorer(df, bad, "t string, score double").collect()} == {"a": 1.0, "b": 0.0}
     cache = spark.createDataFrame([], "cache_key string, response string")
-    first, new = plugins.cached_scores(df, cache, plugins.hash_scorer("t"), "t")
-    again, none = plugins.cached_scores(df, new, plugins.hash_scorer("t"), "t")
+    first, new = plugins.cached_scores(df, cache, plugins.hash_scorer("t"), "t", path=f"{tmp_path}/a")
+    again, none = plugins.cached_scores(df, new, plugins.hash_scorer("t"), "t", path=f"{tmp_path}/b")
     assert sorted(map(tuple, first.select("t", "response").collect())) == sorted(map(tuple, again.select("t", "response").collect())) and none.count() == 0
-    out = plugins.generate_with_retry(df, lambda d, k: d.withColumn("output", F.when((F.col("t") == "a") | (F.lit(k) > 0), F.concat("t", F.lit(str(k)))).otherwise("")), 3)
+    out = plugins.generate_with_retry(df, lambda d, k: d.withColumn("output", F.when((F.col("t") == "a") | (F.lit(k) > 0), F.concat("t", F.lit(str(k)))).otherwise("")), f"{tmp_path}/c", 3)
     assert sorted(r["output"] for r in out.collect()) == ["a0", "b1"]
 
 
@@ -162,3 +172,40 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         (src / name).write_text(f'{{"k": "{text}", "t": "{text}"}}\n{{"k": "aa", "t": "aa"}}\n')
         runs.score_as_it_comes(runs.stream_files(spark, str(src), "k string, t string"), scorer, out, "k", str(tmp_path / "cp")).awaitTermination()
     assert sorted((r["k"], r["score"], r["step"]) for r in spark.read.parquet(out).collect()) == [("aa", 2, 1), ("bbb", 3, 2)]
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    df = spark.createDataFrame([(k,) for k in range(8)], "k long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf.assign(output=["" if k % 2 else "done" for k in pdf["k"]])
+
+    out = plugins.generate_with_retry(df, lambda rows, _: rows.mapInPandas(ask, "k long, output string"), f"{tmp_path}/rounds", 3)
+    for _ in range(2):
+        assert out.count() == 8
+    assert calls.value == 8 + 4 + 4
+    calls.value = 0
+    judge = lambda batches: (calls.add(len(p)) or p.assign(response="x") for p in batches)
+    rows, new = plugins.cached_scores(df, spark.createDataFrame([], "cache_key string, response string"), judge, "k", path=f"{tmp_path}/cache")
+    assert rows.count() == new.count() == 8 and calls.value == 8
+
+
+def test_a_hanging_row_scores_nothing(spark):
+    def slow(row):
+        if row["k"] == 1:
+            time.sleep(30)
+        return 1.0
+
+    began = time.monotonic()
+    df = spark.createDataFrame([(k,) for k in range(4)], "k long").coalesce(1)
+    got = plugins.apply_scorer(df, plugins.safe_scorer(slow, 0.5), "k long, score double").collect()
+    assert sorted((r["k"], r["score"]) for r in got) == [(0, 1.0), (1, 0.0), (2, 1.0), (3, 1.0)] and time.monotonic() - began < 25
+
+
+def test_unfinished_folders_are_computed_again(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    for _ in range(2):
+        assert io.load_or_compute(spark, str(tmp_path / "t"), lambda: spark.range(3)).count() == 3

@@ -1,4 +1,5 @@
 import math
+import random
 from itertools import combinations
 from statistics import mean, stdev
 
@@ -92,3 +93,31 @@ def test_registry(scored):
 def test_gdpo_is_a_weighted_sum(scored):
     both = adv(g.gdpo(scored.withColumn("b", F.col("score") * 2), {"score": 1.0, "b": 1.0}))
     assert both[1] == pytest.approx(2 * adv(g.grpo(scored))[1], rel=1e-4)
+
+
+def test_pair_counts_against_all_pairs(spark):
+    """Prompts with ties, many labels, negative and huge scores, nulls, and one row."""
+    rng = random.Random(5)
+    rows = [(p_, k, rng.choice([None, -3.5, 0.0, 1.0, 2.0, 1e9, rng.uniform(-50, 50)]), rng.choice([None, 0.0, 0.25, 0.5, 1.0])) for p_ in "abc" for k in range(60)] + [("d", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "prompt string, ord long, score double, label double")
+    got = {r["prompt"]: r for r in r.pairwise_metrics(df).collect()}
+    pooled = {r["threshold"]: r for r in r.confident_pairs_pooled(df, (0.25, 0.5), legacy_ties=True).collect()}
+    tau = {r["prompt"]: r["tau"] for r in r.kendall_tau_b(df).collect()}
+    legacy = {0.25: [], 0.5: []}
+    for name in "abcd":
+        own = [x for x in rows if x[0] == name and x[2] is not None and x[3] is not None]
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        sign = lambda v: (v > 0) - (v < 0)
+        used = [(a, b) for a, b in pairs if a[3] != b[3]]
+        credit = [0.5 if a[2] == b[2] else float((a[2] > b[2]) == (a[3] > b[3])) for a, b in used]
+        assert got[name]["pairs_used"] == len(used)
+        assert got[name]["pairwise_acc"] == pytest.approx(sum(credit) / len(used) if used else 0)
+        assert got[name]["resolution"] == pytest.approx(sum(abs(a[2] - b[2]) for a, b in used) / len(used) if used else 0)
+        for t in legacy:
+            legacy[t] += [1.0 if (a[3] > b[3]) == (a[2] > b[2]) else 0.5 if a[2] == b[2] else 0.0 for a, b in used if abs(a[3] - b[3]) >= t]
+        net = sum(sign(a[2] - b[2]) * sign(a[3] - b[3]) for a, b in pairs)
+        free = [sum(a[c] != b[c] for a, b in pairs) for c in (2, 3)]
+        if free[0] and free[1]:
+            assert tau[name] == pytest.approx(net / (free[0] * free[1]) ** 0.5)
+    for t, all_credit in legacy.items():
+        assert pooled[t]["n_pairs"] == len(all_credit) and pooled[t]["accuracy"] == pytest.approx(sum(all_credit) / len(all_credit))

@@ -30,4 +30,4 @@ def test_every_benchmark_item_is_a_gold_side(spark, tmp_path):
 def test_reorder_of_a_multiple_of_seven(spark, tmp_path):
     d = put(spark, tmp_path, "benchmark", [(i, "x") for i in range(14)], "item_id long, text string")
     got = {r["item_id"]: r["ord"] for r in entry.queries()["prep_reorder"](spark, d).collect()}
-    assert got == {i: (i + 3) % 14 for i in range(14)}
+    assert got == {i: 13 - i for i in range(14)}

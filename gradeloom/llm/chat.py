@@ -59,7 +59,9 @@ def fold_events(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans): one row a conversation, from (conv_id, turn, role, text).
 
-    loss_spans are the start and length in code points of each assistant text as it stands in ``formatted``.
+    loss_spans are the start and length in code points of each assistant text as it stands in ``formatted``. A null role or text is
+    empty, null turns come first, rows that share a turn follow in the order of role and text, repeated rows are turns of their own, other
+    columns are not looked at, and an empty table gives an empty result.
     """
     head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
     pieces = messages.select("conv_id", "turn", "role", head.alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"))
@@ -73,7 +75,7 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of struct(role, text), unescaped."""
+    """The turns of a formatted conversation: array of struct(role, text), unescaped. Null is null, an empty text has no turns."""
     pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != "")
 
     def turn(piece: Column) -> Column:

@@ -92,7 +92,11 @@ def statistics(column: pa.Array) -> list[np.ndarray]:
 
 
 def rule_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(id, stratum, STATS), a row a document."""
+    """(id, stratum, STATS), a row a document.
+
+    A null or empty text has no words and counts of 0. Null ids and strata stay null, repeated rows give a row each, other columns are not
+    looked at, and an empty table gives an empty result. ``key`` names a whole number, or text that is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -171,7 +175,11 @@ def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: fl
 
 
 def apply_rules(stats: DataFrame, cutoffs: DataFrame, base) -> DataFrame:
-    """``stats`` with ``base_failed``, ``failed_rule`` (the first rule above its cutoff, or null) and ``kept``."""
+    """``stats`` with ``base_failed``, ``failed_rule`` (the first rule above its cutoff, or null) and ``kept``.
+
+    A stratum without a row in ``cutoffs``, or with null cutoffs there, has no rule that fails; a null stratum is one of its own. Every row
+    stays, repeated ones too.
+    """
     chosen = broadcast_if_small(cutoffs.select(F.col("stratum").alias("_stratum"), "cutoffs"))
     joined = stats.join(chosen, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     failed = F.coalesce(*[F.when(F.col(r) > F.get(F.col("cutoffs"), F.lit(i)), F.lit(r)) for i, r in enumerate(RULES)])

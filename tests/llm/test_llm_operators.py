@@ -345,6 +345,28 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_tokens(token_files.write_tokens(make_docs(spark, []), str(tmp_path), path, 2)).count() == 0
 
 
+def test_other_tokenizers_are_right_or_refused(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(public.path("word_bpe_49k.json"))
+    text = "Don't split THIS 123 naïve word's, 4,500.25 (see) x!!y Straße"
+    for path in sorted(glob.glob(f"{folder}/*.json"))[:6]:
+        try:
+            plain = Tokenizer.from_file(path)
+        except Exception:
+            continue
+        try:
+            encoder = token_files.WordEncoder(path)
+        except ValueError:
+            continue
+        ids, _ = encoder.texts(pa.array([text]), 2)
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2], path
+
+
 # ---- op8
 
 

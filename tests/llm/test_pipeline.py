@@ -60,3 +60,19 @@ def test_run_agrees_with_itself(spark, corpus):
     path = corpus[0]
     a, b = (corpus_pipeline.run(spark, path).select("doc_id", "shard", "slot", F.col("size")) for _ in range(2))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, corpus):
+    """Rows with null texts and ids, rows that are there twice, and columns named as the stages' own; and no rows at all."""
+    path, rows, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").filter("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id", "en", "src0", 1), (500, None, "en", "src1", 0)], docs.schema)
+    docs = docs.unionByName(docs.filter("doc_id < 5")).unionByName(odd)
+    clash = docs.selectExpr("*", "1 AS score", "2 AS gone", "3 AS leaked", "4 AS mix", "5 AS mix_size", "6 AS slot")
+    for given in (clash, clash.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, path)
+            n = out.count()
+            assert (n == 0) == (given is not clash), name
+            if name not in ("mix", "shards"):
+                assert out.columns == given.columns and n <= given.count(), name

@@ -43,22 +43,26 @@ def masked_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(chosen).alias("n"), masked_sum(F.col(column)).alias("sum"), masked_mean(F.col(column)).alias("mean"), masked_var(F.col(column)).alias("variance"), F.max(chosen).alias("max"), F.min(chosen).alias("min"))
 
 
-def aggregate_loss(df: DataFrame, column: str, mode: str, scale: float | None = None) -> DataFrame:
-    """One row (loss) by one of four modes; samples without a counted token don't count in the means over samples.
+LOSS_MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
+
+
+def aggregate_losses(df: DataFrame, column: str, scale: float | None = None) -> DataFrame:
+    """One row with a column for each of LOSS_MODES; samples without a counted token don't count in the means over samples.
 
-    token-mean; seq-mean-token-sum; seq-mean-token-mean; seq-mean-token-sum-norm (sum over samples / ``scale``, which is
-    the longest sample's length where it isn't given).
+    The last is the sum over samples / ``scale``, which is the longest sample's length where it isn't given. One pass over the tokens
+    gives a row a sample, from which all modes follow.
     """
-    if mode == "token-mean":
-        return df.agg((masked_sum(F.col(column)) / F.sum("mask")).alias("loss"))
     seqs = df.groupBy("sample_id").agg(masked_sum(F.col(column)).alias("s"), F.sum("mask").alias("n"), F.count(F.lit(1)).alias("length"))
-    if mode == "seq-mean-token-sum":
-        return seqs.agg(F.avg(F.when(F.col("n") > 0, F.col("s"))).alias("loss"))
-    if mode == "seq-mean-token-mean":
-        return seqs.agg(F.avg(F.when(F.col("n") > 0, F.col("s") / (F.col("n") + 1e-8))).alias("loss"))
-    if mode == "seq-mean-token-sum-norm":
-        return seqs.agg((F.sum("s") / (F.lit(scale) if scale is not None else F.max("length"))).alias("loss"))
-    raise ValueError(f"unknown mode {mode}")
+    counted = lambda v: F.avg(F.when(F.col("n") > 0, v))
+    values = (F.sum("s") / F.sum("n"), counted(F.col("s")), counted(F.col("s") / (F.col("n") + 1e-8)), F.sum("s") / (F.lit(scale) if scale is not None else F.max("length")))
+    return seqs.agg(*[v.alias(mode) for mode, v in zip(LOSS_MODES, values, strict=True)])
+
+
+def aggregate_loss(df: DataFrame, column: str, mode: str, scale: float | None = None) -> DataFrame:
+    """One row (loss) by one of LOSS_MODES."""
+    if mode not in LOSS_MODES:
+        raise ValueError(f"unknown mode {mode}")
+    return aggregate_losses(df, column, scale).select(F.col(f"`{mode}`").alias("loss"))
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:

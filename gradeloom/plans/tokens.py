@@ -37,12 +37,8 @@ def token_whiten(spark, sf_dir):
 @query(f"""WITH {T}, s AS (SELECT sample_id, coalesce(sum(reward) FILTER (mask = 1), 0) AS s, sum(mask) AS n, count(*) AS length FROM t GROUP BY 1)
     SELECT round(sum(s) / sum(n), 4) AS token_mean, round(avg(s) FILTER (n > 0), 4) AS seq_mean_token_sum, round(avg(s / (n + 1e-8)) FILTER (n > 0), 4) AS seq_mean_token_mean, round(sum(s) / max(length), 4) AS seq_mean_token_sum_norm FROM s""")
 def token_loss_modes(spark, sf_dir):
-    df = tokens(spark, sf_dir)
-    out = None
-    for mode in ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm"):
-        one = rounded(t.aggregate_loss(df, "reward", mode)).withColumnRenamed("loss", mode.replace("-", "_"))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    losses = t.aggregate_losses(tokens(spark, sf_dir), "reward")
+    return rounded(losses.toDF(*[mode.replace("-", "_") for mode in t.LOSS_MODES]))
 
 
 @query(f"""WITH {T}, k AS (SELECT mask, old_logp - ref_logp AS d, greatest(least(ref_logp - old_logp, 20), -20) AS c FROM t)

@@ -10,9 +10,9 @@ all emitted:
  1. every class of a bucket is compared with the bucket's smallest class; links give components;
  2. in buckets that still hold several components, classes of different components are compared pair by pair where the
     bucket is small;
- 3. the classes of large ones fall into families (connected through those buckets), and a family is cut into blocks of a
-    fixed size; each task compares two blocks by products of their set matrices and returns a link for each two components
-    that it finds connected, never the pairs themselves.
+ 3. large ones are cut into blocks of a fixed size, each class in one; each task compares two blocks that have a bucket in
+    common by products of their set matrices and returns a link for each two components that it finds connected, never the
+    pairs themselves.
 A pair within one component needs no comparison, since it can't change the result. Every comparison is exact, on the
 whole word sequences; that the sets of a class are equal is told by two 64-bit sums over hashes of all their shingles.
 """
@@ -251,8 +251,10 @@ def keep_one(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataF
 def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b), one at most for each two components of a cell, of classes of different components that reach the threshold.
 
-    From (bucket, node, n, component). A family is cut into blocks of about BLOCK classes and BLOCK_SHINGLES shingles at most, with a cell for each
-    two of them, so no task grows with a family (a single text is always whole) and no pair is skipped.
+    From (bucket, node, n, members, component). A class belongs to the fullest of its buckets, which is cut into blocks of about BLOCK classes and
+    BLOCK_SHINGLES shingles at most. Two blocks have a cell if a bucket reaches into both, and only classes of such buckets are sent there. So every two
+    classes of a bucket meet, in one cell alone; no task grows with a bucket (a single text is always whole), and buckets that are merely
+    chained by common classes are never multiplied with each other.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +264,18 @@ def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["node", "shingles"])
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, component, sets = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["shingles"].tolist()
-        size = np.array([len(x) for x in sets])
+        component, size = pdf["component"].to_numpy(), pdf["shingles"].str.len().to_numpy()
         a, b = np.flatnonzero(pdf["block"] == pdf["i"]), np.flatnonzero(pdf["block"] == pdf["j"])
+        x, y = size[a][:, None], size[b][None, :]
+        open_ = (component[a][:, None] != component[b][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        # classes that no class opposite can still be linked with need no product
+        in_a, in_b = open_.any(axis=1), open_.any(axis=0)
+        open_, a, b = open_[in_a][:, in_b], a[in_a], b[in_b]
+        if not open_.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        node, component, size, sets = pdf["node"].to_numpy()[used], component[used], size[used], pdf["shingles"].to_numpy()[used].tolist()
+        a, b = place[: len(a)], place[len(a) :]
         code = pd.factorize(np.concatenate(sets))[0]
         row = np.repeat(np.arange(len(sets)), size)
         shared = np.flatnonzero(np.bincount(code) > 1)
@@ -280,18 +291,18 @@ def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
             ones[row[here][hit], at[hit]] = 1
             common += ones[a] @ ones[b].T
         union = size[a][:, None] + size[b][None, :] - common
-        x, y = np.nonzero((100 * common >= percent * union) & (component[a][:, None] != component[b][None, :]))
+        x, y = np.nonzero(open_ & (100 * common >= percent * union))
         found = pd.DataFrame({"a": node[a[x]], "b": node[b[y]], "ca": component[a[x]], "cb": component[b[y]]})
         return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
 
-    least = large.groupBy("bucket").agg(F.min("node").alias("least"))
-    edges = large.join(broadcast_if_small(materialize(least, "least")), "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    families = connected_components(edges).withColumnRenamed("component", "family")
-    members = families.join(large.select("node", "n", "component").distinct(), "node")
+    home = large.groupBy("node", "n").agg(F.max_by("bucket", F.struct("members", "bucket")).alias("home"))
     wanted = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    marked = members.join(members.groupBy("family").agg(wanted.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n")
-    sets = texts.join(broadcast_if_small(materialize(marked, "blocks")), F.col("id") == F.col("node"))
-    sets = sets.select("id", "text").distinct().mapInArrow(emit, "node long, shingles array<long>").join(marked, "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = sets.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    return cells.groupBy("family", "i", "j").applyInPandas(cell, "a long, b long")
+    parts = broadcast_if_small(materialize(home.groupBy("home").agg(wanted.alias("parts")), "parts"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts"))
+    blocks = materialize(home.join(parts, "home").select("node", block.alias("block")), "blocks")
+    placed = materialize(large.join(broadcast_if_small(blocks), "node").select("bucket", "node", "component", "block"), "placed")
+    touched = broadcast_if_small(materialize(placed.select("bucket", F.col("block").alias("other")).distinct(), "touched"))
+    sent = placed.join(touched, "bucket").select("node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
+    sets = texts.join(broadcast_if_small(blocks.select("node")), F.col("id") == F.col("node"), "left_semi")
+    sets = sets.select("id", "text").distinct().mapInArrow(emit, "node long, shingles array<long>")
+    return sets.join(sent, "node").groupBy("i", "j").applyInPandas(cell, "a long, b long")

@@ -196,6 +196,19 @@ def test_rows_that_share_an_id_share_a_component(spark, vocabulary):
     assert one[0] == one[1] and [r[0] for r in one[0]] == [1, 2]
 
 
+def test_near_groups_in_families_of_near_misses(spark, monkeypatch):
+    """Two families that a few texts chain: no two members are linked but for the planted copies with one word more."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    cores = [[f"{c}{i}" for i in range(60)] for c in "pq"]
+    texts = [" ".join(cores[k % 2] + [f"u{k}x{j}" for j in range(18)]) for k in range(400)]
+    texts += [" ".join(cores[0] + cores[1][:50] + [f"v{k}x{j}" for j in range(18)]) for k in range(20)]
+    copies = {len(texts) + k: 9 * k for k in range(30)}
+    docs = make_docs(spark, enumerate(texts + [f"{texts[was]} z{new}" for new, was in copies.items()]))
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_groups(docs, 3, 85).collect()}
+    assert got == {k: copies.get(k, k) for k in range(len(texts) + len(copies))}
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.near_groups(make_docs(spark, []), 3, 85).count() == 0
 

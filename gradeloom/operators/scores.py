@@ -9,7 +9,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.ranking import average_rank, pearson
@@ -43,10 +43,10 @@ def redundant_edges(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
     return ranked.groupBy(*by).agg(pearson("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 3) & (F.col("rho") > threshold)).drop("n")
 
 
-def criterion_clusters(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(q, rollout, crit, rep): clusters of redundant criteria, named by their smallest criterion.
+def linked_criteria(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(q, rollout, crit, rep) of criteria that are redundant with another; ``rep`` is the smallest one that is reached over edges.
 
-    The clusters are the components of the edges; a rollout has few criteria, so each is closed in one small group.
+    A rollout has few criteria, so each is closed in one small group.
     """
 
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,9 +65,13 @@ def criterion_clusters(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     t = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
     edges = redundant_edges(scores, threshold)
-    linked = edges.groupBy("q", "rollout").applyInPandas(close, f"q {t['q']}, rollout {t['rollout']}, crit {t['crit']}, rep {t['crit']}")
+    return edges.groupBy("q", "rollout").applyInPandas(close, f"q {t['q']}, rollout {t['rollout']}, crit {t['crit']}, rep {t['crit']}")
+
+
+def criterion_clusters(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(q, rollout, crit, rep): clusters of redundant criteria, named by their smallest criterion."""
     every = scores.select("q", "rollout", "crit").distinct()
-    return every.join(linked, ["q", "rollout", "crit"], "left").withColumn("rep", F.coalesce("rep", "crit"))
+    return every.join(linked_criteria(scores, threshold), ["q", "rollout", "crit"], "left").withColumn("rep", F.coalesce("rep", "crit"))
 
 
 def duplicate_weights(clusters: DataFrame) -> DataFrame:
@@ -86,10 +90,26 @@ def unique_scores(scores: DataFrame, clusters: DataFrame) -> DataFrame:
     return scores.join(reps, ["q", "rollout", "crit"], "left_semi")
 
 
+def _criterion_values() -> dict[str, Column]:
+    solver = F.when(~F.col("is_gold"), F.col("score"))
+    return {"n": F.count(solver), "std": F.stddev_pop(solver), "gold": F.max(F.when(F.col("is_gold"), F.col("score"))), "mean": F.avg(solver)}
+
+
+def _spread(floor: float, power: float) -> Column:
+    return F.when(F.col("n") >= 2, F.when(F.col("std") < floor, 0.0).otherwise(F.pow(F.greatest(F.col("std") - floor, F.lit(0.0)), power)))
+
+
+def _gold_gap() -> Column:
+    return F.when(F.col("n") > 0, F.col("gold") - F.col("mean"))
+
+
+def _at_an_end() -> Column:
+    return ((F.col("score") <= 0.5) | (F.col("score") >= 9.5)).cast("double")
+
+
 def criterion_stats(scores: DataFrame, floor: float = REWARD["disc_floor"]) -> DataFrame:
     """(q, rollout, crit, n, std, gold, mean): solver answers' number, population std and mean, the gold score; ``discriminative``."""
-    solver = F.when(~F.col("is_gold"), F.col("score"))
-    stats = scores.groupBy("q", "rollout", "crit").agg(F.count(solver).alias("n"), F.stddev_pop(solver).alias("std"), F.max(F.when(F.col("is_gold"), F.col("score"))).alias("gold"), F.avg(solver).alias("mean"))
+    stats = scores.groupBy("q", "rollout", "crit").agg(*[value.alias(name) for name, value in _criterion_values().items()])
     return stats.withColumn("discriminative", (F.col("n") >= 2) & (F.col("std") >= floor))
 
 
@@ -104,20 +124,17 @@ def consensus(scores: DataFrame, stats: DataFrame) -> DataFrame:
 
 def discrimination(stats: DataFrame, floor: float = REWARD["disc_floor"], power: float = REWARD["disc_power"], scale: float = REWARD["disc_scale"]) -> DataFrame:
     """(q, rollout, disc): mean of (std - floor)^power over criteria with two scores, 0 for those under the floor, times scale."""
-    value = F.when(F.col("n") >= 2, F.when(F.col("std") < floor, 0.0).otherwise(F.pow(F.greatest(F.col("std") - floor, F.lit(0.0)), power)))
-    return stats.groupBy("q", "rollout").agg((F.coalesce(F.avg(value), F.lit(0.0)) * scale).alias("disc"))
+    return stats.groupBy("q", "rollout").agg((F.coalesce(F.avg(_spread(floor, power)), F.lit(0.0)) * scale).alias("disc"))
 
 
 def gold_discrimination(stats: DataFrame, scale: float = REWARD["gold_scale"], factor: float = 1.0) -> DataFrame:
     """(q, rollout, gold_disc): mean over criteria of gold score - mean solver score, times scale and factor."""
-    gap = F.when(F.col("n") > 0, F.col("gold") - F.col("mean"))
-    return stats.groupBy("q", "rollout").agg((F.coalesce(F.avg(gap), F.lit(0.0)) * scale * factor).alias("gold_disc"))
+    return stats.groupBy("q", "rollout").agg((F.coalesce(F.avg(_gold_gap()), F.lit(0.0)) * scale * factor).alias("gold_disc"))
 
 
 def calibration(scores: DataFrame, floor: float = REWARD["binary_floor"], scale: float = REWARD["binary_scale"]) -> DataFrame:
     """(q, rollout, binary_ratio, calibration): share of scores at either end, and the penalty above the floor."""
-    ratio = F.avg(((F.col("score") <= 0.5) | (F.col("score") >= 9.5)).cast("double"))
-    out = scores.groupBy("q", "rollout").agg(ratio.alias("binary_ratio"))
+    out = scores.groupBy("q", "rollout").agg(F.avg(_at_an_end()).alias("binary_ratio"))
     return out.withColumn("calibration", -scale * F.greatest(F.col("binary_ratio") - floor, F.lit(0.0)))
 
 
@@ -128,18 +145,42 @@ def short_penalties(rollouts: DataFrame, texts: str, tokens: str, c: Mapping[str
     return rollouts.withColumn("n_short", short).withColumn("crit_len_penalty", short * c["short_criterion"]).withColumn("resp_len_penalty", ramp)
 
 
+def reward_parts(scores: DataFrame, gold_factor: float = 1.0, c: Mapping[str, float] = REWARD) -> DataFrame:
+    """(q, rollout, consensus, disc, gold_disc, calibration), as the functions of these names give them, from one shuffle by rollout."""
+    rollout, crit = Window.partitionBy("q", "rollout"), Window.partitionBy("q", "rollout", "crit")
+    rows = scores.select("q", "rollout", "crit", "answer", "is_gold", "score").repartition("q", "rollout")
+    rows = rows.select("*", *[value.over(crit).alias(name) for name, value in _criterion_values().items()], F.row_number().over(crit.orderBy("is_gold", "answer")).alias("_row"))
+    rows = rows.withColumn("discriminative", (F.col("n") >= 2) & (F.col("std") >= c["disc_floor"])).withColumn("_any", F.max("discriminative").over(rollout))
+    used = F.when(~F.col("is_gold") & (F.col("discriminative") | ~F.col("_any")), F.col("score"))
+    # a criterion counts once, in its first row
+    spread, gap = (F.when(F.col("_row") == 1, value) for value in (_spread(c["disc_floor"], c["disc_power"]), _gold_gap()))
+    answers = rows.groupBy("q", "rollout", "answer").agg(
+        F.avg(used).alias("used"),
+        *[f(value).alias(f"{name}_{f.__name__}") for name, value in (("spread", spread), ("gap", gap), ("end", _at_an_end())) for f in (F.sum, F.count)],
+    )
+
+    def mean(name: str) -> Column:
+        return F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_count"))
+
+    return answers.groupBy("q", "rollout").agg(
+        F.avg("used").alias("consensus"),
+        (F.coalesce(mean("spread"), F.lit(0.0)) * c["disc_scale"]).alias("disc"),
+        (F.coalesce(mean("gap"), F.lit(0.0)) * c["gold_scale"] * gold_factor).alias("gold_disc"),
+        (-c["binary_scale"] * F.greatest(mean("end") - c["binary_floor"], F.lit(0.0))).alias("calibration"),
+    )
+
+
 def rewards(scores: DataFrame, rollouts: DataFrame, threshold: float = 0.8, gold_factor: float = 1.0, c: Mapping[str, float] = REWARD) -> DataFrame:
     """``rollouts`` (q, rollout, qa, parrot_flag) with the six components and ``reward``; a question's only rollout gets ``qa`` alone."""
-    unique = unique_scores(scores, criterion_clusters(scores, threshold))
-    stats = criterion_stats(unique, c["disc_floor"])
+    redundant = linked_criteria(scores, threshold).filter("crit <> rep").select("q", "rollout", "crit")
+    unique = scores.join(redundant, ["q", "rollout", "crit"], "left_anti")
     out = rollouts.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("q")))
-    for part in (consensus(unique, stats), discrimination(stats, c["disc_floor"], c["disc_power"], c["disc_scale"]), gold_discrimination(stats, c["gold_scale"], gold_factor), calibration(unique, c["binary_floor"], c["binary_scale"])):
-        out = out.join(part, ["q", "rollout"], "left")
+    out = out.join(reward_parts(unique, gold_factor, c), ["q", "rollout"], "left")
     out = out.withColumn("parrot", F.when(F.col("parrot_flag"), -c["parrot"]).otherwise(0.0))
     for name in COMPONENTS:
         if name != "qa":
             out = out.withColumn(name, F.when(F.col("_n") > 1, F.coalesce(name, F.lit(0.0))).otherwise(0.0))
-    return out.withColumn("reward", sum((F.col(n) for n in COMPONENTS), F.lit(0.0))).drop("_n", "binary_ratio")
+    return out.withColumn("reward", sum((F.col(n) for n in COMPONENTS), F.lit(0.0))).drop("_n")
 
 
 def concept_diversity(rollouts: DataFrame, concepts: str) -> DataFrame:

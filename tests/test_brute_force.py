@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as x
 from gradeloom.operators import monitoring as m
 from gradeloom.operators import preparation as p
+from gradeloom.operators import scores as s
 
 
 def test_collapse_rate(spark):
@@ -104,3 +105,19 @@ def test_parse_rubric_with_many_lines(spark):
     text = "\n".join(f"- [+{k}] criterion {k}\n more of {k}  " for k in range(1, 3000))
     got = spark.createDataFrame([(text,)], "t string").select(F.size(x.parse_rubric("t")), x.parse_rubric("t")[2998]["text"]).first()
     assert tuple(got) == (2999, "criterion 2999\nmore of 2999")
+
+
+def test_reward_parts_are_those_of_the_single_functions(spark):
+    rng = random.Random(5)
+    cells = [("q", j, k, i, i < 0, None if rng.random() < 0.1 else float(rng.choice([0, 3, 5, 6, 10]))) for j in range(8) for k in range(rng.randint(1, 5)) for i in range(-1, rng.randint(0, 5))]
+    cells += [("flat", 0, k, i, False, 4.0) for k in range(3) for i in range(3)] + [("empty", 0, 0, 0, False, None)]
+    scores = spark.createDataFrame(cells, "q string, rollout int, crit int, answer int, is_gold boolean, score double")
+    stats = s.criterion_stats(scores)
+    wanted = scores.select("q", "rollout").distinct()
+    for part in (s.consensus(scores, stats), s.discrimination(stats), s.gold_discrimination(stats), s.calibration(scores)):
+        wanted = wanted.join(part, ["q", "rollout"], "left")
+    names = ("consensus", "disc", "gold_disc", "calibration")
+    got, want = ({(r["q"], r["rollout"]): [r[c] for c in names] for r in df.collect()} for df in (s.reward_parts(scores), wanted))
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == [v if v is None else pytest.approx(v) for v in values]

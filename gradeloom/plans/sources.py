@@ -86,27 +86,37 @@ def spaced(c):
     return F.split(F.regexp_replace(F.trim(c), r"\s+", " "), " ")
 
 
-@query("SELECT item_id, least(n + 4, 40) AS real, least(greatest(40 - n, 0), 4) AS loss FROM (SELECT item_id, len(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')) AS n FROM benchmark)")
+def written(c):
+    return F.rtrim(F.array_join(c, " "))
+
+
+@query("""WITH t AS (SELECT item_id, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') AS w FROM benchmark), n AS (SELECT *, len(w) AS n FROM t)
+    SELECT item_id, least(n + 4, 40) AS real, least(greatest(40 - n, 0), 4) AS loss, rtrim(array_to_string(list_slice(w || ['it', 'is', 'so', '</s>'], 1, 40), ' ')) AS tokens,
+    rpad(substr(repeat('0', n) || '1111', 1, 40), 40, '0') AS loss_mask, rpad(repeat('1', least(n + 4, 40)), 40, '0') AS attention FROM n""")
 def sequence_prompt_response(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").withColumn("answer", F.lit("it is so"))
     out = q.prompt_response(b, "text", "answer", 40, tokenizer=spaced)
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v).cast("long")
-    return out.select("item_id", total("attention").alias("real"), total("loss_mask").alias("loss"))
+    return out.select("item_id", total("attention").alias("real"), total("loss_mask").alias("loss"), written("tokens").alias("tokens"), F.array_join("loss_mask", "").alias("loss_mask"), F.array_join("attention", "").alias("attention"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, len(string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')) AS n FROM conversations), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS before FROM t)
-    SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN greatest(least(before + n, 512) - least(before, 512), 0) ELSE 0 END)::bigint AS loss FROM s GROUP BY 1""")
+@query("""WITH t AS (SELECT conv_id, turn, role, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') AS w FROM conversations), s AS (SELECT *, len(w) AS n, sum(len(w)) OVER (PARTITION BY conv_id ORDER BY turn) - len(w) AS before FROM t)
+    SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN greatest(least(before + n, 512) - least(before, 512), 0) ELSE 0 END)::bigint AS loss,
+    rtrim(array_to_string(list_slice(flatten(list(w ORDER BY turn)), 1, 512), ' ')) AS tokens,
+    rpad(substr(string_agg(repeat(CASE WHEN role = 'assistant' THEN '1' ELSE '0' END, n), '' ORDER BY turn), 1, 512), 512, '0') AS loss_mask FROM s GROUP BY 1""")
 def sequence_multi_turn(spark, sf_dir):
     out = q.multi_turn(table(spark, sf_dir, "conversations"), 512, spaced)
-    return out.select("conv_id", F.aggregate("loss_mask", F.lit(0), lambda a, v: a + v).cast("long").alias("loss"))
+    loss = F.aggregate("loss_mask", F.lit(0), lambda a, v: a + v).cast("long")
+    return out.select("conv_id", loss.alias("loss"), written("tokens").alias("tokens"), F.array_join("loss_mask", "").alias("loss_mask"))
 
 
-@query("SELECT p_partkey, length(p_name) + length(p_type) + 1 AS n, round((length(p_name) + 7) * 0.5 + length(p_type), 4)::double AS total FROM part")
+@query("SELECT p_partkey, length(p_name) + length(p_type) + 1 AS n, round((length(p_name) + 7) * 0.5 + length(p_type), 4)::double AS total, repeat('5', length(p_name) + 7) || repeat('1', length(p_type)) AS marks FROM part")
 def sequence_line_weights(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("- [+] "), F.col("p_name"), F.lit("\n"), F.col("p_type")).alias("t"), F.array(F.lit(0.5)).alias("w"))
     out = q.spread_line_weights(rows, "t", "w")
     total = F.aggregate("char_weights", F.lit(0.0), lambda a, v: a + v)
-    return out.select("p_partkey", (F.size("char_weights") - 6).cast("long").alias("n"), F.round(total, 4).alias("total"))
+    marks = F.transform("char_weights", lambda v: F.when(v == 0.5, "5").when(v == 1.0, "1").otherwise("?"))
+    return out.select("p_partkey", (F.size("char_weights") - 6).cast("long").alias("n"), F.round(total, 4).alias("total"), F.array_join(marks, "").alias("marks"))
 
 
 # ---- plug-ins and streams

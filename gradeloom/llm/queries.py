@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, decontaminate, line_dedup, mixing, near_dedup, quality_fm, quality_rules, sharding, token_files, warc
+from gradeloom.llm import chat, decontaminate, line_dedup, mixing, near_dedup, phrases, quality_fm, quality_rules, sharding, token_files, warc
 from gradeloom.llm.common import materialize, n_words, scratch_path, table
 
 
@@ -117,7 +117,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup)}
+def op11_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents").select("text", "lang"), max_words=5, min_count=100, cover_percent=100, per_lang=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup, op11_phrase_filters)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""
@@ -152,4 +156,24 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (h.n IS NOT NULL AND keeper <> doc_id) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (h.n IS NULL OR keeper = doc_id), '')) AS kept_sha256
         FROM keyed LEFT JOIN held h USING (k) GROUP BY doc_id""",
+    "op11_phrase_filters": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+        split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda w: w <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::bigint AS n FROM split GROUP BY 1),
+        grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase FROM split, range(1, 6) t(k) WHERE len(w) >= k),
+        f AS (SELECT lang, phrase, any_value(k) AS size, count(*) AS a FROM grams GROUP BY 1, 2 HAVING count(*) >= 100),
+        cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        covered AS (
+            SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer
+            FROM cand, range(2, 5) s(m), range(1, 5) t(i) WHERE m < size AND i + m - 1 <= size GROUP BY 1, 2),
+        own AS (SELECT c.* FROM cand c LEFT JOIN covered v USING (lang, phrase) WHERE v.longer IS NULL OR 100 * v.longer < 100 * c.a),
+        cuts AS (
+            SELECT o.lang, o.phrase, o.a, k, x.a AS l, y.a AS r, t.n, ((1000::hugeint * o.a * t.n) // (x.a::hugeint * y.a))::bigint AS score
+            FROM own o JOIN range(1, 5) s(k) ON k < o.size JOIN totals t USING (lang)
+            JOIN f x ON x.lang = o.lang AND x.phrase = array_to_string(list_slice(o.w, 1, k), ' ')
+            JOIN f y ON y.lang = o.lang AND y.phrase = array_to_string(list_slice(o.w, k + 1, o.size), ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best QUALIFY rank <= 2000""",
 }

@@ -46,11 +46,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = CHUNK_
             first = last
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and n + 1 offsets of the documents into them."""
+def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = IS_WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and n + 1 offsets of the documents into them; ``apart`` says which bytes stand between words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~IS_WS[data]
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     first, last = inside.copy(), inside.copy()
@@ -60,9 +60,9 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at)
 
 
-def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray = IS_WS) -> tuple[np.ndarray, pa.Array]:
     """An exact id for each word of the chunk, and the distinct words by id."""
-    kept = data[~IS_WS[data]]
+    kept = data[~apart[data]]
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])

@@ -49,7 +49,7 @@ class _Words:
         ids, words = word_ids(data, starts, ends, _APART)
         langs = batch.column(lang).dictionary_encode()
         lang_of = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(docs))
-        pair, self.place = np.unique(lang_of * max(len(words), 1) + ids, return_inverse=True)
+        self.place, pair = pd.factorize(lang_of * max(len(words), 1) + ids)
         self.langs = langs.dictionary.take(pa.array(pair // max(len(words), 1)))
         self.words = words.take(pa.array(pair % max(len(words), 1)))
         piece = np.cumsum(_IS_MARK[data], dtype=np.int64)[starts]

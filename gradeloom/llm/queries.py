@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import chat, decontaminate, line_dedup, mixing, near_dedup, phrases, quality_fm, quality_rules, sharding, token_files, warc
+from gradeloom.llm import ball_search, chat, decontaminate, line_dedup, mixing, near_dedup, phrases, quality_fm, quality_rules, sharding, token_files, warc
 from gradeloom.llm.common import materialize, n_words, scratch_path, table
 
 
@@ -121,7 +121,11 @@ def op11_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents").select("text", "lang"), max_words=5, min_count=100, cover_percent=100, per_lang=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup, op11_phrase_filters)}
+def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), top_k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup, op11_phrase_filters, op13_ball_search)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""
@@ -176,4 +180,21 @@ ORACLES: dict[str, str] = {
         best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM best QUALIFY rank <= 2000""",
+    "op13_ball_search": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        docs AS (SELECT row_number() OVER () AS d, doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+        sums AS (SELECT count(*) AS n_docs, sum(n)::bigint AS all_terms FROM docs),
+        asked AS (
+            SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+        tf AS (
+            SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(w) AS term FROM docs)
+            WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3, 4),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM tf, sums GROUP BY term, n_docs),
+        scored AS (
+            SELECT item_id, d, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // all_terms))))::bigint AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term), sums GROUP BY 1, 2, 3)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10""",
 }

@@ -28,7 +28,7 @@ from gradeloom.llm.textops import LOWER, chunks, utf8, word_ids, word_spans
 #: Text of the queries of one pass over the documents.
 QUERY_BYTES = 16 << 20
 #: Documents and vector entries of a tree, documents of a leaf, groups of terms, and bytes of a tree's centroids.
-BLOCK_DOCS, BLOCK_ENTRIES, LEAF_DOCS, N_GROUPS, CENTROID_BYTES = 8192, 4 << 20, 32, 256, 64 << 20
+BLOCK_DOCS, BLOCK_ENTRIES, LEAF_DOCS, N_GROUPS, CENTROID_BYTES = 8192, 4 << 20, 64, 4096, 64 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 _APART = np.ones(256, bool)
@@ -67,7 +67,7 @@ def term_vectors(docs: DataFrame, terms: dict[bytes, int], key: str, text: str)
 
 
 class BallTree:
-    """Over vectors in rows ``ends[i]:ends[i + 1]`` of (terms, values); none is empty."""
+    """Over vectors in rows ``ends[i]:ends[i + 1]`` of (terms, values), in the order of the terms; none is empty. ``group`` never falls from term to term."""
 
     def __init__(self, ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, values: np.ndarray, scale: np.ndarray, group: np.ndarray, leaf_docs: int):
         width, self.n_groups = len(scale), int(group.max()) + 1 if len(group) else 1
@@ -85,10 +85,16 @@ class BallTree:
             local = np.repeat(np.arange(b - a), size)
             t, v = terms[at], values[at].astype(float)
             centre = np.bincount(t, v, width) / (b - a)
-            per = np.bincount(local * self.n_groups + group[t], v * (v - 2 * centre[t]), (b - a) * self.n_groups).reshape(b - a, -1)
             own = np.bincount(group, centre * centre, self.n_groups)
-            most = np.bincount(local * self.n_groups + group[t], v * v, (b - a) * self.n_groups).reshape(b - a, -1).max(0)
-            radii.append(np.sqrt(np.maximum(per.max(0) + own, 0) + self.slack * (own + most)) * (1 + self.slack))
+            g = group[t]
+            starts = np.flatnonzero(np.append(True, (local[1:] != local[:-1]) | (g[1:] != g[:-1])))
+            g = g[starts]
+            # |d - c|^2 - |c|^2 in a group is 0 for a document that has none of its terms
+            apart = np.where(np.bincount(g, minlength=self.n_groups) < b - a, 0.0, -np.inf)
+            np.maximum.at(apart, g, np.add.reduceat(v * (v - 2 * centre[t]), starts))
+            most = np.zeros(self.n_groups)
+            np.maximum.at(most, g, np.add.reduceat(v * v, starts))
+            radii.append(np.sqrt(np.maximum(apart + own, 0) + self.slack * (own + most)) * (1 + self.slack))
             centroids.append(centre)
             min_ids.append(int(ids[mine].min()))
             self.spans.append((a, b))
@@ -109,20 +115,20 @@ class BallTree:
         self.ids, self.terms, self.values = ids[order], terms[at], values[at]
         self.ends = np.append(0, np.cumsum(size))
 
-    def bounds(self, nodes: list[int], query: Query) -> list[int]:
-        raw = self.centroids[nodes][:, query.terms] @ query.weights + self.radii[nodes][:, query.groups] @ query.norms
-        return [math.floor(x * (1 + self.slack) + 2.0**-20) for x in raw.tolist()]
+    def bound(self, node: int, query: Query) -> int:
+        raw = self.centroids[node].take(query.terms) @ query.weights + self.radii[node].take(query.groups) @ query.norms
+        return math.floor(raw * (1 + self.slack) + 2.0**-20)
 
     def search(self, query: Query, dense: np.ndarray, top: Top) -> int:
         """Put what ranks into ``top``; ``dense`` has the query's weights by term. Returns the number of documents that were scored."""
-        scored, heap = 0, [(-self.bounds([0], query)[0], self.min_ids[0], 0)]
+        scored, heap = 0, [(-self.bound(0, query), self.min_ids[0], 0)]
         while heap:
             bound, least_id, node = heapq.heappop(heap)
             if top.beats(-bound, least_id):
                 break  # all others are bounded by less, or by as much with larger ids
             if (pair := self.children[node]) is not None:
-                for child, b in zip(pair, self.bounds(list(pair), query), strict=True):
-                    if not top.beats(b, self.min_ids[child]):
+                for child in pair:
+                    if not top.beats(b := self.bound(child, query), self.min_ids[child]):
                         heapq.heappush(heap, (-b, self.min_ids[child], child))
                 continue
             a, b = self.spans[node]
@@ -221,23 +227,28 @@ def _search_block(docs: DataFrame, items: list, top_k: int, key: str, text: str,
     n_docs, all_terms = counted.get(-1, 0), counted.get(-2, 0)
     df = np.array([counted.get(k, 0) for k in range(len(terms))], np.int64)
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
-    group = np.zeros(len(df), np.int64)
-    group[np.argsort(-df, kind="stable")] = np.arange(len(df)) * min(N_GROUPS, len(df)) // max(len(df), 1)
+    # terms are numbered by falling frequency from here on
+    common_first = np.argsort(-df, kind="stable")
+    number = np.empty(len(df), np.int64)
+    number[common_first] = np.arange(len(df))
+    weight, group = weight[common_first], np.arange(len(df)) * min(N_GROUPS, len(df)) // max(len(df), 1)
     queries = {}
     for item, own in asked.items():
-        at = np.array([terms[t] for t in own], np.int64)
+        at = number[[terms[t] for t in own]] if own else np.zeros(0, np.int64)
         w = weight[at] * np.array(list(own.values()), np.int64) if len(at) else at
         if (used := w > 0).any():
             queries[item] = Query(at[used], w[used], group)
-    shared = spark.sparkContext.broadcast((queries, weight, group))
+    shared = spark.sparkContext.broadcast((queries, number, weight, group))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, weight, group = shared.value
+        queries, number, weight, group = shared.value
         best = {item: Top(top_k) for item in queries}
         dense = np.zeros(len(weight), np.int64)
         for ids, n, sizes, t, counts in _blocks(batches):
-            ends = np.append(0, np.cumsum(sizes))
-            tree = BallTree(ids, ends, t.astype(np.int64), _impacts(np.repeat(n, sizes), counts.astype(np.int64), n_docs, all_terms), weight.astype(float), group, leaf_docs)
+            row, t = np.repeat(np.arange(len(ids)), sizes), number[t]
+            order = np.lexsort((t, row))
+            values = _impacts(n[row], counts.astype(np.int64), n_docs, all_terms)[order]
+            tree = BallTree(ids, np.append(0, np.cumsum(sizes)), t[order], values, weight.astype(float), group, leaf_docs)
             for item, query in queries.items():
                 dense[query.terms] = query.whole
                 tree.search(query, dense, best[item])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gradeloom.llm import ball_search, chat, decontaminate, line_dedup, mixing, near_dedup, phrases, quality_fm, quality_rules, sharding, token_files, warc
+from gradeloom.llm import ball_search, chat, decontaminate, line_dedup, mixing, near_dedup, phrases, quality_fm, quality_rules, secret_scan, sharding, token_files, warc
 from gradeloom.llm.common import materialize, n_words, scratch_path, table
 
 
@@ -121,11 +121,19 @@ def op11_phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents").select("text", "lang"), max_words=5, min_count=100, cover_percent=100, per_lang=2000)
 
 
+def op12_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.KINDS[:3]))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[count(kind) for kind in secret_scan.KINDS[:3]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), top_k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup, op11_phrase_filters, op13_ball_search)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_risk_rules, op3_circulant_minhash, op4_chat_format, op5_template_leaks, op6_virtual_slots, op7_token_files, op8_quality_fm, op9_warc_segments, op10_line_dedup, op11_phrase_filters, op12_secret_structure, op13_ball_search)}
 #: DuckDB SQL for those queries that it can express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""

@@ -1,7 +1,7 @@
 """Global numbering without a global sort in one task.
 
 A bucket is any column that rises with the wanted order. Rows are numbered inside their bucket, and a table with a row a bucket gives what
-stands before it.
+stands before it. Where no column of the table is such a bucket, ``range_bucket`` makes one from splitters that a bounded sample gives.
 """
 
 from __future__ import annotations
@@ -12,6 +12,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that ``range_bucket`` makes, at least and for each shuffle partition, and rows that are sampled for each.
+LEAST_BUCKETS, BUCKETS_PER_PARTITION, SAMPLED_PER_BUCKET = 64, 4, 16
+
+
+def range_bucket(df: DataFrame, order: Sequence[Column]) -> Column:
+    """A number that rises with ``order`` (ascending, nulls first) and has about as many rows for each value.
+
+    The splitters come from a sample of bounded size, chosen by hash and fetched once, so every use of the column deals the rows in the same way.
+    Rows that are equal in all columns of ``order`` share a bucket. A row finds its bucket by binary search.
+    """
+    n = max(LEAST_BUCKETS, BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [f"c{k}" for k in range(len(order))]
+    keys = df.select(*[c.alias(name) for c, name in zip(order, names, strict=True)])
+    sample = keys.orderBy(F.xxhash64(*names)).limit(n * SAMPLED_PER_BUCKET)
+    placed = sample.withColumn("_k", F.row_number().over(Window.orderBy(*names)))  # the sample alone
+    found = placed.filter(F.col("_k") % SAMPLED_PER_BUCKET == 0).orderBy("_k").collect()
+    if not found:
+        return F.lit(0)
+    kinds = {f.name: f.dataType for f in keys.schema.fields}
+    splitters = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in names]) for r in found])
+    own = F.struct(*[c.cast(kinds[name]).alias(name) for c, name in zip(order, names, strict=True)])
+    # how many splitters are at or before the row: the answer lies in lo .. hi
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(found)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        after = (acc["lo"] < acc["hi"]) & (F.get(splitters, middle) <= own)
+        return F.struct(F.when(after, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(after | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(found).bit_length())), start, halve, lambda acc: acc["lo"])
+
+
 def _before(df: DataFrame, bucket: Column, value: Column) -> tuple[DataFrame, DataFrame]:
     marked = df.withColumn("_bucket", bucket)
     sums = marked.groupBy("_bucket").agg(F.sum(value).alias("_sum"))

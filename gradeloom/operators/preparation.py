@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.order import number_rows, running_sum
+from gradeloom.operators.order import number_rows, range_bucket
 
 #: Rows with neighbouring values of an ``ord`` column go to one bucket of global numbering.
 BUCKET_ROWS = 100_000
@@ -145,24 +145,56 @@ def best_rows(df: DataFrame, by: Sequence[str], score: str, order: str, n: int =
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def resample(df: DataFrame, n: int, score: str, method: str = "pow", power: float = 2.0, key: str = "ord", seed: int = 42) -> DataFrame:
-    """``n`` rows drawn with replacement with weights |score|^power (pow), 1 at the extremes (max_min) or 0.4 / 0.1 (max_random).
+#: Children of a node of the tree that ``resample`` goes down.
+FANOUT = 1000
+_WHOLE = "decimal(38,0)"
 
-    Draws are seeded hashes of their number; each falls between two cumulative weights, found by a range join whose sides are
-    first put in the same 1024 slices of the total, so that it is a hash join.
+
+def resample(df: DataFrame, n: int, score: str, method: str = "pow", power: float = 2.0, key: str = "ord", seed: int = 42, fanout: int = FANOUT) -> DataFrame:
+    """``n`` rows drawn with replacement (``draw`` 0 .. n - 1) with weights |score|^power (pow), 1 at the extremes (max_min) or 0.4 / 0.1 (max_random).
+
+    Inversion level by level: rows go to blocks of ``fanout`` neighbouring keys, blocks to blocks of blocks, each with the sum of its weights. A draw is a seeded hash of
+    its number, a point in the sum of all; it goes down the levels, at each to the one child whose stretch holds it, which it finds in the sorted list of its
+    node's children. So the work is rows and draws, not their product, and a node that draws most is met by joins that can be split. Weights are whole
+    numbers of 2^-30 of the largest (at least 1), so sums are exact in any order and the draws are those of one long list in the order of ``key``,
+    a whole number without repeats or nulls.
     """
-    if method != "pow":  # one row of extremes beside each row
-        df = df.crossJoin(F.broadcast(df.agg(F.max(score).alias("_top"), F.min(score).alias("_low"))))
-    top, low = F.col("_top"), F.col("_low")
-    w = {"pow": F.pow(F.abs(F.col(score)), power), "max_min": F.when((F.col(score) == top) | (F.col(score) == low), 1.0).otherwise(0.0), "max_random": F.when(F.col(score) == top, 0.4).otherwise(0.1)}[method]
-    weighted = df.withColumn("_w", F.greatest(w + 1e-8, F.lit(1e-8))).drop("_top", "_low")
-    summed = running_sum(weighted, "_w", [key], F.floor(F.col(key) / BUCKET_ROWS), "_upto", "_all")
-    ends = summed.withColumn("_hi", F.col("_upto") / F.col("_all")).withColumn("_lo", (F.col("_upto") - F.col("_w")) / F.col("_all")).drop("_upto", "_all")
-    slices = F.sequence(F.floor(F.col("_lo") * 1024).cast("int"), F.least(F.floor(F.col("_hi") * 1024), F.lit(1023)).cast("int"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), draw.alias("_u")).withColumn("_slice", F.floor(F.col("_u") * 1024).cast("int"))
-    met = ends.withColumn("_slice", F.explode(slices)).join(draws, "_slice").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    return met.drop("_w", "_hi", "_lo", "_slice", "_u")
+    weight = {"pow": F.pow(F.abs(F.col(score)), power), "max_min": F.when((F.col(score) == F.col("_top")) | (F.col(score) == F.col("_low")), 1.0).otherwise(0.0), "max_random": F.when(F.col(score) == F.col("_top"), 0.4).otherwise(0.1)}[method]
+    ends = df.agg(F.max(score).alias("_top"), F.min(score).alias("_low"), F.max(F.pow(F.abs(F.col(score)), power)).alias("_most"), F.min(key).alias("_first"), F.max(key).alias("_last"))
+    first, last = ends.select("_first", "_last").first()
+    if first is None:
+        return df.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    largest = {"pow": F.col("_most"), "max_min": F.lit(1.0), "max_random": F.lit(0.4)}[method]
+    units = F.coalesce(F.round(weight / F.nullif(largest, F.lit(0.0)) * float(1 << 30)), F.lit(0.0))
+    # one row of extremes beside each row
+    rows = df.crossJoin(F.broadcast(ends.select("_top", "_low", "_most"))).select((F.col(key).cast("long") - first).alias("_child"), F.greatest(units.cast(_WHOLE), F.lit(1).cast(_WHOLE)).alias("_w"))
+    levels = [rows]
+    size = last - first + 1
+    while (size := -(-size // fanout)) > 1:
+        levels.append(levels[-1].groupBy(F.floor(F.col("_child") / fanout).alias("_child")).agg(F.sum("_w").cast(_WHOLE).alias("_w")))
+    whole = levels[-1].agg(F.sum("_w").cast(_WHOLE).alias("_all"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("decimal(15,0)")
+    point = (hashed * F.col("_all")).cast(_WHOLE)
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(whole)).select(F.col("id").alias("draw"), ((point - point % 16**12) / 16**12).cast(_WHOLE).alias("_u"), F.lit(0).cast("long").alias("_node"))
+    for level in reversed(levels):
+        draws = _descend(draws, level.withColumn("_node", F.floor(F.col("_child") / fanout)), fanout)
+    return draws.select("draw", "_node").join(df, F.col("_node") + first == F.col(key)).drop("_node")
+
+
+def _descend(draws: DataFrame, children: DataFrame, fanout: int) -> DataFrame:
+    """Each draw (draw, _u, _node) at the child of its node whose stretch holds ``_u``, with the rest of ``_u`` in that stretch."""
+    ahead = F.coalesce(F.sum("_w").over(Window.partitionBy("_node").orderBy("_child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(_WHOLE)
+    lists = children.select("_node", F.struct(ahead.alias("ahead"), F.col("_child").alias("child")).alias("c")).groupBy("_node").agg(F.sort_array(F.collect_list("c")).alias("_list"))
+    start = F.struct(F.lit(1).alias("lo"), F.size("_list").alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        right = F.get(F.col("_list"), middle - 1)["ahead"] <= F.col("_u")
+        return F.struct(F.when(right, middle).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle - 1).alias("hi"))
+
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(fanout.bit_length())), start, halve, lambda acc: acc["lo"])
+    met = draws.join(lists, "_node").withColumn("_c", F.element_at("_list", place))
+    return met.select("draw", (F.col("_u") - F.col("_c.ahead")).cast(_WHOLE).alias("_u"), F.col("_c.child").alias("_node"))
 
 
 def shuffled_positions(df: DataFrame, by: Sequence[str], key: str, seed: int = 42) -> DataFrame:
@@ -181,14 +213,131 @@ def workload(length: Column) -> Column:
 
 def snake_partitions(df: DataFrame, n: int, length: str, key: str) -> DataFrame:
     """``part`` 0 .. n - 1: rows by falling workload dealt forth and back, so parts have equal counts (within one) and close sums."""
-    load = workload(F.col(length))
-    # equal lengths, which may be very many, are split by their keys
-    bucket = F.struct(-F.col(length), F.floor(F.col(key) / BUCKET_ROWS)) if dict(df.dtypes)[key] in ("bigint", "int") else -F.col(length)
-    ranked = number_rows(df, [F.desc(load), key], bucket, "_r")
+    ranked = number_rows(df, [F.desc(workload(F.col(length))), key], range_bucket(df, [-workload(F.col(length)), F.col(key)]), "_r")
     lap, place = F.floor(F.col("_r") / n), F.col("_r") % n
     return ranked.withColumn("part", F.when(lap % 2 == 0, place).otherwise(n - 1 - place).cast("int")).drop("_r")
 
 
+#: Rows of a cell of ``balanced_partitions``, bundles that a cell keeps for each part, cells that one task merges, and batches of a cell of ``token_budget_partitions``.
+CELL_ROWS, BUNDLES_PER_PART, MERGED_CELLS, CELL_BATCHES = 200_000, 32, 64, 64
+#: Sums in the states with which ``differencing`` may begin.
+STATE_ENTRIES = 4 << 20
+
+
+def differencing(loads, n: int):
+    """Part of each load, by largest differencing over arrays: ``largest_differencing`` for many loads.
+
+    States of ``n`` sums begin with one load each (or, where these would have more than STATE_ENTRIES sums, with ``n`` neighbours in load order). The two states with
+    the widest spreads become one, the heaviest sum of one on the lightest of the other, until one is left; then its places are handed down to the states that it came from.
+    """
+    import heapq
+
+    import numpy as np
+
+    loads = np.asarray(loads, float)
+    order = np.argsort(-loads, kind="stable")
+    width = 1 if len(loads) * n <= STATE_ENTRIES else n
+    first = -(-len(loads) // width)
+    states = np.zeros((first, n))
+    states[:, :width] = np.append(loads[order], np.zeros(first * width - len(loads))).reshape(-1, width)
+    heap = list(zip((states[:, -1] - states[:, 0]).tolist(), range(first), states, strict=True))
+    heapq.heapify(heap)
+    merged = []
+    while len(heap) > 1:
+        (_, i, a), (_, j, b) = heapq.heappop(heap), heapq.heappop(heap)
+        joined = a + b[::-1]
+        falling = np.argsort(-joined, kind="stable")
+        merged.append((i, j, falling))
+        joined = joined[falling]
+        heapq.heappush(heap, (joined[-1] - joined[0], first + len(merged) - 1, joined))
+    # the part of each place of each state, from the last state back to the first ones
+    parts = np.empty((first + len(merged), n), np.int32)
+    parts[-1:] = np.arange(n)
+    for k, (i, j, falling) in reversed(list(enumerate(merged, first))):
+        at = np.empty(n, np.int32)
+        at[falling] = parts[k]
+        parts[i], parts[j] = at, at[::-1]
+    out = np.empty(len(loads), np.int32)
+    out[order] = parts[:first, :width].reshape(-1)[: len(loads)]
+    return out
+
+
+def balanced_partitions(df: DataFrame, n: int, length: str, key: str, cell_rows: int | None = None) -> DataFrame:
+    """``part`` 0 .. n - 1 with sums of workloads as even as differencing makes them, for tables of any size.
+
+    Rows go by a hash of ``key`` to cells of about ``cell_rows``. A cell is dealt by ``differencing`` to BUNDLES_PER_PART bundles for each part, of which a very heavy row has one
+    to itself. Bundles are loads again: those of MERGED_CELLS cells are dealt to as many bundles as one cell has, level by level, and the last ones to the n parts. A
+    row's part follows from its bundle through the levels' tables, which have a row a bundle. Nulls count as length 0. Deterministic for unique keys.
+    """
+    import pandas as pd
+
+    n_cells = max(1, -(-df.count() // (cell_rows or CELL_ROWS)))
+    bundles = n * BUNDLES_PER_PART
+    cell = F.expr(f"cast(pmod(xxhash64({_quoted(key)}), {n_cells}) as long)")
+
+    def dealt(rows: DataFrame, out: str, parts: int) -> DataFrame:
+        return _dealt(rows.withColumn("_cell", cell), "_cell", out, length, key, lambda _: parts)
+
+    if n_cells == 1:
+        return dealt(df.drop("part"), "part", n).drop("_cell")
+
+    def merge(parts: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["_cell", "_bundle"])
+            return pdf.assign(next=differencing(pdf["load"], parts))
+
+        return run
+
+    load = workload(F.coalesce(F.col(length), F.lit(0)).cast("double"))
+    # one pass over two columns gives the cells' bundles; the levels above are small tables
+    loads = dealt(df.select(key, length), "_bundle", bundles).groupBy("_cell", "_bundle").agg(F.sum(load).alias("load"))
+    path = None
+    while n_cells > 1:
+        n_cells = -(-n_cells // MERGED_CELLS)
+        level = loads.withColumn("group", F.floor(F.col("_cell") / MERGED_CELLS)).groupBy("group").applyInPandas(merge(bundles if n_cells > 1 else n), "_cell long, _bundle int, load double, group long, next int")
+        step = level.select("_cell", "_bundle", "group", "next")
+        if path is None:
+            path = step
+        else:
+            upper = step.toDF("group", "next", "_group", "_next")
+            path = path.join(upper, ["group", "next"]).select("_cell", "_bundle", F.col("_group").alias("group"), F.col("_next").alias("next"))
+        loads = level.groupBy(F.col("group").alias("_cell"), F.col("next").alias("_bundle")).agg(F.sum("load").alias("load"))
+    path = path.select("_cell", "_bundle", F.col("next").alias("part"))
+    return dealt(df.drop("part"), "_bundle", bundles).join(path, ["_cell", "_bundle"]).drop("_cell", "_bundle")
+
+
+def token_budget_partitions(df: DataFrame, max_tokens: int, length: str, key: str) -> DataFrame:
+    """``cell`` and ``part`` in it: micro-batches of about ``max_tokens``, as many in a cell as ceil(sum / max_tokens), for tables of any size.
+
+    Cells are rows of like hash and hold about CELL_BATCHES batches, so none grows with the table; each is dealt by ``differencing``.
+    """
+    total = df.agg(F.sum(F.col(length).cast("long"))).first()[0] or 0
+    n_cells = max(1, -(-total // (max_tokens * CELL_BATCHES)))
+
+    placed = df.drop("cell", "part").withColumn("cell", F.expr(f"cast(pmod(xxhash64({_quoted(key)}), {n_cells}) as long)"))
+    return _dealt(placed, "cell", "part", length, key, lambda tokens: max(1, -(-int(tokens) // max_tokens)))
+
+
+def _dealt(df: DataFrame, by: str, out: str, length: str, key: str, n_parts) -> DataFrame:
+    """``out``: the part of each row in its cell, of as many as ``n_parts`` says for the sum of lengths. Other columns pass as they are."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def deal(cell: pa.Table) -> pa.Table:
+        # in an order of its own, so that the rows' order on arrival decides nothing
+        order = cell.select([length, key]).to_pandas().sort_values([length, key], na_position="first", kind="stable").index.to_numpy()
+        size = cell.column(length).to_pandas().fillna(0).to_numpy(float)[order]
+        parts = size.astype("int32")
+        parts[order] = differencing(24576.0 * size + size**2, n_parts(size.sum()))
+        return cell.append_column(out, pa.array(parts, pa.int32()))
+
+    return df.groupBy(by).applyInArrow(deal, T.StructType([*df.schema.fields, T.StructField(out, T.IntegerType())]))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def balanced_batches(df: DataFrame, batch: str, n: int, length: str, key: str, equal_size: bool = False) -> DataFrame:
     """``part`` inside each batch by largest differencing (Karmarkar-Karp over n-way sets); a batch is one training step's rows."""
     import pandas as pd

@@ -195,22 +195,46 @@ def differing_tokens(df: DataFrame, a: str, b: str) -> DataFrame:
 # ---- recurrences and masks along a sample
 
 
-def _arrays(df: DataFrame, *columns: str) -> DataFrame:
-    """A row a sample with its tokens in the reverse order of pos."""
-    return df.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", *columns)), asc=False).alias("tokens"))
+#: Places of a sample whose tokens are one array, and tokens of a chunk of it.
+BLOCK, CHUNK = 1 << 16, 64
 
 
-def discounted_returns(df: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(sample_id, pos, mask, returns): running return from the end, set back to 0 behind each token that doesn't count."""
+def _blocks(df: DataFrame, *columns: str) -> DataFrame:
+    """(sample_id, block, tokens): a sample's tokens by blocks of ``pos``, the last token first, so that a long sample isn't one row."""
+    block = F.floor(F.col("pos") / BLOCK).cast("long")
+    return df.groupBy("sample_id", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", *columns)), asc=False).alias("tokens"))
+
+
+def _affine(df: DataFrame, a, b, out: str) -> DataFrame:
+    """``out``: for each token of ``tokens`` the value x that comes to it from behind, where token t turns x into a(t) x + b(t) and a sample begins with 0.
+
+    Maps compose to maps. A chunk's map is the fold of its tokens', those of the chunks behind are composed by doubling, and a block's map stands for it where other blocks go
+    on; then each chunk is gone through from what comes in. So no array grows with a sample, and a sample of one chunk is one plain recurrence.
+    """
+    chunk = F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / CHUNK).cast("int")), lambda k: F.slice(F.col("tokens"), k * CHUNK + 1, CHUNK))
+    line = lambda x, y: F.struct(x.cast("double").alias("a"), y.cast("double").alias("b"))
+    both = lambda later, m: line(m["a"] * later["a"], m["a"] * later["b"] + m["b"])
+    rows = df.withColumn("_chunks", chunk)
+    maps = F.transform("_chunks", lambda c: F.aggregate(c, line(F.lit(1.0), F.lit(0.0)), lambda acc, t: line(a(t) * acc["a"], a(t) * acc["b"] + b(t))))
+    strides = F.filter(F.array(*[F.lit(1 << k) for k in range((BLOCK // CHUNK).bit_length())]), lambda s: s < F.size("_chunks"))
+    composed = F.aggregate(strides, maps, lambda acc, s: F.transform(acc, lambda m, i: F.when(i >= s, both(F.get(acc, i - s), m)).otherwise(m)))
+    rows = rows.withColumn("_maps", composed)
+    behind = F.collect_list(F.element_at("_maps", -1)).over(by_sample().orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_in", F.aggregate(behind, F.lit(0.0), lambda x, m: m["a"] * x + m["b"]))
+    into = F.transform("_maps", lambda m, i: F.when(i == 0, F.col("_in")).otherwise(F.get(F.col("_maps"), i - 1)["a"] * F.col("_in") + F.get(F.col("_maps"), i - 1)["b"]))
+    state = lambda x, xs: F.struct(x.cast("double").alias("x"), xs.cast("array<double>").alias("xs"))
+    along = lambda c, x: F.aggregate(c, state(x, F.array()), lambda acc, t: state(a(t) * acc["x"] + b(t), F.array_append(acc["xs"], acc["x"])), lambda acc: acc["xs"])
+    return rows.withColumn(out, F.flatten(F.zip_with("_chunks", into, along))).drop("_chunks", "_maps", "_in")
 
-    def step(acc: Column, x: Column) -> Column:
-        value = x["reward"] + gamma * acc["running"]
-        row = F.struct(x["pos"].alias("pos"), x["mask"].alias("mask"), value.alias("returns"))
-        return F.struct((value * x["mask"]).alias("running"), F.array_append(acc["rows"], row).alias("rows"))
 
-    zero = F.expr("cast(named_struct('running', 0.0D, 'rows', array()) as struct<running:double,rows:array<struct<pos:int,mask:int,returns:double>>>)")
-    out = _arrays(df.select("sample_id", F.col("pos").cast("int").alias("pos"), F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward")), "mask", "reward")
-    return out.select("sample_id", F.explode(F.aggregate("tokens", zero, step)["rows"]).alias("r")).select("sample_id", "r.*")
+def discounted_returns(df: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(sample_id, pos, mask, returns): running return from the end, set back to 0 behind each token that doesn't count.
+
+    An affine scan: the work grows with the tokens, and a long sample is split over blocks.
+    """
+    scanned = _affine(_blocks(df, "mask", "reward"), lambda t: t["mask"] * gamma, lambda t: t["mask"] * t["reward"], "behind")
+    each = scanned.select("sample_id", F.explode(F.arrays_zip("tokens", "behind")).alias("t"))
+    return each.select("sample_id", "t.tokens.pos", "t.tokens.mask", (F.col("t.tokens.reward") + gamma * F.col("t.behind")).alias("returns"))
 
 
 def remax(df: DataFrame, baseline: str = "baseline") -> DataFrame:
@@ -223,19 +247,16 @@ def remax(df: DataFrame, baseline: str = "baseline") -> DataFrame:
 def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
     """(sample_id, pos, mask, gae, returns): generalised advantage estimation; tokens that don't count are skipped.
 
-    Whiten ``gae`` for the advantage.
+    Two affine scans, of the next counted value and of the estimate itself. Whiten ``gae`` for the advantage.
     """
-
-    def step(acc: Column, x: Column) -> Column:
-        last = x["reward"] + gamma * acc["next_value"] - x["value"] + gamma * lam * acc["last"]
-        here = F.when(x["mask"] != 0, last).otherwise(acc["last"])
-        row = F.struct(x["pos"].alias("pos"), x["mask"].alias("mask"), here.alias("gae"), (here + x["value"]).alias("returns"))
-        return F.struct(F.when(x["mask"] != 0, x["value"]).otherwise(acc["next_value"]).alias("next_value"), here.alias("last"), F.array_append(acc["rows"], row).alias("rows"))
-
-    zero = F.expr("cast(named_struct('next_value', 0.0D, 'last', 0.0D, 'rows', array()) as struct<next_value:double,last:double,rows:array<struct<pos:int,mask:int,gae:double,returns:double>>>)")
-    cols = [F.col("pos").cast("int").alias("pos"), F.col("mask").cast("int").alias("mask"), F.col("reward").cast("double").alias("reward"), F.col("value").cast("double").alias("value")]
-    out = _arrays(df.select("sample_id", *cols), "mask", "reward", "value")
-    return out.select("sample_id", F.explode(F.aggregate("tokens", zero, step)["rows"]).alias("r")).select("sample_id", "r.*")
+    counts = lambda t: t["mask"] != 0
+    blocks = _affine(_blocks(df, "mask", "reward", "value"), lambda t: F.when(counts(t), 0.0).otherwise(1.0), lambda t: F.when(counts(t), t["value"]).otherwise(0.0), "next_value")
+    own = F.zip_with("tokens", "next_value", lambda t, v: F.struct(t["pos"].alias("pos"), t["mask"].alias("mask"), t["value"].alias("value"), (t["reward"] + gamma * v - t["value"]).alias("delta")))
+    blocks = blocks.select("sample_id", "block", own.alias("tokens"))
+    scanned = _affine(blocks, lambda t: F.when(counts(t), gamma * lam).otherwise(1.0), lambda t: F.when(counts(t), t["delta"]).otherwise(0.0), "last")
+    each = scanned.select("sample_id", F.explode(F.arrays_zip("tokens", "last")).alias("t")).select("sample_id", "t.tokens.*", "t.last")
+    here = F.when(F.col("mask") != 0, F.col("delta") + gamma * lam * F.col("last")).otherwise(F.col("last"))
+    return each.select("sample_id", "pos", "mask", here.alias("gae"), (here + F.col("value")).alias("returns"))
 
 
 def response_mask(df: DataFrame, token: str, end: Column) -> DataFrame:

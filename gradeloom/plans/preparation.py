@@ -86,7 +86,15 @@ def prep_shuffled_positions(spark, sf_dir):
     return out.select("o_custkey", "o_orderkey", F.col("shuffled_pos").cast("long").alias("shuffled_pos"))
 
 
-@query()
+#: Draws as points in the running sum of whole weights, in the order of the keys: {rows} gives (key, w), {n} the number of draws.
+DRAWN = """s AS (SELECT key, w, sum(w) OVER (ORDER BY key) - w AS start FROM ({rows})), d AS (SELECT range AS draw, ('0x' || substr(md5('42:' || range::varchar), 1, 12))::bigint AS h FROM range({n})),
+    u AS (SELECT draw, (h::hugeint * (SELECT sum(w) FROM s)) // 281474976710656 AS u FROM d)"""
+UNITS = "greatest(round({w} / {most} * 1073741824), 1)::hugeint"
+
+
+@query(f"""WITH l AS (SELECT doc_id AS key, pow(abs(n_chars / 1000), 2) AS p FROM labels JOIN documents USING (doc_id)),
+    {DRAWN.format(rows="SELECT key, " + UNITS.format(w="p", most="(SELECT max(p) FROM l)") + " AS w FROM l", n="(SELECT count(*) FROM l)")}
+    SELECT draw, key AS doc_id FROM u JOIN s ON u >= start AND u < start + w""")
 def prep_resample(spark, sf_dir):
     labelled = table(spark, sf_dir, "labels").join(docs(spark, sf_dir), "doc_id").select("doc_id", (F.col("n_chars") / 1000).alias("score"))
     return p.resample(labelled, labelled.count(), "score", key="doc_id").select("draw", "doc_id")
@@ -98,6 +106,16 @@ def prep_snake_partitions(spark, sf_dir):
     return p.snake_partitions(docs(spark, sf_dir), 8, "n_chars", "doc_id").select("doc_id", "part")
 
 
+@query()
+def prep_balanced_partitions(spark, sf_dir):
+    return p.balanced_partitions(docs(spark, sf_dir).select("doc_id", "n_chars"), 8, "n_chars", "doc_id").select("doc_id", "part")
+
+
+@query()
+def prep_token_budget_partitions(spark, sf_dir):
+    return p.token_budget_partitions(docs(spark, sf_dir).select("doc_id", "n_chars"), 20000, "n_chars", "doc_id").select("doc_id", "cell", "part")
+
+
 @query()
 def prep_balanced_batches(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"), "n_chars")

@@ -11,6 +11,7 @@ from gradeloom.operators import plugins
 from gradeloom.operators import preparation as p
 from gradeloom.operators import ranking as r
 from gradeloom.operators import tokens as t
+from gradeloom.plans.preparation import DRAWN, UNITS
 from gradeloom.plans.ranking import rounded
 from gradeloom.plans.registry import query, table
 from gradeloom.plans.sources import work_dir
@@ -185,18 +186,16 @@ def token_covariance_band(spark, sf_dir):
     return rounded(t.covariance_band(tokens(spark, sf_dir), -0.5, 0.5, 500))
 
 
-@query("SELECT method, 500 AS n, true AS weighted FROM (VALUES ('max_min'), ('max_random')) v(method)")
+EXTREME = "CASE WHEN p_size IN ((SELECT max(p_size) FROM part), (SELECT min(p_size) FROM part)) THEN 1 ELSE 0 END"
+TOP = "CASE WHEN p_size = (SELECT max(p_size) FROM part) THEN 0.4::double ELSE 0.1::double END"
+
+
+@query(" UNION ALL ".join(f"""(WITH {DRAWN.format(rows="SELECT p_partkey AS key, " + UNITS.format(w=w, most=most) + " AS w FROM part", n="(SELECT count(*) FROM part)")}
+    SELECT '{method}' AS method, draw, key AS p_partkey FROM u JOIN s ON u >= start AND u < start + w)""" for method, w, most in (("max_min", EXTREME, "1.0"), ("max_random", TOP, "0.4::double"))))
 def prep_resample_methods(spark, sf_dir):
-    """As many draws as asked for; max_min draws rows of the extreme values alone."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    ends = part.agg(F.max("p_size").alias("top"), F.min("p_size").alias("low"))
-    out = None
-    for method in ("max_min", "max_random"):
-        drawn = p.resample(part, 500, "p_size", method, key="p_partkey").crossJoin(F.broadcast(ends))
-        extreme = F.col("p_size").isin(F.col("top"), F.col("low")) if method == "max_min" else F.col("p_size").between(F.col("low"), F.col("top"))
-        one = drawn.agg(F.lit(method).alias("method"), F.count(F.lit(1)).cast("int").alias("n"), F.min(extreme).alias("weighted"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    drawn = [p.resample(part, part.count(), "p_size", method, key="p_partkey").select(F.lit(method).alias("method"), "draw", "p_partkey") for method in ("max_min", "max_random")]
+    return drawn[0].unionByName(drawn[1])
 
 
 # ---- plug-ins and streams

@@ -1,6 +1,7 @@
 """Operators that SQL can't say, against plain Python on small random tables."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -11,6 +12,8 @@ from gradeloom.functions import text as x
 from gradeloom.operators import monitoring as m
 from gradeloom.operators import preparation as p
 from gradeloom.operators import scores as s
+from gradeloom.operators import tokens as t
+from gradeloom.operators.order import range_bucket
 
 
 def test_collapse_rate(spark):
@@ -78,6 +81,97 @@ def test_balanced_batches(spark, equal):
         assert not equal or {len(v) for v in parts.values()} == {6}
 
 
+def test_balanced_partitions_over_many_cells(spark, monkeypatch):
+    """No worse than dealing forth and back, near to one heap of all rows, and the same rows for any order of arrival."""
+    monkeypatch.setattr(p, "MERGED_CELLS", 3)
+    rng = random.Random(8)
+    load = lambda n: 24576.0 * n + n * n
+    rows = [(k, None if k == 5 else int(rng.paretovariate(1.2) * 100), [k]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, n long, other array<long>")
+    sums = lambda parts: [sum(load(rows[i][1] or 0) for i, q in parts.items() if q == k) for k in range(7)]
+    spread = lambda parts: max(sums(parts)) - min(sums(parts))
+    snake = {r["id"]: r["part"] for r in p.snake_partitions(df.fillna(0, ["n"]), 7, "n", "id").collect()}
+    heap = dict(enumerate(p.largest_differencing([load(r[1] or 0) for r in rows], 7)))
+    for cell_rows in (100, 5000):
+        got = {r["id"]: r["part"] for r in p.balanced_partitions(df, 7, "n", "id", cell_rows).collect()}
+        assert got.keys() == snake.keys() and set(got.values()) == set(range(7))
+        assert spread(got) <= spread(snake) and spread(got) <= spread(heap) + 0.005 * sum(sums(got))
+        again = p.balanced_partitions(df.repartition(5).orderBy(F.desc("id")), 7, "n", "id", cell_rows)
+        assert {r["id"]: r["part"] for r in again.collect()} == got and all(r["other"] == [r["id"]] for r in again.collect())
+    assert p.balanced_partitions(df.limit(0), 7, "n", "id").count() == 0
+    assert {r["part"] for r in p.balanced_partitions(df.limit(3), 7, "n", "id").collect()} <= set(range(7))
+
+
+def test_token_budget_partitions(spark, monkeypatch):
+    monkeypatch.setattr(p, "CELL_BATCHES", 4)
+    rng = random.Random(9)
+    rows = [(k, rng.randint(1, 300)) for k in range(2000)]
+    out = p.token_budget_partitions(spark.createDataFrame(rows, "id long, n long"), 5000, "n", "id").collect()
+    assert sorted((r["id"], r["n"]) for r in out) == rows
+    cells = defaultdict(Counter)
+    for r in out:
+        cells[r["cell"]][r["part"]] += r["n"]
+    assert len(cells) > 5
+    for parts in cells.values():
+        assert set(parts) == set(range(-(-sum(parts.values()) // 5000))) and max(parts.values()) <= 5000 + 300
+
+
+def test_plans_have_no_window_over_all_rows(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 97).alias("n"), F.rand(1).alias("score"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(p.balanced_partitions(df, 8, "n", "id"))
+    buckets = df.select(range_bucket(df, [-F.col("n"), F.col("id")]).alias("b"), "n", "id").collect()
+    ordered = sorted(buckets, key=lambda r: (-r["n"], r["id"]))
+    assert [r["b"] for r in ordered] == sorted(r["b"] for r in buckets) and max(Counter(r["b"] for r in buckets).values()) < 100
+
+
+def test_resample_is_inversion_of_one_long_list(spark):
+    from hashlib import md5
+
+    rng = random.Random(10)
+    rows = [(k * 37 - 4000, rng.choice([None, 0.0, rng.gauss(0, 3), 50.0])) for k in range(400)]
+    df = spark.createDataFrame(rows, "ord long, score double").repartition(3)
+    for fanout in (40, 100_000):
+        got = {r["draw"]: r["ord"] for r in p.resample(df, 700, "score", seed=3, fanout=fanout).collect()}
+        units = [max(round((abs(x or 0.0) ** 2) / 2500.0 * 2**30), 1) for _, x in rows]
+        for draw in range(700):
+            left = int(md5(f"3:{draw}".encode()).hexdigest()[:12], 16) * sum(units) // 16**12
+            for (key, _), w in zip(rows, units, strict=True):
+                if left < w:
+                    break
+                left -= w
+            assert got[draw] == key
+    assert p.resample(df.limit(0), 5, "score").count() == 0
+
+
+def test_recurrences_along_long_samples(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(s, k, int(rng.random() < 0.8), rng.gauss(0, 1), rng.gauss(0, 1)) for s, n in ((1, 300), (2, 1), (3, 64)) for k in range(n)]
+    df = spark.createDataFrame(rows, "sample_id int, pos int, mask int, reward double, value double")
+    for block, chunk in ((1 << 16, 64), (16, 64), (50, 7)):
+        monkeypatch.setattr(t, "BLOCK", block)
+        monkeypatch.setattr(t, "CHUNK", chunk)
+        returns = {(r["sample_id"], r["pos"]): r["returns"] for r in t.discounted_returns(df, 0.95).collect()}
+        estimates = {(r["sample_id"], r["pos"]): (r["gae"], r["returns"]) for r in t.gae(df, 0.97, 0.9).collect()}
+        assert len(returns) == len(estimates) == len(rows)
+        running, was = 0.0, None
+        for s, k, mask, reward, value in sorted(rows, key=lambda r: (r[0], -r[1])):
+            if s != was:
+                running = next_value = last = 0.0
+                was = s
+            here = reward + 0.95 * running
+            running = here * mask
+            last, next_value = (reward + 0.97 * next_value - value + 0.97 * 0.9 * last, value) if mask else (last, next_value)
+            assert returns[s, k] == pytest.approx(here) and estimates[s, k] == (pytest.approx(last), pytest.approx(last + value))
+    long = spark.range(200_000).select(F.lit(1).alias("sample_id"), F.col("id").alias("pos"), F.lit(1).alias("mask"), F.lit(1.0).alias("reward"), F.lit(0.5).alias("value"))
+    began = time.monotonic()
+    monkeypatch.setattr(t, "BLOCK", 1 << 16)
+    monkeypatch.setattr(t, "CHUNK", 64)
+    assert t.gae(long, 0.99, 0.95).agg(F.max("returns")).first()[0] > 1
+    assert t.discounted_returns(long, 0.5).agg(F.max("returns")).first()[0] == pytest.approx(2)
+    assert time.monotonic() - began < 60
+
+
 def test_token_budget_batches(spark):
     rng = random.Random(4)
     rows = [(k, k // 30, rng.randint(1, 900)) for k in range(90)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Mapping, Sequence
 
@@ -202,24 +201,39 @@ def majority_vote(df: DataFrame) -> DataFrame:
     return votes.withColumn("_r", best).filter("_r = 1").select("source", "prompt", "vote", "value")
 
 
-def majority_of_n(df: DataFrame, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """(source, prompt, maj): mean over seeded draws of n rows with replacement of the majority's first value; one prompt a group."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        codes, values = pd.factorize(pdf["vote"])[0], pdf["value"].to_numpy(float)
-        first = {c: values[np.argmax(codes == c)] for c in np.unique(codes)}
-        # each prompt has draws of its own
-        own = int(hashlib.md5(f"{seed}:{pdf['source'].iloc[0]}:{pdf['prompt'].iloc[0]}".encode()).hexdigest()[:8], 16)
-        picks = codes[np.random.default_rng(own).integers(0, len(codes), (draws, n))]
-        votes = (picks[:, :, None] == picks[:, None, :]).sum(axis=2)  # of the vote at each place; the first of the largest wins
-        total = np.vectorize(first.get, otypes=[float])(picks[np.arange(draws), votes.argmax(axis=1)]).sum()
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "prompt": [pdf["prompt"].iloc[0]], "maj": [total / draws]})
+def majority_of_n(df: DataFrame, n: int) -> DataFrame:
+    """(source, prompt, maj): expected value of the majority of ``n`` votes drawn with replacement from a prompt's; a tie goes to the one drawn first.
 
-    t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select("source", "prompt", "vote", "value", "ord").groupBy("source", "prompt").applyInPandas(run, f"source {t['source']}, prompt {t['prompt']}, maj double")
+    Exact, without draws. For each number k that the winner may have, a programme over the prompt's distinct votes adds up the chances that some vote is drawn k times, all others
+    k times or less and t of them just k times; equal counts are drawn in any order alike, so the winner is first with chance 1 / (t + 1). A vote counts with its first
+    value. The work grows with the distinct votes of a prompt (times n^3).
+    """
+    votes = df.groupBy("source", "prompt", "vote").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "ord").cast("double").alias("value"))
+    share_of = F.col("n") / F.sum("n").over(Window.partitionBy("source", "prompt"))
+    # the chances of a vote for each number of draws, but for the n! orders of all
+    chances = F.array(*[F.pow(share_of, j) / math.factorial(j) for j in range(n + 1)])
+    each = votes.withColumn("w", chances).groupBy("source", "prompt").agg(F.collect_list(F.struct("value", "w")).alias("votes"))
+
+    def won_with(k: int) -> Column:
+        ties = n // k  # others that have k too are fewer
+        places = [(u, t, f) for u in range(n + 1) for t in range(ties) for f in (0, 1)]  # draws given, others with k, winner chosen or not
+        at = {place: i for i, place in enumerate(places)}
+
+        def step(acc: Column, vote: Column) -> Column:
+            def chance(u: int, t: int, f: int) -> Column:
+                parts = [acc[at[u - j, t, f]] * vote["w"][j] for j in range(min(k - 1, u) + 1)]
+                if u >= k and t:
+                    parts.append(acc[at[u - k, t - 1, f]] * vote["w"][k])
+                if u >= k and f:
+                    parts.append(acc[at[u - k, t, 0]] * vote["w"][k] * vote["value"])
+                return sum(parts[1:], parts[0])
+
+            return F.array(*[chance(*place) for place in places])
+
+        start = F.array(*[F.lit(1.0 if place == (0, 0, 0) else 0.0) for place in places])
+        return F.aggregate("votes", start, step, lambda acc: sum((acc[at[n, t, 1]] / (t + 1) for t in range(1, ties)), acc[at[n, 0, 1]] * 1.0) * float(math.factorial(n)))
+
+    return each.select("source", "prompt", sum((won_with(k) for k in range(2, n + 1)), won_with(1)).alias("maj"))
 
 
 def reduce_by_name(df: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

@@ -32,14 +32,17 @@ def test_collapse_rate(spark):
         assert got[s, q] == (9, pytest.approx(max(c[1] for c in clusters) / 9))
 
 
-def test_majority_of_n_is_near_its_expectation(spark):
-    rows = [("s", "p", v, float(v * 10), k) for k, v in enumerate([1, 2, 2, 5])] + [("s", "q", 7, 3.0, 0)]
-    got = {r["prompt"]: r["maj"] for r in m.majority_of_n(spark.createDataFrame(rows, "source string, prompt string, vote long, value double, ord long"), 3, draws=6000).collect()}
-    total = 0.0
-    for pick in product([1, 2, 2, 5], repeat=3):
-        counts = Counter(pick)
-        total += next(v for v in pick if counts[v] == max(counts.values())) * 10.0
-    assert got["p"] == pytest.approx(total / 4**3, abs=0.6) and got["q"] == 3.0
+@pytest.mark.parametrize("n", range(1, 7))
+def test_majority_of_n_is_the_mean_over_all_draws(spark, n):
+    prompts = {"p": [1, 2, 2, 5], "q": [7], "r": [3, 3, 1], "s": [1, 2, 3, 4, 5], "t": [2, 1, 1, 2, 4]}
+    rows = [("s", name, v, float(v * 10 + k), k) for name, votes in prompts.items() for k, v in enumerate(votes)]
+    got = {r["prompt"]: r["maj"] for r in m.majority_of_n(spark.createDataFrame(rows, "source string, prompt string, vote long, value double, ord long"), n).collect()}
+    for name, votes in prompts.items():
+        first, total = {v: v * 10.0 + votes.index(v) for v in votes}, 0.0
+        for pick in product(votes, repeat=n):
+            counts = Counter(pick)
+            total += first[next(v for v in pick if counts[v] == max(counts.values()))]
+        assert got[name] == pytest.approx(total / len(votes) ** n)
 
 
 def grams(t):

@@ -98,18 +98,15 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    records = warc.read_warc(files.repartition(max(1, files.count())))
-    # archives are read once; what is kept of them is small but for the payloads
-    read = warc.payloads(warc.reassemble(records))
+    # one pass over the archives; what is written of it has no payloads
+    read = materialize(warc.read_pages(files.repartition(max(1, files.count()))), "warc-pages")
     # what was just written must come back whole
-    whole = F.when(F.coalesce("ok", F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("not whole: "), F.coalesce("record_id", F.lit("")))))
-    responses = materialize(read.select("page_id", "record_id", whole.cast("long").alias("payload_bytes"), "payload_digest"), "warc-responses")
-    revisits = records.filter("record_type = 'revisit'").select("page_id", "payload_digest", F.col("refers_to").alias("record_id"))
-    named = responses.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes")
+    whole = F.when(F.col("ok"), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("not whole: "), F.coalesce("record_id", F.lit("")))).cast("long"))
+    responses = read.filter("record_type = 'response'").withColumn("payload_bytes", whole)
+    named = responses.select(F.col("record_id").alias("named"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("size"))
     # left, so that a revisit of a record that isn't there shows as a row without a size
-    found = revisits.join(named, "record_id", "left").withColumn("record_type", F.lit("revisit"))
-    first = responses.withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
-    return first.unionByName(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read.filter("record_type = 'revisit'").join(named, F.col("refers_to") == F.col("named"), "left").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", F.col("first").alias("refers_to"))
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(found)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

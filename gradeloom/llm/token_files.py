@@ -183,10 +183,15 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, *, seq
     return files.withColumn("base", F.coalesce(before, F.lit(0)))
 
 
+#: Ids of the documents that are handed on together.
+SLAB_IDS = 1 << 20
+
+
 def read_tokens(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary of little-endian uint32), a row a document, from the files of write_tokens.
 
-    Repeated and null ids come back as they were written; no files give no rows.
+    Repeated and null ids come back as they were written; no files give no rows. Documents are handed on in slabs of SLAB_IDS ids at most, a longer one alone, so
+    memory is bounded by the longest text and not by how many long ones stand together; a document of more than 2^29 ids is beyond what a binary value holds.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +202,10 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 for k in range(index.num_record_batches):
                     docs = index.get_batch(k)
                     starts, sizes = docs.column(1).to_numpy(), docs.column(2).to_numpy()
-                    for lo in range(0, len(starts), 1000):
-                        s, n = starts[lo : lo + 1000], sizes[lo : lo + 1000]
+                    ends, lo = np.cumsum(sizes), 0
+                    while lo < len(starts):
+                        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + SLAB_IDS, "right")))
+                        s, n = starts[lo:hi], sizes[lo:hi]
                         parts, upto = [held[s[0] - first :]], first + len(held)
                         while upto < s[-1] + n[-1]:
                             got = reader.get_batch(block)
@@ -209,6 +216,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         held, first = np.concatenate(parts).astype("<u4"), s[0]
                         ids = [held[a - first : a - first + m].tobytes() for a, m in zip(s, n, strict=True)]
                         yield pa.RecordBatch.from_arrays([docs.column(0).slice(lo, len(s)), pa.array(base + s), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        lo = hi
 
     return files.select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 

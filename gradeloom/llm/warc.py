@@ -145,7 +145,7 @@ def write_warc(pages: DataFrame, root: str, segment_bytes: int = SEGMENT_BYTES,
     return materialize(dealt.mapInArrow(write, "file string, n_records long"), "warc-files").filter("n_records > 0")
 
 
-def _members(stream, block: int = 1 << 20) -> Iterator[tuple[bytes, str | None]]:
+def _members(stream, block: int = 1 << 14) -> Iterator[tuple[bytes, str | None]]:
     """The gzip members of a stream, each unpacked; for one that is broken or cut short, what could be read and why it ends there."""
     data = b""
     unpack, out = zlib.decompressobj(31), []
@@ -183,6 +183,19 @@ def _parsed(file: str, member: bytes, error: str | None) -> tuple:
     return file, number("warc-page-id"), h.get("warc-record-id"), h.get("warc-type"), h.get("warc-date"), h.get("warc-refers-to"), digest, number("warc-segment-number"), h.get("warc-segment-origin-id"), number("warc-segment-total-length"), content, error
 
 
+def _records(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[tuple]:
+    """The records of the archives that column ``file`` names, one after another."""
+    for batch in batches:
+        for file in batch.column("file").to_pylist():
+            system, at = makedirs(file.rpartition("/")[0])
+            with system.open_input_stream(f"{at}/{file.rpartition('/')[2]}", compression=None) as stream:
+                for member, error in _members(stream):
+                    row = _parsed(file, member, error)
+                    if strict and row[-1]:
+                        raise ValueError(f"{file}, record {row[2]}: {row[-1]}")
+                    yield row
+
+
 def read_warc(files: DataFrame, strict: bool = True) -> DataFrame:
     """A row for each record of the archives in column ``file``, with its block as it stands; each file is one task's.
 
@@ -191,21 +204,15 @@ def read_warc(files: DataFrame, strict: bool = True) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.column("file").to_pylist():
-                system, at = makedirs(file.rpartition("/")[0])
+        rows, held = [], 0
+        for row in _records(batches, strict):
+            rows.append(row)
+            held += len(row[-2])
+            if held > 4 << 20:
+                yield _batch(rows)
                 rows, held = [], 0
-                with system.open_input_stream(f"{at}/{file.rpartition('/')[2]}", compression=None) as stream:
-                    for member, error in _members(stream):
-                        rows.append(_parsed(file, member, error))
-                        if strict and rows[-1][-1]:
-                            raise ValueError(f"{file}, record {rows[-1][2]}: {rows[-1][-1]}")
-                        held += len(rows[-1][-2])
-                        if held > 4 << 20:
-                            yield _batch(rows)
-                            rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
+        if rows:
+            yield _batch(rows)
 
     return files.select("file").mapInArrow(read, RECORDS)
 
@@ -254,3 +261,85 @@ def payloads(responses: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("record_id"), pa.array(got, pa.binary()), sizes, pa.array(digests, pa.string()), pa.array(ok, pa.bool_())], ["page_id", "record_id", "payload", "payload_bytes", "payload_digest", "ok"])
 
     return responses.mapInArrow(decode, "page_id long, record_id string, payload binary, payload_bytes long, payload_digest string, ok boolean")
+
+
+_PAGES = "page_id long, record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, ok boolean"
+_PARTS = [("origin", pa.string()), ("page_id", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("ok", pa.bool_()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+
+
+def read_pages(files: DataFrame, strict: bool = True) -> DataFrame:
+    """A row for each page of the archives, from one pass over them: (page_id, record_id, record_type, refers_to, payload_digest, payload_bytes, ok).
+
+    Records that are whole are decoded where they are read, and of them no more than these fields goes on. Parts of segmented records meet by the identifier of their
+    first segment and come in the order of their numbers, so a task holds the parts of one record at a time. ``refers_to`` is the record id that a revisit names; its size is null. ``ok``
+    says that all segments were there, the framing was whole and the digest is the stated one (true for revisits); the digest is that of the payload, or the stated one where there
+    is none. Segments without a first one give a row with a null page_id; records with an error (``strict=False``) give none.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for k, (file, page_id, record_id, kind, _, refers_to, digest, number, origin, total, block, error) in enumerate(_records(batches, strict)):
+            if error or kind not in ("response", "revisit", "continuation"):
+                continue
+            alone = f"{file}#{k}"
+            if kind == "revisit":
+                rows.append((alone, page_id, record_id, kind, refers_to, digest, None, True, None, None, None))
+            elif kind == "response" and number is None:
+                rows.append((alone, page_id, record_id, kind, None, *_checked(block, digest), None, None, None))
+            else:
+                rows.append((record_id if kind == "response" else origin, page_id, record_id if kind == "response" else None, kind, None, digest, None, None, number, total, block))
+                held += len(block)
+            if held > 4 << 20 or len(rows) > 10_000:
+                yield _columns(rows)
+                rows, held = [], 0
+        if rows:
+            yield _columns(rows)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, parts = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c, _ in _PARTS), strict=True):
+                if parts and (row[0] != parts[0][0] or row[8] is None):
+                    out.append(_joined(parts))
+                    parts = []
+                if row[8] is None:
+                    out.append(row[1:8])
+                else:
+                    parts.append(row)
+            if len(out) > 10_000:
+                yield _pages(out)
+                out = []
+        if parts:
+            out.append(_joined(parts))
+        if out:
+            yield _pages(out)
+
+    schema = ", ".join(f"{c} {t}" for c, t in zip((c for c, _ in _PARTS), ("string", "long", "string", "string", "string", "string", "long", "boolean", "int", "long", "binary"), strict=True))
+    met = files.select("file").mapInArrow(read, schema).repartition("origin").sortWithinPartitions("origin", "number")
+    return met.mapInArrow(join, _PAGES)
+
+
+def _checked(block: bytes, stated: str | None) -> tuple[str | None, int | None, bool]:
+    """(digest, size, ok) of the payload of an HTTP message."""
+    payload = http_payload(block)
+    if payload is None:
+        return stated, None, False
+    digest = base32_sha1(payload)
+    return digest, len(payload), digest == stated
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """The row of a segmented record, whose parts are in the order of their numbers."""
+    first = parts[0] if parts[0][3] == "response" else None
+    block = b"".join(p[-1] for p in parts)
+    whole = first is not None and [p[8] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1][9] == len(block)
+    digest, size, ok = _checked(block, first[5] if first else None)
+    return first[1] if first else None, parts[0][0], "response", None, digest, size, whole and ok
+
+
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PARTS, strict=True)], [c for c, _ in _PARTS])
+
+
+def _pages(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PARTS[1:8], strict=True)], [c for c, _ in _PARTS[1:8]])

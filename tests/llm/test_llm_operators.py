@@ -1,5 +1,6 @@
 """Each dealt operator against plain Python on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import base64
 import datetime
 import gzip
 import hashlib
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,6 +429,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(empty).count() == 0
 
 
+def test_pages_are_read_in_one_pass(spark, tmp_path):
+    big = "".join(random.choice("abc\r\né") for _ in range(90_000))
+    pages = [(1, "u", "<p>x</p>"), (2, None, big), (3, "u", "<p>x</p>"), (4, "u", None), (5, "u", ""), (6, "u", big), (None, "u", "lost"), (8, "u", "0\r\n\r\n"), (9, "u", "z" * 3_000_000), (1, "v", "<p>x</p>")]
+    files = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    rows = warc.read_pages(files.repartition(3))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    got = rows.collect()
+    assert len(got) == len(pages) and all(r["ok"] for r in got)
+    want = {(i, hashlib.sha1((h or "").encode()).digest()) for i, _, h in pages}
+    assert {(r["page_id"], base64.b32decode(r["payload_digest"])) for r in got} == want
+    names = {r["record_id"]: r["page_id"] for r in got if r["record_type"] == "response"}
+    assert len(names) == 7 and sorted((r["page_id"], names[r["refers_to"]]) for r in got if r["record_type"] == "revisit") == [(3, 1), (5, 4), (6, 2)]
+    assert {r["page_id"]: r["payload_bytes"] for r in got if r["record_type"] == "response"} == {i: len((h or "").encode()) for i, _, h in pages if i not in (3, 5, 6)}
+    # without the archives of the continuations, or with them twice, segmented records aren't whole
+    main = files.filter("file not like '%continued%'")
+    assert sorted(r["page_id"] for r in warc.read_pages(main).filter("not ok").collect()) == [2, 9]
+    assert {r["page_id"] for r in warc.read_pages(files.unionByName(files.filter("file like '%continued%'"))).filter("not ok").collect()} == {2, 9}
+    assert {r["page_id"] for r in warc.read_pages(files.filter("file like '%continued%'")).collect()} == {None}
+    assert warc.read_pages(files.limit(0)).count() == 0
+
+
+def test_long_documents_are_read_alone(spark, tmp_path, monkeypatch):
+    """A text of two million words among a thousand short ones."""
+    monkeypatch.setattr(token_files, "SLAB_IDS", 5000)
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(1000)] + [(500, "so many words " * 700_000)], "doc_id long, text string").coalesce(1)
+    files = token_files.write_tokens(docs, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.octet_length("ids").alias("size")).orderBy("start").collect()
+    assert len(got) == 1001 and all(r["size"] == 4 * r["n_tokens"] for r in got) and max(r["n_tokens"] for r in got) > 2_000_000
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_warc_repeated_rows(spark, tmp_path):
     pages = [(1, "b", "same"), (1, "a", "same"), (1, "a", "same"), (2, "u", "same"), (None, "u", "same"), (1, "u", "other"), (3, None, "other")]
     records = warc.read_warc(warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/r")).cache()

@@ -11,7 +11,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,9 +451,10 @@ def test_pages_are_read_in_one_pass(spark, tmp_path):
 
 def test_long_documents_are_read_alone(spark, tmp_path, monkeypatch):
     """A text of two million words among a thousand short ones."""
+    public = pytest.importorskip("public_tokenizers")
     monkeypatch.setattr(token_files, "SLAB_IDS", 5000)
     docs = spark.createDataFrame([(k, f"word {k}") for k in range(1000)] + [(500, "so many words " * 700_000)], "doc_id long, text string").coalesce(1)
-    files = token_files.write_tokens(docs, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), 2)
+    files = token_files.write_tokens(docs, f"file://{tmp_path}/t", public.path("word_bpe_49k.json"), 2)
     got = token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.octet_length("ids").alias("size")).orderBy("start").collect()
     assert len(got) == 1001 and all(r["size"] == 4 * r["n_tokens"] for r in got) and max(r["n_tokens"] for r in got) > 2_000_000
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))

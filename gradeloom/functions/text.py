@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DASH = "\\-\u2013\u2014"
 BULLET = rf"^\s*(?:[*{DASH}]\s*)?"
 CRITERION = rf"(?iU){BULLET}\[(\d*[+{DASH}]+\d*)\]\s*(.+?)(?:\s*\|\s*tags?\s*:.*)?$"
+# The same for lines without a bar, which can have no tags behind them.
+CRITERION_WITHOUT_TAGS = rf"(?U){BULLET}\[(\d*[+{DASH}]+\d*)\]\s*(.+)$"
 BRACKETED = rf"(?U){BULLET}\[[^\]]*\]\s*.+$"
 DOUBLE_TAG = rf"(?U){BULLET}\[[+\d{DASH}]*\]\s*\[[+\d{DASH}]*\]"
 SCORED_LINE = r"^-\s*\[?\s*[+-]?\d+\s*\]?\s*.+"
@@ -24,11 +26,15 @@ def text_of(x: Column | str) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, where the value is made once however often ``use`` names it: a one-element array binds it to a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column | str) -> Column:
     """The lines of a text at all Unicode line breaks, without an empty last one."""
     parts = F.split(text_of(text), LINE_BREAKS)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return bound(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 # ---- chats
@@ -109,9 +115,16 @@ def is_criterion(line: Column) -> Column:
 _HEAD, _END = "\u0001\u0002", "\u0002\u0001"
 
 
+def _marked(line: Column) -> Column:
+    """One match a line, and none for lines without a bracket; the pattern with a lazy middle is for those alone that hold a bar."""
+    mark = f"{_HEAD}$1{_END}$2"
+    bracketed = F.when(F.contains(line, F.lit("|")), F.regexp_replace(line, CRITERION, mark)).otherwise(F.regexp_replace(line, CRITERION_WITHOUT_TAGS, mark))
+    return F.when(F.contains(line, F.lit("[")), bracketed).otherwise(line)
+
+
 def marked_lines(text: Column | str) -> Column:
-    """The lines of a text; a criterion's is its bracket between marks and its text without tags. One match a line."""
-    return F.transform(lines(text), lambda v: F.regexp_replace(v, CRITERION, f"{_HEAD}$1{_END}$2"))
+    """The lines of a text; a criterion's is its bracket between marks and its text without tags."""
+    return F.transform(lines(text), _marked)
 
 
 def _is_marked(line: Column) -> Column:
@@ -132,16 +145,19 @@ def parse_rubric(text: Column | str) -> Column:
 
     Marked lines are joined and cut at the marks, so the work is linear in the text.
     """
-    kept = F.filter(F.transform(marked_lines(text), lambda v: F.when(_is_marked(v), v).otherwise(F.trim(v))), lambda v: v != "")
+    trimmed = lambda v: bound(_marked(v), lambda m: F.when(_is_marked(m), m).otherwise(F.trim(m)))
+    kept = F.filter(F.transform(lines(text), trimmed), lambda v: v != "")
     pieces = F.split(F.concat(F.lit("\n"), F.array_join(kept, "\n")), f"\n{_HEAD}")
 
     def criterion(piece: Column) -> Column:
         body = piece.substr(F.locate(_END, piece) + len(_END), F.length(piece))
         # the criterion's own line is trimmed, as the others are
-        head, rest = F.substring_index(body, "\n", 1), body.substr(F.locate("\n", F.concat(body, F.lit("\n"))), F.length(body))
-        return F.struct(_sign(F.substring_index(piece, _END, 1)).alias("sign"), F.concat(F.trim(head), rest).alias("text"))
+        head = lambda b: F.substring_index(b, "\n", 1)
+        text = bound(body, lambda b: F.concat(F.trim(head(b)), b.substr(F.length(head(b)) + 1, F.length(b))))
+        return F.struct(_sign(F.substring_index(piece, _END, 1)).alias("sign"), text.alias("text"))
 
-    return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), criterion)
+    # what stands before the first criterion goes; the rest of a piece is its own
+    return F.transform(F.filter(pieces, lambda _, i: i > 0), criterion)
 
 
 def count_lines(text: Column | str, condition) -> Column:
@@ -157,8 +173,12 @@ def malformed_count(text: Column | str) -> Column:
     return _malformed(marked_lines(text))
 
 
+def _double_tags(ls: Column) -> Column:
+    return F.size(F.filter(ls, lambda x: F.contains(x, F.lit("[")) & x.rlike(DOUBLE_TAG)))
+
+
 def double_tag_count(text: Column | str) -> Column:
-    return count_lines(text, lambda x: F.contains(x, F.lit("[")) & x.rlike(DOUBLE_TAG))
+    return _double_tags(lines(text))
 
 
 # Weights and bounds of the quality score.
@@ -168,21 +188,21 @@ QUALITY = {"lambda_len": 2.0, "min_criteria": 3, "max_criteria": 15, "lambda_zer
 def quality_adjustment(text: Column, token_count: Column, **config: float) -> Column:
     """struct(n_criteria, n_positive, n_negative, length, token_length, malformed, double_tag, total): penalties, 0 or below."""
     c = QUALITY | config
-    counted = lambda m: F.struct(_signs(m).alias("signs"), _malformed(m).alias("malformed"))
+    counted = lambda ls: bound(F.transform(ls, _marked), lambda m: F.struct(_signs(m).alias("signs"), _malformed(m).alias("malformed"), _double_tags(ls).alias("double")))
 
     def penalties(p: Column) -> Column:
         n = F.size(p["signs"])
         signs = lambda s: F.size(F.filter(p["signs"], lambda v: v == s))
         length = F.when(n == 0, -c["lambda_zero"]).when(n > c["max_criteria"], -c["lambda_len"] * (n - c["max_criteria"]) / n).when(n < c["min_criteria"], -c["lambda_len"] * (c["min_criteria"] - n) / max(c["min_criteria"], 1)).otherwise(0.0)
-        over = F.least((token_count - c["soft_max"]) / max(c["hard_max"] - c["soft_max"], 1), F.lit(1.0))
-        tokens = F.when(token_count > c["soft_max"], -c["lambda_token_len"] * over * over).otherwise(0.0)
+        tokens = bound(token_count, lambda k: F.when(k > c["soft_max"], -c["lambda_token_len"] * F.pow(F.least((k - c["soft_max"]) / max(c["hard_max"] - c["soft_max"], 1), F.lit(1.0)), 2)).otherwise(0.0))
         malformed = -c["lambda_malformed"] * F.least(p["malformed"] / 3.0, F.lit(1.0))
-        double = -c["lambda_double_tag"] * double_tag_count(text) / F.greatest(n, F.lit(1))
-        total = length + tokens + malformed + double
-        return F.struct(n.alias("n_criteria"), signs("+").alias("n_positive"), signs("-").alias("n_negative"), length.alias("length"), tokens.alias("token_length"), malformed.alias("malformed"), double.alias("double_tag"), total.alias("total"))
+        double = -c["lambda_double_tag"] * p["double"] / F.greatest(n, F.lit(1))
+        parts = F.struct(n.alias("n_criteria"), signs("+").alias("n_positive"), signs("-").alias("n_negative"), length.alias("length"), tokens.alias("token_length"), malformed.alias("malformed"), double.alias("double_tag"))
+        fields = ("n_criteria", "n_positive", "n_negative", "length", "token_length", "malformed", "double_tag")
+        return bound(parts, lambda x: F.struct(*[x[f].alias(f) for f in fields], (x["length"] + x["token_length"] + x["malformed"] + x["double_tag"]).alias("total")))
 
-    # the one-element arrays bind the marked lines and their counts to variables, so each is made once
-    return F.get(F.transform(F.transform(F.array(marked_lines(text)), counted), penalties), F.lit(0))
+    # lines, marked lines and counts are each made once
+    return bound(bound(lines(text), counted), penalties)
 
 
 def bold_concepts(text: Column | str) -> Column:

@@ -154,19 +154,26 @@ REMOVALS = (
 )
 
 
+# Fixed values: (pattern, replacement) of the final-answer normalisation, applied in this order behind the two lists above.
+PATTERNS = (
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"(\\text\{)(.*?)(\})", "$2"),
+    (r"(\\textbf\{)(.*?)(\})", "$2"),
+    (r"(\\overline\{)(.*?)(\})", "$2"),
+    (r"(\\boxed\{)(.*)(\})", "$2"),
+    (r"(frac)([^{])(.)", r"frac\{$2\}\{$3\}"),
+    (r"(sqrt)([^{])", r"sqrt\{$2\}"),
+    (r"\$", ""),
+)
+
+
 def normalise_final_answer(text: Column | str) -> Column:
     """What stands behind the last equals sign, with units, fillers and LaTeX wrappers taken off."""
     t = F.element_at(F.split(text_of(text), "="), -1)
-    for before, after in SUBSTITUTIONS:
+    for before, after in (*SUBSTITUTIONS, *((gone, "") for gone in REMOVALS)):
         t = F.replace(t, F.lit(before), F.lit(after))
-    for gone in REMOVALS:
-        t = F.replace(t, F.lit(gone), F.lit(""))
-    t = F.regexp_replace(t, r"(.*?)(\$)(.*?)(\$)(.*)", "\\$$3\\$")
-    for command in ("text", "textbf", "overline"):
-        t = F.regexp_replace(t, rf"(\\{command}\{{)(.*?)(\}})", "$2")
-    t = F.regexp_replace(t, r"(\\boxed\{)(.*)(\})", "$2")
-    t = F.regexp_replace(F.regexp_replace(t, r"(frac)([^{])(.)", r"frac\{$2\}\{$3\}"), r"(sqrt)([^{])", r"sqrt\{$2\}")
-    t = F.replace(t, F.lit("$"), F.lit(""))
+    for pattern, replacement in PATTERNS:
+        t = F.regexp_replace(t, pattern, replacement)
     plain = F.replace(t, F.lit(","), F.lit(""))
     return F.trim(F.when(plain.rlike(r"^\d+$"), plain).otherwise(t))
 

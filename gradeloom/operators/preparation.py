@@ -442,6 +442,15 @@ def conflicts(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.countDistinct(value).alias("n")).filter("n > 1")
 
 
+def metric_lists(df: DataFrame, batch: str, metrics: str) -> DataFrame:
+    """(name, list): each metric's values over concatenated batches, in the order of ``batch``, from a map a batch; a metric that some batch lacks is an error."""
+    batches = df.agg(F.count(F.lit(1)).alias("_n"))
+    each = df.select(batch, F.explode(metrics).alias("name", "_v")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct(batch, "_v"))).alias("_l"))
+    values = F.transform("_l", lambda x: x["_v"])
+    lacking = F.raise_error(F.concat(F.lit("not every batch has metric "), "name")).cast(each.select(values).schema[0].dataType)
+    return each.crossJoin(F.broadcast(batches)).select("name", F.when(F.size("_l") == F.col("_n"), values).otherwise(lacking).alias("list"))
+
+
 def repeat_rows(df: DataFrame, n: int, interleave: bool = True, order: str = "ord") -> DataFrame:
     """Each row ``n`` times with a new ``ord``: copies next to each other (interleaved) or the table n times over."""
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

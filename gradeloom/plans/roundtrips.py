@@ -43,12 +43,10 @@ def source_synthetic(spark, sf_dir):
 def source_rubric_tables(spark, sf_dir):
     path, parts = work_dir(spark), table(spark, sf_dir, "part")
     turn = F.array(F.struct(F.lit("user").alias("role"), F.col("p_type").alias("content")))
-    io.write_jsonl(parts.select(turn.alias("prompt"), F.array(F.struct(F.col("p_name").alias("criterion"), F.col("p_size").alias("points"))).alias("Rubrics"), F.lit("hub").alias("data_source")), f"{path}/hub")
+    io.write_parquet(parts.select(turn.alias("prompt"), F.array(F.struct(F.col("p_name").alias("criterion"), F.col("p_size").alias("points"))).alias("Rubrics"), F.lit("hub").alias("data_source")), f"{path}/hub")
     weighted = F.array(F.struct(F.col("p_brand").alias("criteria"), (F.col("p_size") / 20.0).alias("weight")))
-    io.write_jsonl(parts.select(F.col("p_type").alias("query"), weighted.alias("rubrics"), F.lit("ft").alias("source")), f"{path}/ft")
-    hub = spark.read.schema(f"prompt {io.MESSAGES}, Rubrics {io.RUBRICS}, data_source string").json(f"{path}/hub")
-    ft = spark.read.schema(f"query string, rubrics {io.WEIGHTED_RUBRICS}, source string").json(f"{path}/ft")
-    return io.rubric_tables(hub, ft).select("source", "question", F.inline("rubric"))
+    io.write_parquet(parts.select(F.col("p_type").alias("query"), weighted.alias("rubrics"), F.lit("ft").alias("source")), f"{path}/ft")
+    return io.read_rubric_tables(spark, [f"{path}/hub"], [f"{path}/ft"]).select("source", "question", F.inline("rubric"))
 
 
 @query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")
@@ -90,13 +88,22 @@ def source_read_steps(spark, sf_dir):
 def source_text_logs(spark, sf_dir):
     path = work_dir(spark)
     line = F.concat(F.lit("step:"), "event_id", F.lit(" kind="), "event_type", F.lit(" value:"), F.round("value", 2).cast("decimal(14,2)"))
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("run"), "event_id", line.alias("value"))
-    events.repartition("run").sortWithinPartitions("run", "event_id").select("value").write.text(path)
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / ROWS_EACH).alias("run"), "event_id", line.alias("value"))
+    events.repartition(n_files(events), "run").sortWithinPartitions("run", "event_id").select("value").write.text(path)
     lines = io.read_log(spark, path)
     read = m.log_metrics(lines, {"id": r"step:(\d+)", "value": r"value:(-?[\d.]+)"}).join(lines.select("log", "line_no", F.regexp_extract("line", r"kind=(\w+)", 1).alias("kind")), ["log", "line_no"])
     return read.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count(F.when(F.col("id").isNull(), 1)).cast("int").alias("without_id"))
 
 
+#: Rows of a document or a log that a query writes to read it back.
+ROWS_EACH = 1000
+
+
+def n_files(rows) -> int:
+    """As many files as the table fills, so that none grows with it."""
+    return max(1, rows.count() // ROWS_EACH)
+
+
 def one_file_each(df, key: str, text, path: str) -> None:
     """A text file for each key, whose one line is ``text`` of the key's rows."""
     df.groupBy(key).agg(text.alias("value")).repartition(key).write.partitionBy(key).text(path)
@@ -107,7 +114,7 @@ def source_usage_log(spark, sf_dir):
     path, li = work_dir(spark), table(spark, sf_dir, "lineitem")
     call = F.struct(F.concat(F.lit("m"), F.col("l_partkey") % 40).alias("modelName"), F.col("l_quantity").cast("long").alias("promptTokens"), F.col("l_linenumber").cast("long").alias("completionTokens"), F.col("l_orderkey").cast("double").alias("createdAt"))
     # a document holds the calls of a few orders
-    one_file_each(li.withColumn("k", F.pmod(F.xxhash64("l_orderkey"), F.lit(64))), "k", F.to_json(F.collect_list(call)), path)
+    one_file_each(li.withColumn("k", F.pmod(F.xxhash64("l_orderkey"), F.lit(n_files(li)))), "k", F.to_json(F.collect_list(call)), path)
     read = io.read_usage(spark, path, since=1000.0)
     return read.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
@@ -125,7 +132,7 @@ def source_results(spark, sf_dir):
     path = work_dir(spark)
     each = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("prompt_id")).agg(F.count(F.lit(1)).cast("int").alias("num_completions"), F.max("o_totalprice").alias("pairwise_acc"))
     document = F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("num_prompts")).alias("summary"), F.collect_list(F.struct("prompt_id", "num_completions", "pairwise_acc")).alias("per_prompt")))
-    one_file_each(each.withColumn("k", F.pmod(F.xxhash64("prompt_id"), F.lit(16))), "k", document, path)
+    one_file_each(each.withColumn("k", F.pmod(F.xxhash64("prompt_id"), F.lit(n_files(each)))), "k", document, path)
     return io.read_results(spark, path).select("prompt_id", "num_completions", "pairwise_acc")
 
 
@@ -133,10 +140,32 @@ def source_results(spark, sf_dir):
 def source_cache_document(spark, sf_dir):
     path = work_dir(spark)
     document = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), "c_name"))))
-    one_file_each(table(spark, sf_dir, "customer").withColumn("k", F.pmod(F.xxhash64("c_custkey"), F.lit(16))), "k", document, path)
+    customers = table(spark, sf_dir, "customer")
+    one_file_each(customers.withColumn("k", F.pmod(F.xxhash64("c_custkey"), F.lit(n_files(customers)))), "k", document, path)
     return io.read_cache_document(spark, path)
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'third ' || c_name WHEN c_custkey % 2 = 0 THEN 'second ' || c_name ELSE 'first ' || c_name END AS response
+    FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 = 0""")
+def source_cache_with_deletes(spark, sf_dir):
+    """Written, overwritten in part, deleted in part, compacted, and written and looked up once more behind that."""
+    customers = table(spark, sf_dir, "customer").select(io.cache_key(F.col("c_custkey")).alias("cache_key"), "c_custkey", "c_name")
+    cache = io.ResponseCache(spark, work_dir(spark))
+    put = lambda rows, word: cache.put(rows.select("cache_key", F.concat(F.lit(word), "c_name").alias("response")))
+    put(customers, "first ")
+    put(customers.filter("c_custkey % 2 = 0"), "second ")
+    cache.delete(customers.filter("c_custkey % 5 = 0"))
+    cache.compact()
+    put(customers.filter("c_custkey % 7 = 0"), "third ")
+    return cache.look_up(customers.select("cache_key", "c_custkey")).select("c_custkey", "response")
+
+
+@query("SELECT 'n' AS name, string_agg(n::varchar, ',' ORDER BY batch) AS list FROM (SELECT doc_id // 50 AS batch, count(*) AS n FROM documents GROUP BY 1) UNION ALL SELECT 'chars', string_agg(c::varchar, ',' ORDER BY batch) FROM (SELECT doc_id // 50 AS batch, sum(n_chars)::bigint AS c FROM documents GROUP BY 1)")
+def prep_metric_lists(spark, sf_dir):
+    batches = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("batch")).agg(F.create_map(F.lit("n"), F.count(F.lit(1)), F.lit("chars"), F.sum("n_chars").cast("long")).alias("metrics"))
+    return p.metric_lists(batches, "batch", "metrics").select("name", F.array_join(F.transform("list", lambda v: v.cast("string")), ",").alias("list"))
+
+
 @query("SELECT 'rows' AS part, count(*) AS n, round(avg(n_chars), 4) AS score FROM documents UNION ALL SELECT 'summary', count(*), round(avg(n_chars), 4) FROM documents")
 def source_result_pair(spark, sf_dir):
     path = work_dir(spark)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,13 @@ def rubric_tables(prompts: DataFrame, queries: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def read_rubric_tables(spark: SparkSession, prompts: Sequence[str], queries: Sequence[str], kind: str = "parquet") -> DataFrame:
+    """``rubric_tables`` of folders of the two layouts, Parquet or JSON lines."""
+    a = spark.read.schema(f"prompt {MESSAGES}, Rubrics {RUBRICS}, data_source string").format(kind).load(list(prompts))
+    b = spark.read.schema(f"query string, rubrics {WEIGHTED_RUBRICS}, source string").format(kind).load(list(queries))
+    return rubric_tables(a, b)
+
+
 def read_mixed(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Parquet and JSON files by their endings, one table; columns that a file lacks are null."""
     out = None
@@ -88,9 +96,9 @@ PREFERENCES = {
 }
 
 
-def read_preferences(spark: SparkSession, path: str, layout: str, a_name: str = "model_a", b_name: str = "model_b") -> DataFrame:
-    """(prompt, chosen, rejected, subset) from one of the layouts; rows without a usable preference go."""
-    df = spark.read.schema(PREFERENCES[layout]).json(path)
+def read_preferences(spark: SparkSession, path: str, layout: str, a_name: str = "model_a", b_name: str = "model_b", kind: str = "json") -> DataFrame:
+    """(prompt, chosen, rejected, subset) from one of the layouts, JSON lines or Parquet; rows without a usable preference go."""
+    df = spark.read.schema(PREFERENCES[layout]).format(kind).load(path)
     if layout == "conversation":
         return preferred_pairs(df)
     if layout == "winner":
@@ -203,6 +211,54 @@ def split_cached(work: DataFrame, cache: DataFrame, key: str = "cache_key") -> t
     return work.join(hits, key), work.join(hits, key, "left_anti")
 
 
+class ResponseCache:
+    """Responses by key in a folder: a log of writes and deletes, of which the last for a key holds, and a compacted state of the log so far.
+
+    Every ``put`` and ``delete`` appends rows with one number that rises from append to append (the clock of the one driver that writes), a delete without a response.
+    ``compact`` writes what holds now, sorted by key and with Bloom filters of the keys in files that are dealt by key, and then names it in ``states``, so a run that is cut short leaves the
+    state before it. Reading takes the last state named and the log behind it. Null keys are left out; of several responses in one append the largest holds.
+    """
+
+    LOG, STATES = "cache_key string, response string, seq long", "seq long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.filter("cache_key is not null").withColumn("seq", F.lit(time.time_ns())).write.mode("append").parquet(f"{self.path}/log")
+
+    def put(self, rows: DataFrame) -> None:
+        self._append(rows.groupBy("cache_key").agg(F.max("response").alias("response")))
+
+    def delete(self, keys: DataFrame) -> None:
+        self._append(keys.select("cache_key").distinct().withColumn("response", F.lit(None).cast("string")))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def table(self, upto: int | None = None) -> DataFrame:
+        """(cache_key, response): what holds now."""
+        state = self._read("states", self.STATES).agg(F.max("seq")).first()[0]
+        log = self._read("log", self.LOG).filter(F.col("seq") > (state or 0))
+        log = log if upto is None else log.filter(F.col("seq") <= upto)
+        rows = log if state is None else log.unionByName(self._read(f"state-{state}", self.LOG))
+        return rows.groupBy("cache_key").agg(F.max_by("response", "seq").alias("response")).filter("response is not null")
+
+    def look_up(self, work: DataFrame) -> DataFrame:
+        """The rows of ``work`` whose key has a response."""
+        return work.join(self.table(), "cache_key")
+
+    def compact(self, files: int = 16) -> None:
+        upto = self._read("log", self.LOG).agg(F.max("seq")).first()[0]
+        if upto is None:
+            return
+        rows = self.table(upto).withColumn("seq", F.lit(upto)).repartition(files, "cache_key").sortWithinPartitions("cache_key")
+        rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#cache_key", "true").parquet(f"{self.path}/state-{upto}")
+        self.spark.createDataFrame([(upto,)], self.STATES).write.mode("append").parquet(f"{self.path}/states")
+
+
 def load_or_compute(spark: SparkSession, path: str, compute, **parameters: object) -> DataFrame:
     """The table saved at ``path`` for these parameters, or else the computed one, saved there.
 

@@ -152,6 +152,36 @@ def test_load_or_compute_runs_once(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_response_cache(spark, tmp_path):
+    """The last write or delete of a key holds, before and after compaction and when one was cut short."""
+    cache, held, rng = io.ResponseCache(spark, f"{tmp_path}/c"), {}, random.Random(12)
+    rows = lambda pairs: spark.createDataFrame(pairs, "cache_key string, response string")
+    assert cache.table().count() == 0
+    cache.compact()
+    for k in range(6):
+        new = [(f"k{rng.randrange(12)}", f"r{k}-{i}") for i in range(6)]
+        cache.put(rows([*new, (None, "lost")]))
+        for key, response in sorted(new):
+            held[key] = response
+        gone = [f"k{rng.randrange(12)}" for _ in range(2)]
+        cache.delete(rows([(key, "") for key in gone]))
+        for key in gone:
+            held.pop(key, None)
+        if k in (2, 4):
+            cache.compact()
+        if k == 3:  # a state that was never named
+            rows([("k0", "half")]).withColumn("seq", F.lit(9**18)).write.parquet(f"{tmp_path}/c/state-{9**18}")
+        assert {r["cache_key"]: r["response"] for r in cache.table().collect()} == held
+    assert {r["cache_key"] for r in cache.look_up(rows([("k1", "x"), ("k99", "y")]).select("cache_key")).collect()} == {"k1"} & held.keys()
+
+
+def test_metric_lists(spark):
+    df = spark.createDataFrame([(2, {"a": 2.0}), (1, {"a": 1.0})], "batch int, metrics map<string,double>")
+    assert p.metric_lists(df, "batch", "metrics").first()["list"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="not every batch"):
+        p.metric_lists(df.union(spark.createDataFrame([(3, {"b": 1.0})], df.schema)), "batch", "metrics").collect()
+
+
 def test_scorers(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     bad = plugins.safe_scorer(lambda row: 1.0 if row["t"] == "a" else 1 / 0)

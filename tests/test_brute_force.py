@@ -32,6 +32,28 @@ def test_collapse_rate(spark):
         assert got[s, q] == (9, pytest.approx(max(c[1] for c in clusters) / 9))
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.25, 0.4, 0.5, 2 / 3, 0.75, 1.0])
+def test_leaders_are_found_through_the_index(threshold):
+    rng = random.Random(7)
+    for _ in range(200):
+        sets = [{rng.choice("abcdefghij") for _ in range(rng.randint(0, 8))} for _ in range(30)]
+        firsts, sizes = [], []
+        for own in sets:
+            home = next((k for k, other in enumerate(firsts) if own | other and len(own & other) / len(own | other) >= threshold), None)
+            if home is None:
+                firsts.append(own)
+                sizes.append(1)
+            else:
+                sizes[home] += 1
+        assert m.leader_sizes(sets, threshold) == sizes
+    if threshold != 0.4:
+        return
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(50_000)]
+    began = time.monotonic()
+    assert sum(m.leader_sizes([set(rng.sample(words, 20)) for _ in range(20_000)], threshold)) == 20_000
+    assert time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize("n", range(1, 7))
 def test_majority_of_n_is_the_mean_over_all_draws(spark, n):
     prompts = {"p": [1, 2, 2, 5], "q": [7], "r": [3, 3, 1], "s": [1, 2, 3, 4, 5], "t": [2, 1, 1, 2, 4]}

@@ -132,14 +132,16 @@ def plugin_cached_judge(spark, sf_dir):
 
 @query("SELECT user_id AS run, step, round(total, 4) AS total FROM (SELECT user_id % 10 AS user_id, event_id % 20 AS step, sum(value) AS total FROM events GROUP BY ALL)")
 def stream_step_monitor(spark, sf_dir):
+    """Each step's rows are in several files, which come in two runs of the stream, and a step's total is one row."""
     path = work_dir(spark)
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run"), (F.col("event_id") % 20).alias("s"), "value")
-    rows.repartition(4, "s").write.json(f"{path}/in")
-    stream = runs.stream_files(spark, f"{path}/in", "run long, s long, value double")
-    per_step = lambda b: b.groupBy("run", F.col("s").alias("step")).agg(F.sum("value").alias("total"))
-    runs.monitor_steps(stream, per_step, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    out = spark.read.schema("run long, step long, total double").parquet(f"{path}/out").groupBy("run", "step").agg(F.sum("total").alias("total"))
-    return rounded(out)
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("run"), (F.col("event_id") % 20).alias("at"), "value", F.pmod(F.xxhash64("event_id"), F.lit(2)).alias("part"))
+    ends = rows.select("run").distinct().withColumn("at", F.lit(None).cast("long")).withColumn("value", F.lit(None).cast("double"))
+    for parts in ([rows.filter("part = 0")], [rows.filter("part = 1"), ends]):
+        for part in parts:
+            part.select("run", "at", "value").write.mode("append").json(f"{path}/in")
+        stream = runs.stream_files(spark, f"{path}/in", "run long, at long, value double")
+        runs.run_to_files(runs.step_totals(stream, step="at", delay=20), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return rounded(spark.read.schema("run long, step long, total double, late boolean").parquet(f"{path}/out").filter("not late").select("run", "step", "total"))
 
 
 @query("""WITH RECURSIVE m AS (SELECT lang AS run, doc_id // 50 AS step, avg((n_chars > 800)::int) AS v FROM documents GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM m),
@@ -148,8 +150,9 @@ def stream_step_monitor(spark, sf_dir):
 def stream_smooth_factor(spark, sf_dir):
     path = work_dir(spark)
     means = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("run"), F.floor(F.col("doc_id") / 50).alias("step")).agg(F.avg((F.col("n_chars") > 800).cast("double")).alias("value"))
-    means.coalesce(1).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("run string, step long, value double").parquet(f"{path}/in")
-    out = runs.smooth_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    out.awaitTermination()
+    # files come in any order, so a run's steps are held until the run has ended
+    means.repartition(3, "step").write.parquet(f"{path}/in")
+    means.select("run").distinct().select("run", F.lit(None).cast("long").alias("step"), F.lit(None).cast("double").alias("value")).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("run string, step long, value double").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    runs.run_to_files(runs.smooth_stream(stream, delay=runs.LAST), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return rounded(spark.read.schema("run string, step long, ema double, factor double").parquet(f"{path}/out"), 5)

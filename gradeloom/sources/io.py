@@ -1,6 +1,6 @@
 """Sources and sinks. Schemas are explicit, each the union of the names that a field has had; nothing is inferred.
 
-Files are read by Spark's readers, so any store that Spark knows will do.
+Files are read by Spark's readers, so any store that Spark knows will do; logs and JSON documents by those of ``documents``, for stores that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ import json
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as x
 from gradeloom.operators.preparation import by_winner, preferred_pairs
+from gradeloom.sources import documents
 
 MESSAGES = "array<struct<role:string,content:string>>"
 RUBRICS = "array<struct<criterion:string,points:int>>"
@@ -121,15 +122,24 @@ def read_steps(spark: SparkSession, path: str, schema: str, steps: Sequence[int]
     return df.filter(F.col("step") <= hi) if hi is not None else df
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(log, line_no, line) of text logs; line_no rises inside a file. Whole files, so each log is one task's."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("log"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return files.filter(F.trim("line") != "")
+def read_log(spark: SparkSession, path: str, range_bytes: int = documents.RANGE_BYTES) -> DataFrame:
+    """(log, line_no, line) of the lines of text logs that aren't blank; line_no is the line's place in its file, from 0.
+
+    A log is read by ranges of bytes, each by a task of its own. A table with a row a range says how many lines stand before it; it is left out where no log has two.
+    """
+    rows = documents.read_lines(spark, path, range_bytes)
+    log = F.element_at(F.split("path", "/"), -1).alias("log")
+    if all(size <= range_bytes for _, size in documents.files_below(path)):
+        return rows.filter(F.trim("line") != "").select(log, F.col("i").alias("line_no"), "line")
+    ranges = rows.groupBy("path", "start").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("path", "start", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.filter(F.trim("line") != "").join(ranges, ["path", "start"]).select(log, (F.col("_before") + F.col("i")).alias("line_no"), "line")
 
 
 def read_usage(spark: SparkSession, path: str, since: float | None = None) -> DataFrame:
-    """(model, tokens_in, tokens_out, quota, created) from a downloaded JSON list of calls."""
-    df = spark.read.schema(USAGE).json(path, multiLine=True)
+    """(model, tokens_in, tokens_out, quota, created) from downloaded JSON lists of calls, read call by call."""
+    df = documents.read_elements(spark, path).select(F.from_json("json", USAGE).alias("r")).select("r.*")
     out = df.select(F.col("modelName").alias("model"), F.col("promptTokens").alias("tokens_in"), F.col("completionTokens").alias("tokens_out"), "quota", F.timestamp_seconds(F.col("createdAt")).alias("created"), "createdAt")
     return (out if since is None else out.filter(F.col("createdAt") >= since)).drop("createdAt")
 
@@ -139,9 +149,9 @@ def read_step_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The per-prompt rows of ``{summary, per_prompt}`` documents, with their file."""
-    df = spark.read.schema(f"per_prompt array<struct<{', '.join(f.replace(' ', ':', 1) for f in PER_PROMPT.split(', '))}>>").json(path, multiLine=True)
-    return df.select(F.col("_metadata.file_name").alias("file"), F.explode("per_prompt").alias("r")).select("file", "r.*")
+    """The per-prompt rows of ``{summary, per_prompt}`` documents, with their file. Documents are read prompt by prompt."""
+    rows = documents.read_elements(spark, path, "per_prompt")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.from_json("json", PER_PROMPT).alias("r")).select("file", "r.*")
 
 
 def long_scores(results: DataFrame) -> DataFrame:
@@ -151,9 +161,9 @@ def long_scores(results: DataFrame) -> DataFrame:
 
 
 def read_cache_document(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text) from a JSON object of texts by id."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "text"))
+    """(id, text) from JSON objects of texts by id, read member by member. An id that is there twice gives two rows; texts that are null stay null."""
+    members = documents.read_elements(spark, path, "*")
+    return members.select(F.col("name").alias("id"), F.get_json_object(F.concat(F.lit('{"v":'), "json", F.lit("}")), "$.v").alias("text"))
 
 
 # ---- sinks

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as x
+from gradeloom.operators.order import BLOCK_ROWS, framed, last_known, number_within
 
 
 def share(condition: Column) -> Column:
@@ -80,12 +81,28 @@ def collapse_rate(df: DataFrame, threshold: float = 0.4) -> DataFrame:
     return df.select("step", "q", "rollout", "words").groupBy("step", "q").applyInPandas(run, f"step {t['step']}, q {t['q']}, n long, collapse double")
 
 
+#: Lengths that share a slice in ``length_profile``.
+SLICE = 1024
+
+
 def length_profile(df: DataFrame, length: str, by: str = "step") -> DataFrame:
-    """(by, n, upper_median, max, over_200, over_500); the upper median is the value at place floor(n / 2) from 0."""
-    w = Window.partitionBy(by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(length)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2), F.col(length)))
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), at.alias("upper_median"), F.max(length).alias("max"), share(F.col(length) > 200).alias("over_200"), share(F.col(length) > 500).alias("over_500"))
+    """(by, n, upper_median, max, over_200, over_500); the upper median is the value at place floor(n / 2) from 0, nulls first.
+
+    Selection by counting: rows are counted by length before they are shuffled, counts by slice of ``SLICE`` lengths name the slice that holds the place, and the counts in that slice
+    the length. A hot step is as many rows as it has lengths, and no window holds more than its slices or a slice.
+    """
+    counts = df.groupBy(F.col(by).alias("_by"), F.floor(F.col(length) / SLICE).alias("_slice"), F.col(length).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    over = lambda limit: F.sum(F.when(F.col("_v") > limit, F.col("_c")).otherwise(0))
+    slices = counts.groupBy("_by", "_slice").agg(F.sum("_c").alias("_c"), F.max("_v").alias("_max"), over(200).alias("_200"), over(500).alias("_500"))
+    step = Window.partitionBy("_by")
+    before = F.coalesce(F.sum("_c").over(step.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = [F.sum("_c").over(step).alias("n"), F.max("_max").over(step).alias("max"), F.sum("_200").over(step).alias("_200"), F.sum("_500").over(step).alias("_500")]
+    found = slices.select("_by", "_slice", "_c", before.alias("_before"), *totals).filter((F.col("_before") <= F.floor(F.col("n") / 2)) & (F.floor(F.col("n") / 2) < F.col("_before") + F.col("_c")))
+    found = found.select(F.col("_by").alias(by), F.col("_slice").alias("_s"), "_before", "n", "max", (F.col("_200") / F.col("n")).alias("over_200"), (F.col("_500") / F.col("n")).alias("over_500"))
+    inside = counts.join(found, F.col("_by").eqNullSafe(F.col(by)) & F.col("_slice").eqNullSafe(F.col("_s")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_by").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    at = inside.withColumn("_upto", upto).filter((F.col("_upto") > F.floor(F.col("n") / 2)) & (F.col("_upto") - F.col("_c") <= F.floor(F.col("n") / 2)))
+    return at.select(by, "n", F.col("_v").alias("upper_median"), "max", "over_200", "over_500")
 
 
 def text_lengths(df: DataFrame, text: str, marker: str, by: str = "step") -> DataFrame:
@@ -118,27 +135,29 @@ def log_metrics(lines: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
 
 def flagged_per_step(lines: DataFrame, flag: str, rule: str, step: str = "step") -> DataFrame:
     """(step, total, flagged, by_rule, rest): flagged lines of each step (forward-filled), and the part that no rule flagged, at least 0."""
-    filled = lines.withColumn("_s", F.last(step, ignorenulls=True).over(Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    filled = last_known(lines, step, "log", "line_no", "_s")
     out = filled.filter("_s is not null").groupBy(F.col("_s").alias(step)).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col(flag), 1)).alias("flagged"), F.count(F.when(F.col(rule), 1)).alias("by_rule"))
     return out.withColumn("rest", F.greatest(F.col("flagged") - F.col("by_rule"), F.lit(0)))
 
 
 def chunk_by_count(df: DataFrame, size: int, order: Sequence[str], by: str) -> DataFrame:
     """``chunk`` of ``size`` rows in order, inside each log."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size))
+    return number_within(df, by, order, "_k").withColumn("chunk", F.floor(F.col("_k") / size)).drop("_k")
 
 
-def moving_average(df: DataFrame, value: str, order: Sequence[str], by: str, n: int = 10) -> DataFrame:
-    """``average`` of the last ``n`` rows, full windows only."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).withColumn("average", F.avg(value).over(w.rowsBetween(1 - n, 0))).filter(F.col("_r") >= n).drop("_r")
+def moving_average(df: DataFrame, value: str, order: Sequence[str], by: str, n: int = 10, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``average`` of the last ``n`` rows, full windows only. A log of more than ``rows`` rows is averaged block by block, each with the n - 1 rows before it."""
+    placed = framed(df, by, order, n - 1, rows)
+    last = Window.partitionBy(by, "_block").orderBy("_k").rowsBetween(1 - n, 0)
+    return placed.withColumn("average", F.avg(value).over(last)).filter(~F.col("_copy") & (F.col("_k") >= n - 1)).drop("_k", "_block", "_copy")
 
 
-def crossings(df: DataFrame, value: str, threshold: float, order: Sequence[str], by: str) -> DataFrame:
-    """The first row of each run at which the value goes from below the threshold to it or above."""
-    w = Window.partitionBy(by).orderBy(*order)
-    crossed = df.withColumn("_was", F.lag(value).over(w)).filter((F.col("_was") < threshold) & (F.col(value) >= threshold)).drop("_was")
-    return crossed.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def crossings(df: DataFrame, value: str, threshold: float, order: Sequence[str], by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The first row of each run at which the value goes from below the threshold to it or above. A log of more than ``rows`` rows is searched block by block, each with the row before it."""
+    placed = framed(df, by, order, 1, rows)
+    was = F.lag(value).over(Window.partitionBy(by, "_block").orderBy("_k"))
+    crossed = placed.withColumn("_was", was).filter(~F.col("_copy") & (F.col("_was") < threshold) & (F.col(value) >= threshold))
+    return crossed.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), "_k").alias("_row")).select("_row.*")
 
 
 def smooth_factor(df: DataFrame, value: str, order: str, by: str, keep: float = 0.9, start: float = 1.0, low: float = 0.1) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.order import number_rows, range_bucket
+from gradeloom.operators.order import last_known, number_rows, range_bucket
 
 #: Rows with neighbouring values of an ``ord`` column go to one bucket of global numbering.
 BUCKET_ROWS = 100_000
@@ -551,8 +551,8 @@ def union_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, column: str, by: str, order: str, out: str) -> DataFrame:
-    """The latest value of ``column`` that isn't null, up to each row, inside one log."""
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """The latest value of ``column`` that isn't null, up to each row, inside one log. Of rows equal in ``order`` (a struct may break ties) any is the latest."""
+    return last_known(df, column, by, order, out)
 
 
 def before_after(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

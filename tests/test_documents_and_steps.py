@@ -8,6 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.operators import monitoring, order
 from gradeloom.sources import documents, io
 from gradeloom.streaming import runs
 
@@ -96,3 +97,37 @@ def test_late_steps_are_told_and_not_lost(spark, tmp_path):
     got = through(spark, str(tmp_path), [[("a", 5, 1.0)], [("a", 4, 2.0), ("a", 5, 3.0), ("a", 6, 1.0)]], 0, runs.step_totals)
     assert got == [("a", 4, 2.0, 1, True), ("a", 5, 1.0, 1, False), ("a", 5, 3.0, 1, True), ("a", 6, 1.0, 1, False)]
     assert spark.conf.get(runs.STATE_STORE, "") == "" or "RocksDB" not in spark.conf.get(runs.STATE_STORE)
+
+
+def test_order_of_a_hot_log_by_ranges(spark):
+    """Numbers, last known values, averages and crossings of logs that are cut into ranges, against plain Python; a null log is one of its own."""
+    rows = [(None if k % 5 == 4 else "hot" if k % 5 else "cold", k * 7919 % 1000 // 2, k, float(k * 31 % 17) if k % 6 else None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "log string, at long, id long, v double").withColumn("when", F.timestamp_seconds("at")).withColumn("place", F.struct("when", "id"))
+    wanted, filled, averages, crossed = {}, {}, {}, {}
+    for log in ("hot", "cold", None):
+        last, seen = None, []
+        for k, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == log), key=lambda r: r[1:3])):
+            last = last if v is None else v
+            if seen and seen[-1] is not None and v is not None and seen[-1] < 8 <= v:
+                crossed.setdefault(log, i)
+            seen.append(v)
+            wanted[i], filled[i] = k, last
+            if k >= 2:
+                full = [x for x in seen[-3:] if x is not None]
+                averages[i] = pytest.approx(sum(full) / len(full))
+    for most in (10, 10_000):
+        assert {r["id"]: r["k"] for r in order.number_within(df, "log", ["when", "id"], "k", most).collect()} == wanted
+        assert {r["id"]: r["f"] for r in order.last_known(df, "v", "log", "place", "f", most).collect()} == filled
+    placed = order.framed(df, "log", ["when", "id"], 2, 7)
+    assert placed.groupBy("log", "_block").count().agg(F.max("count")).first()[0] <= 9 and placed.filter("not _copy").count() == 1000
+    for most in (7, 10_000):
+        assert {r["id"]: r["average"] for r in monitoring.moving_average(df, "v", ["when", "id"], "log", 3, most).collect()} == averages
+        assert {r["log"]: r["id"] for r in monitoring.crossings(df, "v", 8.0, ["when", "id"], "log", most).collect()} == crossed
+
+
+def test_upper_median_by_counting(spark):
+    rows = [(k % 3 if k % 7 else None, k * k % 5000 if k % 11 else None) for k in range(900)]
+    got = {r["step"]: tuple(r)[1:4] for r in monitoring.length_profile(spark.createDataFrame(rows, "step long, n long"), "n").collect()}
+    for step in (0, 1, 2, None):
+        own = sorted((n for s, n in rows if s == step), key=lambda n: (n is not None, n or 0))
+        assert got[step] == (len(own), own[len(own) // 2], own[-1])

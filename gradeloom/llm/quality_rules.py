@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a text when a statistic is above a cutoff. Cutoffs come from labelled documents, by stratum: one half of the
-good ones (chosen by a hash of the id) proposes, for each of a few levels, the cutoffs that leave that share of them above (or a multiple of
+good ones (chosen by a hash of the text, so copies are in one half, and counted once a stratum) proposes, for each of a few levels, the cutoffs that leave that share of them above (or a multiple of
 their largest value), rule by rule; the other half tests the proposals. With k of n good texts of that holdout rejected by any rule, a level is certified if the
 exact (Clopper-Pearson) upper bound of the false rejection rate is at most ``risk``. Levels are tested from the mildest on until one
 fails, which needs no correction, and the confidence is divided by the number of strata (Bonferroni), so with probability
@@ -92,7 +92,7 @@ def statistics(column: pa.Array) -> list[np.ndarray]:
 
 
 def rule_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(id, stratum, STATS), a row a document.
+    """(id, stratum, twin, STATS), a row a document; ``twin`` is a hash of the text.
 
     A null or empty text has no words and counts of 0. Null ids and strata stay null, repeated rows give a row each, other columns are not
     looked at, and an empty table gives an empty result. ``key`` names a whole number, or text that is one.
@@ -101,10 +101,10 @@ def rule_stats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             stats = [pa.array(a.astype(np.float64 if name in RULES else np.int64)) for name, a in zip(_NAMES, statistics(batch.column("text")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), *stats], ["id", "stratum", *_NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), batch.column("twin"), *stats], ["id", "stratum", "twin", *_NAMES])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id long, stratum string, {STATS}")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(stratum).cast("string").alias("stratum"), F.xxhash64(text).alias("twin"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id long, stratum string, twin long, {STATS}")
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -133,12 +133,12 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 def calibrate(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.1, *, key: str = "doc_id", label: str = "quality", base=None) -> DataFrame:
     """(stratum, level, bound, cutoffs array<double>): the chosen place in LEVELS of each labelled stratum; null cutoffs where none is certified.
 
-    Labels with a null id or label are left out; ids labelled twice count with their larger label. A null stratum is one of
-    its own. Texts that ``base`` (a condition on stats) rejects are neither proposed nor tested. The work is joins and aggregates
+    Labels with a null id or label are left out; ids labelled twice count with their larger label. A text counts once in a stratum and for a label, however
+    many copies of it are labelled: the exact bound needs trials that are independent. A null stratum is one of its own. Texts that ``base`` (a condition on stats) rejects are neither proposed nor tested. The work is joins and aggregates
     over labelled rows; what is left for one task is a row for each stratum and level.
     """
     marks = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(label).alias("good"))
-    rows = stats.join(marks, "id").withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
+    rows = stats.join(marks, "id").dropDuplicates(["stratum", "twin", "good"]).withColumn("half", F.pmod("twin", F.lit(2)))
     if base is not None:
         rows = rows.filter(~base)
     good = rows.filter("half = 0 and good = 1")

@@ -542,3 +542,10 @@ def test_perfect_hash_is_minimal():
 
 def test_digests():
     assert warc.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
+
+
+def test_copies_are_one_trial(spark):
+    """A stratum of one good text, however often it is labelled, certifies nothing."""
+    docs = spark.createDataFrame([(k, "plain words of a text that stands here many times " * 3, "en") for k in range(400)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert [r["cutoffs"] for r in quality_rules.calibrate(quality_rules.rule_stats(docs), labels).collect()] in ([], [None])

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,50 +189,3 @@ def concept_diversity(rollouts: DataFrame, concepts: str) -> DataFrame:
     mean = a.join(b, "q").filter("rollout <> other").groupBy("q", "rollout").agg(F.avg(jaccard).alias("j"))
     value = F.when((F.size(F.col(concepts)) > 0) & F.col("j").isNotNull(), 1 - F.col("j")).otherwise(0.0)
     return rollouts.join(mean, ["q", "rollout"], "left").select("q", "rollout", value.alias("diversity"))
-
-
-def complete_matrix(observed: np.ndarray, mask: np.ndarray, rank: int = 2, iterations: int = 50, reg: float = 0.1, tol: float = 1e-5) -> np.ndarray:
-    """A score matrix with its holes filled: overall mean, row and column bias, and a low-rank rest by alternating ridge regression.
-
-    Results are within 0 and 10; observed entries stay as they are. Without an observed entry all are 5.
-    """
-    if not mask.any():
-        return np.full(observed.shape, 5.0)
-    mean = observed[mask].mean()
-    rows, cols = np.zeros(observed.shape[0]), np.zeros(observed.shape[1])
-    n_rows, n_cols = mask.sum(axis=1), mask.sum(axis=0)
-    for _ in range(10):
-        rest = np.where(mask, observed - mean - cols, 0.0)
-        rows = rest.sum(axis=1) / (n_rows + reg)
-        rest = np.where(mask, observed - mean - rows[:, None], 0.0)
-        cols = rest.sum(axis=0) / (n_cols + reg)
-    base = mean + rows[:, None] + cols
-    rest = np.where(mask, observed - base, 0.0)
-    rng = np.random.default_rng(0)
-    u, v = rng.normal(0, 0.1, (observed.shape[0], rank)), rng.normal(0, 0.1, (observed.shape[1], rank))
-    eye = reg * np.eye(rank)
-    for _ in range(iterations):
-        was = u @ v.T
-        u = np.stack([np.linalg.solve(v[m].T @ v[m] + eye, v[m].T @ r[m]) for m, r in zip(mask, rest, strict=True)])
-        v = np.stack([np.linalg.solve(u[m].T @ u[m] + eye, u[m].T @ r[m]) for m, r in zip(mask.T, rest.T, strict=True)])
-        if np.abs(u @ v.T - was).max() < tol:
-            break
-    return np.where(mask, observed, np.clip(base + u @ v.T, 0.0, 10.0))
-
-
-def complete_scores(df: DataFrame, rank: int = 2) -> DataFrame:
-    """(q, row, col, score, observed) with every cell of each question's matrix; a question's matrix is one small group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="row", columns="col", values="score", aggfunc="mean")
-        mask = wide.notna().to_numpy()
-        filled = complete_matrix(wide.fillna(0.0).to_numpy(), mask, rank)
-        out = pd.DataFrame(filled, index=wide.index, columns=wide.columns).stack().rename("score").reset_index()
-        out["observed"] = mask.reshape(-1)
-        out.insert(0, "q", pdf["q"].iloc[0])
-        return out
-
-    t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select("q", "row", "col", "score").groupBy("q").applyInPandas(run, f"q {t['q']}, row {t['row']}, col {t['col']}, score double, observed boolean")
-
-

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradeloom.operators import completion
 from gradeloom.operators import scores as s
 from gradeloom.plans.ranking import rounded
 from gradeloom.plans.registry import query, table
+from gradeloom.plans.sources import work_dir
 
 
 def matrix(spark, sf_dir):
@@ -102,4 +104,4 @@ def score_concept_diversity(spark, sf_dir):
 @query()
 def score_matrix_completion(spark, sf_dir):
     m = matrix(spark, sf_dir).select("q", F.col("crit").alias("row"), F.col("answer").alias("col"), "score")
-    return rounded(s.complete_scores(m), 3)
+    return rounded(completion.complete_scores(m, work_dir(spark)), 3)

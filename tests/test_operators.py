@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions import sequences as q
-from gradeloom.operators import plugins
+from gradeloom.operators import completion, plugins
 from gradeloom.operators import preparation as p
 from gradeloom.operators import scores as s
 from gradeloom.operators import tokens as t
@@ -111,10 +111,10 @@ def test_matrix_completion():
     rng = np.random.default_rng(4)
     full = np.clip(5 + rng.normal(0, 1.2, (10, 2)) @ rng.normal(0, 1, (2, 10)), 0, 10)
     mask = rng.random((10, 10)) < 0.75
-    out = s.complete_matrix(np.where(mask, full, 0.0), mask)
+    out = completion.complete_matrix(np.where(mask, full, 0.0), mask)
     assert np.allclose(out[mask], full[mask]) and out.min() >= 0 and out.max() <= 10
     assert np.sqrt(np.mean((out - full)[~mask] ** 2)) < 2.0
-    assert np.allclose(s.complete_matrix(full, np.ones_like(mask)), full)
+    assert np.allclose(completion.complete_matrix(full, np.ones_like(mask)), full)
 
 
 def test_sequences(spark):

@@ -61,16 +61,20 @@ def unused_name(df: DataFrame, name: str) -> str:
 _FIXED = {"bigint": 8, "int": 8, "smallint": 8, "tinyint": 8, "double": 8, "float": 8, "boolean": 8, "timestamp": 8, "date": 8}
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast of a materialized table of at most ``max_rows`` rows and ``max_bytes``; a larger one is joined by shuffle.
+def fits_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> bool:
+    """Whether a materialized table has at most ``max_rows`` rows and ``max_bytes``.
 
     Numbers count 8 bytes each; columns of other types are measured by their JSON text.
     """
     loose = [c for c, t in df.dtypes if t not in _FIXED]
     size = F.sum(F.octet_length(F.to_json(F.struct(*loose)))) if loose else F.lit(0)
     rows, loose_bytes = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
-    fits = rows <= max_rows and 8 * rows * (len(df.columns) - len(loose)) + (loose_bytes or 0) <= max_bytes
-    return F.broadcast(df) if fits else df
+    return rows <= max_rows and 8 * rows * (len(df.columns) - len(loose)) + (loose_bytes or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast of a materialized table that ``fits_broadcast``; a larger one is joined by shuffle."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def n_words(text: Column) -> Column:

@@ -10,8 +10,9 @@ documents in the order of a seeded hash while they fit into T - floor(T / S) * S
 order is followed from there in further rounds, with documents no larger than what is still missing; then up to ``fillers``
 further documents come in, each the one whose size is nearest to what is missing, if taking it comes nearer than leaving it out.
 The place of a cut is found from sums over 4096 ranges of the hash, so no task sees more of a hot source than one range of
-it. Texts are never shuffled: the decision is a comparison of the document's own hash (and where large documents
-are left out, its size) with its source's cuts.
+it. Behind the first cut only documents of less than twice what is missing are looked at again. A source misses its target by less than the
+largest document that it holds, and where all that are left are larger than what is missing, by half the smallest of these at most. Texts are never
+shuffled: the decision is a comparison of the document's own hash (and where large documents are left out, its size) with its source's cuts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import broadcast_if_small, materialize, n_words, unused_name
+from gradeloom.llm.common import broadcast_if_small, fits_broadcast, materialize, n_words, unused_name
 
 _RANGE_BITS = 12
 #: Rounds of the fractional repetition; each goes on behind a document that was too large.
@@ -73,44 +74,53 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget_ra
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = materialize(targets.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
     split = plan.filter("part > 0")
+    # all tables below have a row a source and at most ROUNDS cuts in it, so one check of their size is enough
+    few = fits_broadcast(plan, max_rows=20_000, max_bytes=8 << 20)
+    hinted = F.broadcast if few else (lambda df: df)
 
     def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         right = right.withColumnRenamed("source", "_s")
         return left.join(right, left["source"].eqNullSafe(right["_s"]), how).drop("_s")
 
-    def next_cut(cuts: DataFrame) -> DataFrame:
+    def next_cut(units: DataFrame, cuts: DataFrame) -> DataFrame:
         """One round: (source, low, missing, taken) with the cut behind ``low`` added to ``taken`` and less missing."""
         range_ = F.shiftright("u", 63 - _RANGE_BITS)
-        left = by_source(units, broadcast_if_small(cuts)).filter(F.col("u") > F.col("low"))
+        left = by_source(units, hinted(cuts)).filter(F.col("u") > F.col("low"))
         sums = left.groupBy("source", range_.alias("range")).agg(F.sum(F.when(F.col("one") <= F.col("missing"), F.col("size")).otherwise(0)).alias("size"), F.max("one").alias("largest"), F.first("missing").alias("missing"))
         before = F.sum("size").over(Window.partitionBy("source").orderBy("range")) - F.col("size")
         crossed = (F.col("before") <= F.col("missing")) & (F.col("before") + F.col("size") > F.col("missing"))
         at = F.max(F.when(crossed, F.struct("range", "before"))).alias("at")
-        found = materialize(sums.withColumn("before", before).groupBy("source").agg(at, F.sum("size").alias("total"), F.max("largest").alias("largest")), "mix-ranges")
+        found = sums.withColumn("before", before).groupBy("source").agg(at, F.sum("size").alias("total"), F.max("largest").alias("largest"))
         state = materialize(by_source(cuts, found, "left"), "mix-state")
-        inside = by_source(units, broadcast_if_small(state.filter("at is not null").drop("taken")))
+        inside = by_source(units, hinted(state.filter("at is not null").drop("taken")))
         inside = inside.filter((range_ == F.col("at.range")) & (F.col("u") > F.col("low")) & (F.col("one") <= F.col("missing")))
         upto = F.col("at.before") + F.sum("size").over(Window.partitionBy("source").orderBy("u"))
         fits = inside.withColumn("upto", upto).filter(F.col("upto") <= F.col("missing")).groupBy("source").agg(F.max("u").alias("u_in"), F.max("upto").alias("upto"))
         # before the first document of the range where none of it fits; behind all where all fit
         cut = F.when(F.col("at").isNull(), F.lit(_LAST)).otherwise(F.coalesce("u_in", F.greatest("low", F.shiftleft("at.range", 63 - _RANGE_BITS) - 1)))
         gone = F.when(F.col("at").isNull(), F.coalesce("total", F.lit(0))).otherwise(F.coalesce("upto", "at.before"))
-        limit = F.when(F.col("largest") > F.col("missing"), F.col("missing"))
+        # later rounds don't see the largest documents at all, so they always have a limit
+        limit = F.col("missing") if units is rest else F.when(F.col("largest") > F.col("missing"), F.col("missing"))
         now = F.struct(F.col("low"), cut.alias("cut"), limit.alias("limit"))
         return materialize(by_source(state, fits, "left").select("source", cut.alias("low"), (F.col("missing") - gone).alias("missing"), F.array_append("taken", now).alias("taken")), "mix-cuts")
 
     none = F.expr("cast(array() as array<struct<low:bigint,cut:bigint,limit:double>>)")
     cuts = materialize(split.select("source", F.lit(-1).cast("long").alias("low"), F.col("part").alias("missing"), none.alias("taken")), "mix-cuts")
-    for _ in range(ROUNDS):
+    rest = None
+    for k in range(ROUNDS):
         open_ = cuts.filter((F.col("missing") > 0) & (F.col("low") < _LAST))
         done = cuts.filter((F.col("missing") <= 0) | (F.col("low") >= _LAST))
         if open_.isEmpty():
             break
-        cuts = done.unionByName(next_cut(open_))
-    cuts = materialize(cuts.withColumn("fillers", F.expr("cast(array() as array<bigint>)")), "mix-cuts")
+        cuts = done.unionByName(next_cut(units if rest is None else rest, open_))
+        if k == 0:
+            # what may still come in: less than twice what is missing, and behind the first cut
+            rest = by_source(units, hinted(cuts.select("source", "low", "missing"))).filter((F.col("u") > F.col("low")) & (F.col("one") < 2 * F.col("missing")))
+            rest = materialize(rest.select("source", "u", "size", "one"), "mix-rest")
+    cuts = cuts.withColumn("fillers", F.expr("cast(array() as array<bigint>)"))
     for _ in range(fillers):
         off = F.abs(F.col("size") - F.col("missing"))
-        left = by_source(units, broadcast_if_small(cuts)).filter((F.col("u") > F.col("low")) & (off < F.col("missing")) & ~F.array_contains("fillers", F.col("u")))
+        left = by_source(units if rest is None else rest, hinted(cuts)).filter((F.col("u") > F.col("low")) & (off < F.col("missing")) & ~F.array_contains("fillers", F.col("u")))
         best = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "size")).alias("best"))
         added = F.when(F.col("best").isNull(), F.col("fillers")).otherwise(F.array_append("fillers", F.col("best.u")))
         cuts = by_source(cuts, best, "left").select("source", "low", "taken", (F.col("missing") - F.coalesce("best.size", F.lit(0))).alias("missing"), added.alias("fillers"))

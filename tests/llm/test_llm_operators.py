@@ -85,6 +85,19 @@ def test_mix_targets_and_sampling(spark, vocabulary):
     assert mixing.expand(mixing.mix_sources(make_docs(spark, rows))).columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_passes_over_huge_documents(spark, seed):
+    random.seed(seed)
+    sizes = {"mixed": [random.randint(1, 30) for _ in range(300)] + [2500] * 6, "huge": [3000, 4000, 5000], "small": [3] * 50, "lone": [9]}
+    rows = [(i, " ".join(["w"] * n + [f"{s}{k}"]), s) for i, (s, k, n) in enumerate((s, k, n) for s, ns in sizes.items() for k, n in enumerate(ns))]
+    out = mixing.mix_sources(make_docs(spark, rows), seed=seed).collect()
+    for s, ns in sizes.items():
+        mine = [r for r in out if r["source"] == s]
+        off = abs(sum(r["mix_copies"] * r["mix_size"] for r in mine) - mine[0]["mix_target"])
+        assert off <= {"mixed": 3, "huge": 2501, "small": 2, "lone": 5}[s] and off <= max(ns)
+        assert all(0 <= r["mix_copies"] <= 2 for r in mine)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(make_docs(spark, [])).count() == 0
     assert [r["mix_copies"] for r in mixing.mix_sources(make_docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,12 +93,11 @@ def rubric_line(criterion: Column, points: Column) -> Column:
 
 def fill_template(template: str, **values: Column) -> Column:
     """The template with each ``{name}`` replaced; values are not looked at for further names."""
-    out, names = F.lit(template), list(values)
-    for i, name in enumerate(names):
-        out = F.replace(out, F.lit("{" + name + "}"), F.lit(f"\u0001{i}\u0001"))
-    for i, name in enumerate(names):
-        out = F.replace(out, F.lit(f"\u0001{i}\u0001"), text_of(values[name]))
-    return out
+    if not values:
+        return F.lit(template)
+    # every second part is a name
+    parts = re.split(r"\{(" + "|".join(map(re.escape, values)) + r")\}", template)
+    return F.concat(*[text_of(values[part]) if k % 2 else F.lit(part) for k, part in enumerate(parts)])
 
 
 def strip_think(text: Column | str) -> Column:

@@ -71,3 +71,10 @@ def test_rule_scorers(spark):
 
 def test_templates_are_filled_once(spark):
     assert one(spark, x.fill_template("{q}-{r}", q=F.col("t"), r=F.lit("z")), t="{r}") == "{r}-z"
+
+
+def test_template_values_are_not_looked_at(spark):
+    df = spark.createDataFrame([("{b}\u00010\u0001", None), ("x", "{a}")], "a string, b string")
+    out = [r[0] for r in df.select(x.fill_template("{a}-{b}-{a}-{c}\u00011\u0001", a=F.col("a"), b=F.col("b"))).collect()]
+    assert out == ["{b}\u00010\u0001--{b}\u00010\u0001-{c}\u00011\u0001", "x-{a}-x-{c}\u00011\u0001"]
+    assert df.select(x.fill_template("{a}")).first()[0] == "{a}"

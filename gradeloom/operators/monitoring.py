@@ -203,9 +203,9 @@ def duplicate_profile(df: DataFrame, by: str = "step") -> DataFrame:
 
 
 def composite_ranking(df: DataFrame, terms: Mapping[str, float], key: str) -> DataFrame:
-    """``composite`` = weighted sum of columns, and ``rank`` by it, ties by key; for a table with a row a step."""
+    """``composite`` = weighted sum of columns, and ``rank`` by it at nine places, ties by key; for a table with a row a step."""
     total = sum((F.col(c) * w for c, w in terms.items()), F.lit(0.0))
-    return df.withColumn("composite", total).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), key)))
+    return df.withColumn("composite", total).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("composite", 9)), key)))
 
 
 # ---- validation metrics and batches

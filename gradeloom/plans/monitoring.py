@@ -141,10 +141,14 @@ def monitor_duplicate_profile(spark, sf_dir):
     return rounded(m.duplicate_profile(step_means(spark, sf_dir).select("step", F.col("n").alias("n_unique"), F.col("v").alias("weight"))))
 
 
-@query(f"WITH {STEP_MEANS}, s AS (SELECT step, sum(n) AS n, avg(v) AS v FROM m GROUP BY 1) SELECT step, round(n * 0.5 - 3.0 * v, 4) AS composite, row_number() OVER (ORDER BY n * 0.5 - 3.0 * v DESC, step)::int AS rank FROM s")
+@query(f"""WITH {STEP_MEANS}, s AS (SELECT step, sum(n) AS n, avg(v) AS v FROM m GROUP BY 1), c AS (SELECT step, n * 0.5 - 3.0 * v AS composite FROM s)
+    SELECT step, round(composite + 1e-9, 4) AS composite, row_number() OVER (ORDER BY round(composite, 9) DESC, step)::int AS rank FROM c""")
 def monitor_composite_ranking(spark, sf_dir):
+    """Composites that differ after the ninth place alone are ties; the 1e-9 keeps values that end in an exact half away from the rounding. The last bit of a mean,
+    which hangs on the order of its sum, would decide both."""
     by_step = step_means(spark, sf_dir).groupBy("step").agg(F.sum("n").alias("n"), F.avg("v").alias("v"))
-    return rounded(m.composite_ranking(by_step, {"n": 0.5, "v": -3.0}, "step").select("step", "composite", "rank"))
+    out = m.composite_ranking(by_step, {"n": 0.5, "v": -3.0}, "step").withColumn("composite", F.col("composite") + 1e-9)
+    return rounded(out.select("step", "composite", "rank"))
 
 
 # ---- validation: source = event type, prompt = user, value = value, vote = value rounded to tens

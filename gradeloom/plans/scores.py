@@ -56,10 +56,11 @@ def score_unique_rate(spark, sf_dir):
     return rounded(s.unique_rate(s.criterion_clusters(matrix(spark, sf_dir), THRESHOLD)))
 
 
-@query(f"WITH {ST}, p AS (SELECT s.q, s.rollout, answer, avg(score) AS v FROM s JOIN d USING (q, rollout, crit) WHERE NOT is_gold AND (disc OR any_disc = 0) GROUP BY ALL) SELECT q, rollout, round(avg(v), 4) AS consensus FROM p GROUP BY ALL")
+@query(f"WITH {ST}, p AS (SELECT s.q, s.rollout, answer, avg(score) AS v FROM s JOIN d USING (q, rollout, crit) WHERE NOT is_gold AND (disc OR any_disc = 0) GROUP BY ALL) SELECT q, rollout, round(avg(v) + 1e-9, 4) AS consensus FROM p GROUP BY ALL")
 def score_consensus(spark, sf_dir):
+    """The 1e-9 keeps means that end in an exact half away from the rounding, which the order of their sums would decide."""
     m = matrix(spark, sf_dir)
-    return rounded(s.consensus(m, s.criterion_stats(m)))
+    return rounded(s.consensus(m, s.criterion_stats(m)).withColumn("consensus", F.col("consensus") + 1e-9))
 
 
 @query(f"WITH {ST} SELECT q, rollout, round(coalesce(avg(CASE WHEN n >= 2 THEN CASE WHEN std < 0.5 THEN 0 ELSE greatest(std - 0.5, 0) ** 1.5 END END), 0), 4) AS disc FROM st GROUP BY ALL")

@@ -1,8 +1,16 @@
 """Ties that the last bit of a sum would decide, and steps whose cost must not grow faster than their input."""
 
 from gradeloom.operators import monitoring
+from gradeloom.plans import scores as plans
 
 
 def test_composites_equal_but_for_the_last_bit_are_ties(spark):
     df = spark.createDataFrame([(1, 0.3), (2, 0.1 + 0.2), (3, 0.30001)], "step long, v double")
     assert {r["step"]: r["rank"] for r in monitoring.composite_ranking(df, {"v": 1.0}, "step").collect()} == {3: 1, 1: 2, 2: 3}
+
+
+def test_a_consensus_that_ends_in_a_half_is_rounded_up(spark, tmp_path):
+    # the mean is 3.82195, which the sum of doubles falls short of
+    rows = [(7, 3, 1, 0, 7.6228), (7, 3, 1, 1, 0.0211)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in plans.score_consensus(spark, str(tmp_path)).collect()] == [(7, 0, 3.822)]

@@ -33,11 +33,13 @@ def evaluation_pairs(rollouts: DataFrame, gold: DataFrame | None = None) -> Data
 def redundant_edges(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(q, rollout, a, b, rho): criterion pairs of a rollout whose scores over three common answers or more have a Spearman rho
     above the threshold. Constant ones have no correlation and no edge."""
-    s = scores.filter(F.col("score").isNotNull())
-    a = s.select("q", "rollout", "answer", F.col("crit").alias("a"), F.col("score").alias("x"))
-    b = s.select("q", "rollout", "answer", F.col("crit").alias("b"), F.col("score").alias("y"))
     by = ["q", "rollout", "a", "b"]
-    pairs = a.join(b, ["q", "rollout", "answer"]).filter("a < b")
+    marks = F.sort_array(F.collect_list(F.struct(F.col("crit").alias("c"), F.col("score").alias("s"))))
+    # the scores of an answer are gathered once and paired where they lie
+    answers = scores.dropna(subset=["q", "rollout", "answer", "crit", "score"]).groupBy("q", "rollout", "answer").agg(marks.alias("m"))
+    first = answers.filter(F.size("m") > 1).select("q", "rollout", "m", F.explode("m").alias("_a"))
+    pairs = first.select("q", "rollout", F.col("_a.c").alias("a"), F.col("_a.s").alias("x"), F.explode(F.filter("m", lambda e: e["c"] > F.col("_a.c"))).alias("_b"))
+    pairs = pairs.select("q", "rollout", "a", F.col("_b.c").alias("b"), "x", F.col("_b.s").alias("y"))
     ranked = pairs.select(*by, average_rank(by, "x").alias("rx"), average_rank(by, "y").alias("ry"))
     return ranked.groupBy(*by).agg(pearson("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 3) & (F.col("rho") > threshold)).drop("n")
 
@@ -45,26 +47,29 @@ def redundant_edges(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
 def linked_criteria(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(q, rollout, crit, rep) of criteria that are redundant with another; ``rep`` is the smallest one that is reached over edges.
 
-    A rollout has few criteria, so each is closed in one small group.
+    A rollout has few criteria, so its edges are closed as one list; a task takes many rollouts at a time.
     """
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while up.get(v, v) != v:
-                v = up[v]
-            return v
-
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            x, y = root(a), root(b)
-            up[max(x, y)] = min(x, y)
-        nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
-        return pd.DataFrame({"q": pdf["q"].iloc[0], "rollout": pdf["rollout"].iloc[0], "crit": nodes, "rep": [root(v) for v in nodes]})
-
-    t = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
-    edges = redundant_edges(scores, threshold)
-    return edges.groupBy("q", "rollout").applyInPandas(close, f"q {t['q']}, rollout {t['rollout']}, crit {t['crit']}, rep {t['crit']}")
+    kind = scores.schema["crit"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<crit: {kind}, rep: {kind}>>")
+    def close(edges: pd.Series) -> pd.Series:
+        out = []
+        for listed in edges:
+            up = {}
+
+            def root(v):
+                while up.setdefault(v, v) != v:
+                    v = up[v]
+                return v
+
+            for e in listed:
+                x, y = root(e["a"]), root(e["b"])
+                up[max(x, y)] = min(x, y)
+            out.append([{"crit": v, "rep": root(v)} for v in sorted(up)])
+        return pd.Series(out, dtype=object)
+
+    edges = redundant_edges(scores, threshold).groupBy("q", "rollout").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    return edges.select("q", "rollout", F.inline(close("edges")))
 
 
 def criterion_clusters(scores: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -1,6 +1,6 @@
 """Ties that the last bit of a sum would decide, and steps whose cost must not grow faster than their input."""
 
-from gradeloom.operators import monitoring
+from gradeloom.operators import monitoring, scores
 from gradeloom.plans import scores as plans
 
 
@@ -14,3 +14,16 @@ def test_a_consensus_that_ends_in_a_half_is_rounded_up(spark, tmp_path):
     rows = [(7, 3, 1, 0, 7.6228), (7, 3, 1, 1, 0.0211)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in plans.score_consensus(spark, str(tmp_path)).collect()] == [(7, 0, 3.822)]
+
+
+def test_rollouts_are_closed_many_at_a_time(spark):
+    # criteria 1, 2, 4 rise and 3, 5 fall with the answer; 6 has no score that is shared with enough others
+    rise, fall = [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.0]
+    rows = [(q, 0, c, k, v) for q in range(300) for c, values in ((4, rise), (1, rise), (3, fall), (2, rise), (5, fall), (6, rise[:2])) for k, v in enumerate(values)]
+    rows += [(None, 0, 1, 0, 1.0), (0, 0, 7, 0, None), (0, 0, None, 0, 2.0)]
+    linked = scores.linked_criteria(spark.createDataFrame(rows, "q long, rollout int, crit int, answer long, score double"))
+    assert "FlatMapGroupsInPandas" not in linked._jdf.queryExecution().toString()
+    assert linked.dtypes == [("q", "bigint"), ("rollout", "int"), ("crit", "int"), ("rep", "int")]
+    want = {(q, 0, c, r) for q in range(300) for c, r in ((1, 1), (2, 1), (4, 1), (3, 3), (5, 3))}
+    got = [tuple(r) for r in linked.collect()]
+    assert len(got) == len(want) and set(got) == want

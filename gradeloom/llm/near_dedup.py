@@ -248,11 +248,26 @@ def keep_one(docs: DataFrame, found: DataFrame, *, key: str = "doc_id") -> DataF
     return once.unionByName(left.join(again, F.col(key) == F.col(again_id), "left_semi").withColumn(place, first).filter(F.col(place) == 1).drop(place))
 
 
+def _cells(placed: DataFrame) -> DataFrame:
+    """(node, component, block, i, j): the cells that each row of (bucket, node, component, block) goes to.
+
+    A bucket lists its blocks in one row, so a class meets a list in each of its buckets and the lists are united before they are dealt out. A block whose classes
+    in the bucket are all of the class's own component has nothing to be compared with it and is passed over.
+    """
+    held = placed.groupBy("bucket", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    touched = materialize(held.groupBy("bucket").agg(F.collect_list(F.struct("block", "least", "most")).alias("held")), "touched")
+    foreign = F.filter("held", lambda h: (h["least"] != F.col("component")) | (h["most"] != F.col("component")))
+    met = placed.join(broadcast_if_small(touched), "bucket").select("node", "component", "block", F.array_sort(F.transform(foreign, lambda h: h["block"])).alias("others"))
+    united = met.groupBy("node", "component", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    dealt = united.select("node", "component", "block", F.explode("others").alias("other"))
+    return dealt.select("node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b), one at most for each two components of a cell, of classes of different components that reach the threshold.
 
     From (bucket, node, n, members, component). A class belongs to the fullest of its buckets, which is cut into blocks of about BLOCK classes and
-    BLOCK_SHINGLES shingles at most. Two blocks have a cell if a bucket reaches into both, and only classes of such buckets are sent there. So every two
+    BLOCK_SHINGLES shingles at most. Two blocks have a cell if a bucket reaches into both, and only classes of such buckets are sent there, if a class of another component awaits them. So every two
     classes of a bucket meet, in one cell alone; no task grows with a bucket (a single text is always whole), and buckets that are merely
     chained by common classes are never multiplied with each other.
     """
@@ -301,8 +316,7 @@ def _in_blocks(large: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     block = F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts"))
     blocks = materialize(home.join(parts, "home").select("node", block.alias("block")), "blocks")
     placed = materialize(large.join(broadcast_if_small(blocks), "node").select("bucket", "node", "component", "block"), "placed")
-    touched = broadcast_if_small(materialize(placed.select("bucket", F.col("block").alias("other")).distinct(), "touched"))
-    sent = placed.join(touched, "bucket").select("node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
+    sent = _cells(placed)
     sets = texts.join(broadcast_if_small(blocks.select("node")), F.col("id") == F.col("node"), "left_semi")
     sets = sets.select("id", "text").distinct().mapInArrow(emit, "node long, shingles array<long>")
     return sets.join(sent, "node").groupBy("i", "j").applyInPandas(cell, "a long, b long")

@@ -1,5 +1,9 @@
 """Ties that the last bit of a sum would decide, and steps whose cost must not grow faster than their input."""
 
+import random
+
+import pytest
+
 from gradeloom.operators import monitoring, scores
 from gradeloom.plans import scores as plans
 
@@ -27,3 +31,15 @@ def test_rollouts_are_closed_many_at_a_time(spark):
     want = {(q, 0, c, r) for q in range(300) for c, r in ((1, 1), (2, 1), (4, 1), (3, 3), (5, 3))}
     got = [tuple(r) for r in linked.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_class_meets_each_bucket_once_on_its_way_to_the_cells(spark):
+    near_dedup = pytest.importorskip("gradeloom.llm.near_dedup")
+    rng = random.Random(5)
+    block, component = {n: rng.randrange(12) for n in range(90)}, {n: min(n, rng.choice([3, 50, n])) for n in range(90)}
+    held = {b: [n for n in range(90) if (n * 7 + b) % 3 or b > 8] for b in range(12)}
+    rows = [(b, n, component[n], block[n]) for b, nodes in held.items() for n in nodes] + [(99, n, 3, block[n]) for n in block if component[n] == 3]
+    got = near_dedup._cells(spark.createDataFrame(rows, "bucket long, node long, component long, block long"))
+    cells = {tuple(r) for r in got.select("node", "i", "j").collect()}
+    pairs = {(a, b) for nodes in held.values() for a in nodes for b in nodes if component[a] != component[b]}
+    assert cells == {(a, min(block[a], block[b]), max(block[a], block[b])) for a, b in pairs} and got.count() == len(cells)

@@ -55,6 +55,14 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], bucket: Column, ou
     return (placed.withColumn(total, F.col("_total")) if total else placed).drop("_bucket", "_b", "_inside", "_before", "_total")
 
 
+def first_rows(df: DataFrame, order: Sequence[Column | str], bucket: Column, k: int) -> DataFrame:
+    """The first ``k`` rows in the order. Only buckets that begin before place ``k`` are dealt out and sorted, each by itself."""
+    marked, before = _before(df, bucket, F.lit(1))
+    near = marked.join(F.broadcast(before.filter(F.col("_before") < k)), F.col("_bucket").eqNullSafe(F.col("_b")))
+    placed = near.withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return placed.filter(F.col("_place") <= k).drop("_bucket", "_b", "_before", "_total", "_place")
+
+
 def running_sum(df: DataFrame, value: str, order: Sequence[Column | str], bucket: Column, out: str, total: str) -> DataFrame:
     """``out``: sum of ``value`` up to and with each row, and ``total``: the sum of all."""
     marked, before = _before(df, bucket, F.col(value))

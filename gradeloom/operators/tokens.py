@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.operators.order import first_rows, range_bucket
+
 SAFETY_BOUND = 20.0
 
 
@@ -288,10 +290,13 @@ def place_score(df: DataFrame, score: str, where: str = "last") -> DataFrame:
 def top_covariance(df: DataFrame, share: float) -> DataFrame:
     """The ``share`` of counted tokens (one at least) with the largest (advantage - mean) (log-prob - mean): (sample_id, pos, cov)."""
     counted = df.filter("mask <> 0")
-    means = counted.agg(F.avg("advantage").alias("_a"), F.avg("old_logp").alias("_l"), F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1)).alias("_k"))
-    k = means.first()["_k"]
-    cov = counted.crossJoin(F.broadcast(means)).select("sample_id", "pos", ((F.col("advantage") - F.col("_a")) * (F.col("old_logp") - F.col("_l"))).alias("cov"))
-    return cov.orderBy(F.desc(F.round("cov", 9)), "sample_id", "pos").limit(int(k or 1))
+    means = counted.agg(F.avg("advantage").alias("_a"), F.avg("old_logp").alias("_l"), F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(1)).alias("_k")).first()
+    cov = counted.select("sample_id", "pos", ((F.col("advantage") - F.lit(means["_a"])) * (F.col("old_logp") - F.lit(means["_l"]))).alias("cov"))
+    # NaN first and null last, as in a descending order
+    kind = F.when(F.col("cov").isNull(), 2).when(F.isnan("cov"), 0).otherwise(1)
+    order = [kind, F.when(kind == 1, -F.round("cov", 9)), F.col("sample_id")]
+    # buckets go without ``pos``, so that a place that is worked out is worked out for the last step alone
+    return first_rows(cov, [*order, "pos"], range_bucket(cov, order), int(means["_k"]))
 
 
 def covariance_band(df: DataFrame, low: float, high: float, n: int, seed: int = 1) -> DataFrame:

@@ -1,10 +1,15 @@
 """Ties that the last bit of a sum would decide, and steps whose cost must not grow faster than their input."""
 
 import random
+import sys
+import threading
+import time
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from gradeloom.operators import monitoring, scores
+from gradeloom.operators import monitoring, plugins, scores, tokens
 from gradeloom.plans import scores as plans
 
 
@@ -43,3 +48,47 @@ def test_a_class_meets_each_bucket_once_on_its_way_to_the_cells(spark):
     cells = {tuple(r) for r in got.select("node", "i", "j").collect()}
     pairs = {(a, b) for nodes in held.values() for a in nodes for b in nodes if component[a] != component[b]}
     assert cells == {(a, min(block[a], block[b]), max(block[a], block[b])) for a, b in pairs} and got.count() == len(cells)
+
+
+def test_rows_of_a_batch_share_a_worker_thread():
+    names = set()
+
+    def score(row):
+        names.add(threading.get_ident())
+        if row["k"] == 3:
+            time.sleep(1.5)
+        if row["k"] == 5:
+            raise ValueError
+        return {7: None, 8: float("nan")}.get(row["k"], row["k"])
+
+    batches = [pd.DataFrame({"k": range(lo, lo + 500)}) for lo in (0, 500)]
+    got = pd.concat(plugins.safe_scorer(score, 0.4)(iter(batches)))
+    assert list(got["score"]) == [0.0 if k in (3, 5, 7, 8) else float(k) for k in range(1000)]
+    with pytest.raises(SystemExit):
+        list(plugins.safe_scorer(lambda row: sys.exit(1), 5.0)(iter(batches)))
+    started = []
+    thread = threading.Thread
+    plugins.threading.Thread, kept = (lambda **k: started.append(1) or thread(**k)), thread
+    try:
+        list(plugins.safe_scorer(lambda row: 1.0, 5.0)(iter(batches)))
+    finally:
+        plugins.threading.Thread = kept
+    assert len(started) == 2
+
+
+def test_top_covariance_sorts_no_more_than_a_bucket_in_a_task(spark):
+    rng = random.Random(3)
+    rows = [(k // 9, k % 9, int(k % 4 > 0), rng.choice([0.25, 0.5, 1.0, 3.0]), rng.choice([-1.0, 0.5, 2.0])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "sample_id long, pos int, mask int, advantage double, old_logp double")
+    for share in (0.0001, 0.02, 0.6, 1.0):
+        got = tokens.top_covariance(df, share)
+        plan = got._jdf.queryExecution().toString()
+        assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+        counted = [r for r in rows if r[2]]
+        a, b = (sum(r[i] for r in counted) / len(counted) for i in (3, 4))
+        first = sorted(counted, key=lambda r: (-round((r[3] - a) * (r[4] - b), 9), r[0], r[1]))[: max(1, int(len(counted) * share))]
+        found = {(r["sample_id"], r["pos"]) for r in got.collect()}
+        assert found == {r[:2] for r in first}
+    assert tokens.top_covariance(df.limit(0), 0.02).count() == 0
+    null = df.limit(3).withColumn("advantage", F.when(F.col("pos") == 1, F.lit(None)).otherwise(F.col("advantage"))).withColumn("mask", F.lit(1))
+    assert [r["cov"] for r in tokens.top_covariance(null, 1.0).orderBy(F.col("cov").desc_nulls_last()).collect()][2] is None

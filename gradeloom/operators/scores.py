@@ -107,6 +107,11 @@ def _gold_gap() -> Column:
     return F.when(F.col("n") > 0, F.col("gold") - F.col("mean"))
 
 
+def _discriminates(floor: float) -> Column:
+    """The std is taken at nine places, for the order of its sums decides the last bit of one that is the floor itself."""
+    return (F.col("n") >= 2) & (F.round("std", 9) >= floor)
+
+
 def _at_an_end() -> Column:
     return ((F.col("score") <= 0.5) | (F.col("score") >= 9.5)).cast("double")
 
@@ -114,7 +119,7 @@ def _at_an_end() -> Column:
 def criterion_stats(scores: DataFrame, floor: float = REWARD["disc_floor"]) -> DataFrame:
     """(q, rollout, crit, n, std, gold, mean): solver answers' number, population std and mean, the gold score; ``discriminative``."""
     stats = scores.groupBy("q", "rollout", "crit").agg(*[value.alias(name) for name, value in _criterion_values().items()])
-    return stats.withColumn("discriminative", (F.col("n") >= 2) & (F.col("std") >= floor))
+    return stats.withColumn("discriminative", _discriminates(floor))
 
 
 def consensus(scores: DataFrame, stats: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def reward_parts(scores: DataFrame, gold_factor: float = 1.0, c: Mapping[str, fl
     rollout, crit = Window.partitionBy("q", "rollout"), Window.partitionBy("q", "rollout", "crit")
     rows = scores.select("q", "rollout", "crit", "answer", "is_gold", "score").repartition("q", "rollout")
     rows = rows.select("*", *[value.over(crit).alias(name) for name, value in _criterion_values().items()], F.row_number().over(crit.orderBy("is_gold", "answer")).alias("_row"))
-    rows = rows.withColumn("discriminative", (F.col("n") >= 2) & (F.col("std") >= c["disc_floor"])).withColumn("_any", F.max("discriminative").over(rollout))
+    rows = rows.withColumn("discriminative", _discriminates(c["disc_floor"])).withColumn("_any", F.max("discriminative").over(rollout))
     used = F.when(~F.col("is_gold") & (F.col("discriminative") | ~F.col("_any")), F.col("score"))
     # a criterion counts once, in its first row
     spread, gap = (F.when(F.col("_row") == 1, value) for value in (_spread(c["disc_floor"], c["disc_power"]), _gold_gap()))

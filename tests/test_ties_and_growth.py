@@ -25,6 +25,16 @@ def test_a_consensus_that_ends_in_a_half_is_rounded_up(spark, tmp_path):
     assert [tuple(r) for r in plans.score_consensus(spark, str(tmp_path)).collect()] == [(7, 0, 3.822)]
 
 
+def test_a_std_that_is_the_floor_but_for_the_last_bit_discriminates(spark, tmp_path):
+    # criterion 1 has 23/3 and 26/3, whose std comes out below 0.5 in any order of their sums
+    rows = [(7, 3, c, a, v) for c, values in ((1, (23 / 3, 26 / 3)), (2, (1.0, 9.0))) for a, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_orderkey long, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in plans.score_consensus(spark, str(tmp_path)).collect()] == [(7, 0, 6.5833)]
+    long = df.selectExpr("l_suppkey q", "0 rollout", "l_linenumber crit", "l_orderkey answer", "false is_gold", "l_quantity score")
+    assert abs(scores.reward_parts(long).first()["consensus"] - 79 / 12) < 1e-9
+
+
 def test_rollouts_are_closed_many_at_a_time(spark):
     # criteria 1, 2, 4 rise and 3, 5 fall with the answer; 6 has no score that is shared with enough others
     rise, fall = [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.0]

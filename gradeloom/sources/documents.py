@@ -48,10 +48,13 @@ class Pieces(InputPartition):
     pieces: list[tuple[str, int, int]]
 
 
-def packed(pieces: list[tuple[str, int, int]]) -> list[Pieces]:
-    tasks, size = [], TASK_BYTES
+def packed(pieces: list[tuple[str, int, int]], cores: int = 1) -> list[Pieces]:
+    """Pieces by tasks: of ``TASK_BYTES``, or of a core's share where that is less."""
+    share = sum(end - start + OPEN_COST for _, start, end in pieces) // cores
+    most = min(TASK_BYTES, max(share, OPEN_COST))
+    tasks, size = [], most
     for piece in pieces:
-        if size >= TASK_BYTES:
+        if size >= most:
             tasks.append(Pieces([]))
             size = 0
         tasks[-1].pieces.append(piece)
@@ -177,10 +180,10 @@ def batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 class _LineReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options.get("bytes", RANGE_BYTES))
+        self.path, self.size, self.cores = options["path"], int(options.get("bytes", RANGE_BYTES)), int(options.get("cores", 1))
 
     def partitions(self) -> list[InputPartition]:
-        return packed([(name, start, min(start + cut, size)) for name, size in files_below(self.path) for cut in [size if name.endswith(PACKED) else self.size] for start in range(0, size, max(cut, 1))])
+        return packed([(name, start, min(start + cut, size)) for name, size in files_below(self.path) for cut in [size if name.endswith(PACKED) else self.size] for start in range(0, size, max(cut, 1))], self.cores)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = store(self.path)
@@ -196,7 +199,7 @@ class _LineReader(DataSourceReader):
 
 
 class LogLines(DataSource):
-    """(path, start, i, line): lines of text files, ``i`` from 0 in the range that begins at byte ``start``. Option ``bytes``: of a range."""
+    """(path, start, i, line): lines of text files, ``i`` from 0 in the range that begins at byte ``start``. Options ``bytes``: of a range, ``cores``: to be kept busy."""
 
     @classmethod
     def name(cls) -> str:
@@ -211,10 +214,10 @@ class LogLines(DataSource):
 
 class _ElementReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.part = options["path"], options.get("part", "")
+        self.path, self.part, self.cores = options["path"], options.get("part", ""), int(options.get("cores", 1))
 
     def partitions(self) -> list[InputPartition]:
-        return packed([(name, 0, size) for name, size in files_below(self.path)])
+        return packed([(name, 0, size) for name, size in files_below(self.path)], self.cores)
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _ = store(self.path)
@@ -232,7 +235,7 @@ class _ElementReader(DataSourceReader):
 
 
 class JsonElements(DataSource):
-    """(path, i, name, json): what ``Elements`` gives of each file. Option ``part``, as there."""
+    """(path, i, name, json): what ``Elements`` gives of each file. Options ``part``, as there, and ``cores``: to be kept busy."""
 
     @classmethod
     def name(cls) -> str:
@@ -247,9 +250,9 @@ class JsonElements(DataSource):
 
 def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(LogLines)
-    return spark.read.format(LogLines.name()).option("bytes", range_bytes).load(path)
+    return spark.read.format(LogLines.name()).option("bytes", range_bytes).option("cores", spark.sparkContext.defaultParallelism).load(path)
 
 
 def read_elements(spark: SparkSession, path: str, part: str = "") -> DataFrame:
     spark.dataSource.register(JsonElements)
-    return spark.read.format(JsonElements.name()).option("part", part).load(path)
+    return spark.read.format(JsonElements.name()).option("part", part).option("cores", spark.sparkContext.defaultParallelism).load(path)

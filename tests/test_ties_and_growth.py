@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import monitoring, plugins, scores, tokens
+from gradeloom.plans import roundtrips
 from gradeloom.plans import scores as plans
+from gradeloom.sources import documents
 
 
 def test_composites_equal_but_for_the_last_bit_are_ties(spark):
@@ -102,3 +104,16 @@ def test_top_covariance_sorts_no_more_than_a_bucket_in_a_task(spark):
     assert tokens.top_covariance(df.limit(0), 0.02).count() == 0
     null = df.limit(3).withColumn("advantage", F.when(F.col("pos") == 1, F.lit(None)).otherwise(F.col("advantage"))).withColumn("mask", F.lit(1))
     assert [r["cov"] for r in tokens.top_covariance(null, 1.0).orderBy(F.col("cov").desc_nulls_last()).collect()][2] is None
+
+
+def test_documents_lie_in_one_folder_and_keep_all_cores_busy(spark, tmp_path):
+    # 60 keys of five rows
+    df = spark.range(300).select((F.col("id") % 60).alias("k"), "id").repartition(7)
+    roundtrips.one_file_each(df, "k", F.to_json(F.collect_list("id")), f"{tmp_path}/d")
+    files = documents.files_below(f"{tmp_path}/d")
+    assert len(files) == 60 and {name.rpartition("/")[0] for name, _ in files} == {f"{tmp_path}/d"}
+    read = documents.read_elements(spark, f"{tmp_path}/d")
+    assert sorted(int(r["json"]) for r in read.collect()) == list(range(300)) and read.rdd.getNumPartitions() == 4
+    pieces = [(f"f{k}", 0, 1 << 20) for k in range(1000)]
+    assert len(documents.packed(pieces, 8)) == len(documents.packed(pieces)) == 39
+    assert [p for task in documents.packed(pieces[:10], 4) for p in task.pieces] == pieces[:10] and documents.packed([], 4) == []

@@ -1,13 +1,13 @@
 """Score matrices with their holes filled: overall mean, row and column biases, and a low-rank rest by alternating ridge regression.
 
-A small matrix is filled in one group by numpy. A large one never meets in one place: each half of a step is a join of the observed cells with the factors of
+Small matrices are filled by numpy, as many at a time as a batch of rows holds. A large one never meets in one place: each half of a step is a join of the observed cells with the factors of
 one side and sums of a few numbers for each row of the other side, and a batch of small systems is solved from these sums. Both ways start from the same
 factors, which a hash of the column gives, and stop by the same rule, so they agree up to rounding.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIAS_ROUNDS = 10
-#: Cells of the filled matrix that one group may hold; larger matrices are filled by aggregates.
+#: Cells that are filled at a time, so those of the largest matrix that numpy fills; larger matrices are filled by aggregates.
 MAX_CELLS = 1_000_000
 #: Rows of a large matrix that are filled with all its columns in one group.
 ROW_BLOCK = 1024
@@ -28,27 +28,39 @@ def complete_matrix(observed: np.ndarray, mask: np.ndarray, rank: int = 2, itera
     ``start`` has the first factors of the columns (columns x rank), small and not all alike; a seed gives them where it is missing. Steps end where no column's factor
     moves by ``tol`` or more. The fit may end in a local minimum that depends on the start.
     """
-    if not mask.any():
-        return np.full(observed.shape, 5.0)
-    mean = observed[mask].mean()
-    rows, cols = np.zeros(observed.shape[0]), np.zeros(observed.shape[1])
-    n_rows, n_cols = mask.sum(axis=1), mask.sum(axis=0)
+    v = np.random.default_rng(0).normal(0, 0.1, (sum(observed.shape), rank))[observed.shape[0] :] if start is None else start
+    return complete_matrices(observed[None], mask[None], v[None], iterations, reg, tol)[0]
+
+
+def complete_matrices(observed: np.ndarray, mask: np.ndarray, start: np.ndarray, iterations: int = 50, reg: float = 0.1, tol: float = 1e-5) -> np.ndarray:
+    """``complete_matrix`` of many matrices of one shape (matrices x rows x columns). Each stops at its own step."""
+    n_rows, n_cols, n = mask.sum(axis=2), mask.sum(axis=1), mask.sum(axis=(1, 2))
+    total = np.where(mask, observed, 0.0).sum(axis=(1, 2))
+    mean = np.where(n > 0, total / np.maximum(n, 1), 5.0)[:, None, None]
+    cols = np.zeros(n_cols.shape)
     for _ in range(BIAS_ROUNDS):
-        rest = np.where(mask, observed - mean - cols, 0.0)
-        rows = rest.sum(axis=1) / (n_rows + reg)
-        rest = np.where(mask, observed - mean - rows[:, None], 0.0)
-        cols = rest.sum(axis=0) / (n_cols + reg)
-    base = mean + rows[:, None] + cols
+        rows = np.where(mask, observed - mean - cols[:, None, :], 0.0).sum(axis=2) / (n_rows + reg)
+        cols = np.where(mask, observed - mean - rows[:, :, None], 0.0).sum(axis=1) / (n_cols + reg)
+    base = mean + rows[:, :, None] + cols[:, None, :]
     rest = np.where(mask, observed - base, 0.0)
-    v = np.random.default_rng(0).normal(0, 0.1, (sum(observed.shape), rank))[observed.shape[0] :] if start is None else start
-    weight, eye = mask.astype(float), reg * np.eye(rank)
+    rank = start.shape[2]
+    u, v = np.zeros((*n_rows.shape, rank)), start.copy()
+
+    def fit(weight: np.ndarray, rest: np.ndarray, f: np.ndarray) -> np.ndarray:
+        gram = (weight @ (f[..., :, None] * f[..., None, :]).reshape(*f.shape[:2], -1)).reshape(*weight.shape[:2], rank, rank)
+        return np.linalg.solve(gram + reg * np.eye(rank), (rest @ f)[..., None])[..., 0]
+
+    going, w, r = np.arange(len(mask)), mask.astype(float), rest
     for _ in range(iterations):
-        was = v
-        u = np.linalg.solve(np.einsum("ij,jk,jl->ikl", weight, v, v) + eye, (rest @ v)[..., None])[..., 0]
-        v = np.linalg.solve(np.einsum("ij,ik,il->jkl", weight, u, u) + eye, (rest.T @ u)[..., None])[..., 0]
-        if np.abs(v - was).max() < tol:
+        was = v[going]
+        u[going] = x = fit(w, r, was)
+        v[going] = y = fit(w.transpose(0, 2, 1), r.transpose(0, 2, 1), x)
+        moved = ~(np.abs(y - was).max(axis=(1, 2)) < tol)
+        if not moved.any():
             break
-    return np.where(mask, observed, np.clip(base + u @ v.T, 0.0, 10.0))
+        if not moved.all():
+            going, w, r = going[moved], w[moved], r[moved]
+    return np.where(mask, observed, np.clip(base + u @ v.transpose(0, 2, 1), 0.0, 10.0))
 
 
 def _start(key: str, rank: int) -> Column:
@@ -56,17 +68,62 @@ def _start(key: str, rank: int) -> Column:
     return F.array(*[F.xxhash64(F.col(key), F.lit(k)) / F.lit(2.0**63) * F.lit(0.1 * 3**0.5) for k in range(rank)])
 
 
-def _in_groups(cells: DataFrame, rank: int, iterations: int, reg: float, tol: float) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="row", columns="col", values="score")
-        start = np.stack(pdf.drop_duplicates("col").set_index("col")["start"].loc[wide.columns].to_list())
-        mask = wide.notna().to_numpy()
-        filled = complete_matrix(wide.fillna(0.0).to_numpy(), mask, rank, iterations, reg, tol, start)
-        out = pd.DataFrame({"q": pdf["q"].iloc[0], "row": np.repeat(wide.index.to_numpy(), wide.shape[1]), "col": np.tile(wide.columns.to_numpy(), wide.shape[0])})
-        return out.assign(score=filled.reshape(-1), observed=mask.reshape(-1))
+def _places(owner: np.ndarray, key: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell the place of its key among those of its matrix; for each matrix the number of keys, and where they begin in the last: a cell of each key."""
+    codes = pd.factorize(key, sort=True)[0].astype(np.int64)
+    width = codes.max() + 1
+    keys, first, place = np.unique(owner * width + codes, return_index=True, return_inverse=True)
+    n = np.bincount(keys // width)
+    begin = np.cumsum(n) - n
+    return place - begin[owner], n, begin, first
+
+
+def _begins(pdf: pd.DataFrame) -> np.ndarray:
+    """The rows of a table sorted by q where a matrix begins."""
+    q = pdf["q"].to_numpy()
+    return np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+
+
+def _filled(pdf: pd.DataFrame, rank: int, iterations: int, reg: float, tol: float) -> Iterator[pd.DataFrame]:
+    """All cells of the whole matrices of a table sorted by q. Those of one shape are filled together."""
+    begins = _begins(pdf)
+    owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(pdf))))
+    row, n_rows, row_begin, row_cell = _places(owner, pdf["row"])
+    col, n_cols, col_begin, col_cell = _places(owner, pdf["col"])
+    score, start = pdf["score"].to_numpy(), pdf[[f"start{k}" for k in range(rank)]].to_numpy()
+    for m, n in np.unique(np.stack([n_rows, n_cols], axis=1), axis=0):
+        alike, step = np.flatnonzero((n_rows == m) & (n_cols == n)), max(1, MAX_CELLS // (m * n))
+        for some in (alike[k : k + step] for k in range(0, len(alike), step)):
+            at = np.full(len(begins), -1)
+            at[some] = np.arange(len(some))
+            cells = np.flatnonzero(at[owner] >= 0)
+            b, i, j = at[owner[cells]], row[cells], col[cells]
+            observed, mask, v = np.zeros((len(some), m, n)), np.zeros((len(some), m, n), bool), np.zeros((len(some), n, rank))
+            observed[b, i, j], mask[b, i, j], v[b, j] = score[cells], True, start[cells]
+            filled = complete_matrices(observed, mask, v, iterations, reg, tol)
+            rows, cols = row_cell[row_begin[some][:, None] + np.arange(m)], col_cell[col_begin[some][:, None] + np.arange(n)]
+            labels = {"q": np.repeat(begins[some], m * n), "row": np.repeat(rows.ravel(), n), "col": np.repeat(cols, m, axis=0).ravel()}
+            out = pd.DataFrame({name: pdf[name].take(found).array for name, found in labels.items()})
+            yield out.assign(score=filled.ravel(), observed=mask.ravel())
+
+
+def _by_batches(cells: DataFrame, rank: int, iterations: int, reg: float, tol: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last matrix may go on in the next batch
+        for batch in batches:
+            if batch.empty:
+                continue
+            pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = _begins(pdf)[-1]
+            held = pdf.iloc[last:]
+            if last:
+                yield from _filled(pdf.iloc[:last], rank, iterations, reg, tol)
+        if held is not None:
+            yield from _filled(held, rank, iterations, reg, tol)
 
     t = dict(cells.dtypes)
-    return cells.withColumn("start", _start("col", rank)).groupBy("q").applyInPandas(run, f"q {t['q']}, row {t['row']}, col {t['col']}, score double, observed boolean")
+    cells = cells.select("*", *[_start("col", rank)[k].alias(f"start{k}") for k in range(rank)])
+    return cells.repartition("q").sortWithinPartitions("q").mapInPandas(run, f"q {t['q']}, row {t['row']}, col {t['col']}, score double, observed boolean")
 
 
 def _solver(rank: int, reg: float) -> Callable[[Column], Column]:
@@ -141,7 +198,7 @@ def complete_scores(df: DataFrame, path: str, rank: int = 2, iterations: int = 5
     """(q, row, col, score, observed) with every cell of each question's matrix, as ``complete_matrix`` fills it.
 
     Repeated cells count with their mean; rows with a null question, row, column or score are left out, and a row, column or question with no other isn't in the result. An empty table stays
-    empty. Matrices of up to about ``max_cells`` cells are filled in a group each, larger ones by aggregates, which leave their steps' tables in ``path``, a new
+    empty. Matrices of up to about ``max_cells`` cells are filled many at a time, larger ones by aggregates, which leave their steps' tables in ``path``, a new
     folder that all executors share. Which way a matrix goes changes no result but for rounding.
     """
     cells = df.select("q", "row", "col", F.col("score").cast("double").alias("score")).dropna()
@@ -150,7 +207,7 @@ def complete_scores(df: DataFrame, path: str, rank: int = 2, iterations: int = 5
     large = df.dropna(subset=["q", "row", "col", "score"]).groupBy("q").agg(size.alias("size")).filter(F.col("size") > max_cells).select("q")
     large.write.parquet(f"{path}/large")
     large = df.sparkSession.read.schema(large.schema).parquet(f"{path}/large")
-    small = _in_groups(cells.join(large, "q", "left_anti"), rank, iterations, reg, tol)
+    small = _by_batches(cells.join(large, "q", "left_anti"), rank, iterations, reg, tol)
     if large.isEmpty():
         return small
     return small.unionByName(_by_aggregates(cells.join(large, "q", "left_semi"), rank, iterations, reg, tol, path))

@@ -47,3 +47,28 @@ def test_rows_of_a_large_matrix_fall_in_blocks(spark, tmp_path, monkeypatch):
     out = completion.complete_scores(df, str(tmp_path / "q"), iterations=2, max_cells=0)
     assert out.count() == df.select("row").distinct().count() * df.select("col").distinct().count()
     assert out.groupBy("row", "col").count().agg(F.max("count")).first()[0] == 1
+
+
+def test_matrices_of_a_batch_are_filled_together_as_each_by_itself(spark, tmp_path):
+    # numbers that are alike as doubles, shapes of all kinds, matrices that stop at steps of their own, and batches that end inside a matrix
+    base, cells = 1 << 60, []
+    for k in range(40):
+        cells += [(base + k, *c[1:]) for c in _cells("x", (2 + k % 5, 1 + k % 4), 0.8 if k % 3 else 1.0, k)]
+    df = spark.createDataFrame(cells, "q long, row int, col string, score double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = completion.complete_scores(df, str(tmp_path / "q"))
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = _table(out)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    starts = {r["col"]: r["s"] for r in df.select("col", completion._start("col", 2).alias("s")).distinct().collect()}
+    want = {}
+    for q in {c[0] for c in cells}:
+        seen = {c[1:3]: c[3] for c in cells if c[0] == q}
+        rows, cols = sorted({i for i, _ in seen}), sorted({j for _, j in seen})
+        mask = np.array([[(i, j) in seen for j in cols] for i in rows])
+        full = completion.complete_matrix(np.array([[seen.get((i, j), 0.0) for j in cols] for i in rows]), mask, start=np.array([starts[j] for j in cols]))
+        want |= {(q, i, j): (full[a, b], mask[a, b]) for a, i in enumerate(rows) for b, j in enumerate(cols)}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in got)

@@ -7,6 +7,7 @@ factors, which a hash of the column gives, and stop by the same rule, so they ag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -63,6 +64,11 @@ def complete_matrices(observed: np.ndarray, mask: np.ndarray, start: np.ndarray,
     return np.where(mask, observed, np.clip(base + u @ v.transpose(0, 2, 1), 0.0, 10.0))
 
 
+def _kept(df: DataFrame, where: str) -> DataFrame:
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def _start(key: str, rank: int) -> Column:
     """First factors of a column: even in +-0.17, so of deviation 0.1."""
     return F.array(*[F.xxhash64(F.col(key), F.lit(k)) / F.lit(2.0**63) * F.lit(0.1 * 3**0.5) for k in range(rank)])
@@ -142,12 +148,10 @@ def _solver(rank: int, reg: float) -> Callable[[Column], Column]:
 
 
 def _by_aggregates(cells: DataFrame, rank: int, iterations: int, reg: float, tol: float, path: str) -> DataFrame:
-    spark, names = cells.sparkSession, (f"{k:05d}" for k in range(1 << 20))
+    names = (f"{k:05d}" for k in range(1 << 20))
 
     def kept(df: DataFrame, label: str) -> DataFrame:
-        where = f"{path}/{next(names)}-{label}"
-        df.write.parquet(where)
-        return spark.read.schema(df.schema).parquet(where)
+        return _kept(df, f"{path}/{next(names)}-{label}")
 
     means = cells.groupBy("q").agg(F.avg("score").alias("mean"))
     cells = kept(cells.join(means, "q").withColumn("rest", F.col("score") - F.col("mean")), "cells")
@@ -198,15 +202,19 @@ def complete_scores(df: DataFrame, path: str, rank: int = 2, iterations: int = 5
     """(q, row, col, score, observed) with every cell of each question's matrix, as ``complete_matrix`` fills it.
 
     Repeated cells count with their mean; rows with a null question, row, column or score are left out, and a row, column or question with no other isn't in the result. An empty table stays
-    empty. Matrices of up to about ``max_cells`` cells are filled many at a time, larger ones by aggregates, which leave their steps' tables in ``path``, a new
-    folder that all executors share. Which way a matrix goes changes no result but for rounding.
+    empty. Matrices of up to about ``max_cells`` cells are filled many at a time, larger ones by aggregates. The cells, the names of large matrices and the aggregates' steps are left in
+    ``path``, a new folder that all executors share; ``df`` is read once. Which way a matrix goes changes no result but for rounding.
     """
     cells = df.select("q", "row", "col", F.col("score").cast("double").alias("score")).dropna()
-    cells = cells.groupBy("q", "row", "col").agg(F.avg("score").alias("score"))
+    cells = _kept(cells.groupBy("q", "row", "col").agg(F.avg("score").alias("score")), f"{path}/cells")
+    # n cells have at most n rows and n columns
+    many = cells.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > math.isqrt(max_cells)).select("q")
+    many = _kept(many, f"{path}/many")
+    if many.isEmpty():
+        return _by_batches(cells, rank, iterations, reg, tol)
     size = F.approx_count_distinct("row") * F.approx_count_distinct("col")
-    large = df.dropna(subset=["q", "row", "col", "score"]).groupBy("q").agg(size.alias("size")).filter(F.col("size") > max_cells).select("q")
-    large.write.parquet(f"{path}/large")
-    large = df.sparkSession.read.schema(large.schema).parquet(f"{path}/large")
+    large = cells.join(many, "q", "left_semi").groupBy("q").agg(size.alias("size")).filter(F.col("size") > max_cells).select("q")
+    large = _kept(large, f"{path}/large")
     small = _by_batches(cells.join(large, "q", "left_anti"), rank, iterations, reg, tol)
     if large.isEmpty():
         return small

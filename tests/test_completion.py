@@ -72,3 +72,18 @@ def test_matrices_of_a_batch_are_filled_together_as_each_by_itself(spark, tmp_pa
         want |= {(q, i, j): (full[a, b], mask[a, b]) for a, i in enumerate(rows) for b, j in enumerate(cols)}
     assert got.keys() == want.keys()
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in got)
+
+
+def test_scores_are_computed_once(spark, tmp_path):
+    cells = _cells("a", (12, 9), 0.7, 1) + _cells("b", (7, 15), 0.6, 2) + [("long", k, "c0", k / 20) for k in range(200)]
+    for k, max_cells in enumerate((completion.MAX_CELLS, 1000, 107)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counted(batches, seen=seen):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+
+        df = spark.createDataFrame(cells, SCHEMA).mapInPandas(counted, SCHEMA)
+        assert completion.complete_scores(df, str(tmp_path / str(k)), iterations=2, max_cells=max_cells).count() == 12 * 9 + 7 * 15 + 200
+        assert seen.value == len(cells)

@@ -108,5 +108,6 @@ def score_concept_diversity(spark, sf_dir):
 
 @query()
 def score_matrix_completion(spark, sf_dir):
+    """The 1e-9 is that of score_consensus."""
     m = matrix(spark, sf_dir).select("q", F.col("crit").alias("row"), F.col("answer").alias("col"), "score")
-    return rounded(completion.complete_scores(m, work_dir(spark)), 3)
+    return rounded(completion.complete_scores(m, work_dir(spark)).withColumn("score", F.col("score") + 1e-9), 3)

@@ -27,6 +27,13 @@ def test_a_consensus_that_ends_in_a_half_is_rounded_up(spark, tmp_path):
     assert [tuple(r) for r in plans.score_consensus(spark, str(tmp_path)).collect()] == [(7, 0, 3.822)]
 
 
+def test_a_cell_that_ends_in_a_half_is_rounded_up(spark, tmp_path):
+    # the mean is 5.3075, which the sum of doubles falls short of
+    rows = [(7, 3, 1, 0, 2.117), (7, 4, 1, 0, 8.498)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in plans.score_matrix_completion(spark, str(tmp_path)).collect()] == [(7, 1, 0, 5.308, True)]
+
+
 def test_a_std_that_is_the_floor_but_for_the_last_bit_discriminates(spark, tmp_path):
     # criterion 1 has 23/3 and 26/3, whose std comes out below 0.5 in any order of their sums
     rows = [(7, 3, c, a, v) for c, values in ((1, (23 / 3, 26 / 3)), (2, (1.0, 9.0))) for a, v in enumerate(values)]
